@@ -1,6 +1,6 @@
 """All queries by name, and the SQL that checks them."""
 
-from ledgerline.registry import bom
+from ledgerline.registry import bom, state
 from ledgerline.registry.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bom"]
+__all__ = ["ORACLES", "QUERIES", "bom", "state"]

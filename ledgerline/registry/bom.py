@@ -217,7 +217,7 @@ def keyword_quantity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bom_cost",
-    f"""SELECT {S}, CASE WHEN bool_and(unit_price IS NOT NULL) THEN CAST(sum(quantity * unit_price) AS DECIMAL(38,12)) END AS value,
+    f"""SELECT {S}, CASE WHEN bool_and(unit_price IS NOT NULL) THEN CAST(sum(CAST(quantity AS DECIMAL(19,6)) * unit_price) AS DECIMAL(38,12)) END AS value,
 CASE WHEN bool_and(unit_price IS NOT NULL) THEN 'observed' ELSE 'unresolved' END AS status, count(*) AS evidence_count
 FROM {{small_boms}} WHERE status <> 'unresolved' GROUP BY {S}""",
 )
@@ -300,7 +300,7 @@ SKU_ASSERTION_SQL = sql_id(
     "resolution_decision_ids",
     f"""WITH {resolved('small_boms')},
 sup AS (SELECT {S}, {normalized('sku')} AS identifier_key, count(*) AS n, {words('assertion_id')},
-        list(assertion_id ORDER BY line_no) AS ids
+        list(assertion_id ORDER BY line_no, assertion_id) AS ids
         FROM (SELECT *, {SKU_ASSERTION_SQL} AS assertion_id FROM res) GROUP BY ALL),
 dec AS (SELECT DISTINCT {S}, sku AS mention, canonical_key, resolution, rationale FROM res)
 SELECT {", ".join("d." + c for c in S.split(", "))}, mention, {sql_id('resolution-decision', sql_text('mention'),
@@ -501,7 +501,7 @@ def chain_sql(table_name: str, claim: str, statuses: list[str], part: str) -> st
 @query(
     "evidence_chain",
     f"""WITH {RUN_SUMMARY},
-ev AS (SELECT {S}, count(*) AS n, list(evidence_id ORDER BY line_no) AS ids, {words('evidence_id')}
+ev AS (SELECT {S}, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids, {words('evidence_id')}
        FROM (SELECT *, {EVIDENCE_SQL} AS evidence_id FROM res) GROUP BY {S}),
 parts AS (SELECT s.*, CASE WHEN unresolved_mentions = 0 THEN 'resolved' ELSE 'partially_resolved' END AS s1,
           CASE WHEN keys > 0 THEN 'observed' ELSE 'unresolved' END AS s2, {id_part('ids', 'n')} AS part
@@ -522,7 +522,7 @@ def evidence_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "source_chain",
-    f"""WITH ev AS (SELECT artifact_id, count(*) AS n, list(evidence_id ORDER BY line_no) AS ids, {words('evidence_id')}
+    f"""WITH ev AS (SELECT artifact_id, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids, {words('evidence_id')}
        FROM (SELECT *, {EVIDENCE_SQL} AS evidence_id FROM {{bom_lines}}) GROUP BY artifact_id),
 nodes AS (SELECT artifact_id, n AS evidence_count, {sql_id('evidence-node', "'\"source_assertion\"'",
   "'\"source assertions\"'", "'\"observed\"'", id_part('ids', 'n'))} AS node_id FROM ev),
@@ -595,7 +595,7 @@ def claim_state_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 CLAIM_IDS = f"""{claimed('small_boms')},
 located AS (SELECT kind, {S}, line_no, {EVIDENCE_SQL} AS evidence_id FROM sub),
-ev AS (SELECT {S}, kind, count(*) AS n, list(evidence_id ORDER BY line_no) AS ids, {words('evidence_id')}
+ev AS (SELECT {S}, kind, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids, {words('evidence_id')}
        FROM located GROUP BY {S}, kind),
 named AS (SELECT {S}, list(canonical_key ORDER BY canonical_key) AS names FROM rec GROUP BY {S}),
 parts AS (SELECT c.*, coalesce({id_part('ids', 'n')}, '[]') AS part,

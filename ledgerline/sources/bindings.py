@@ -138,11 +138,12 @@ FROM benchmark""",
 
 def binding_sql(name: str) -> str:
     """SQL of a binding with the bindings it refers to in place."""
-    return _inline(BINDINGS[name])
+    return inline(BINDINGS[name])
 
 
-def _inline(sql: str) -> str:
-    return re.sub(r"\{(\w+)\}", lambda m: f"({_inline(BINDINGS[m.group(1)])})", sql)
+def inline(sql: str) -> str:
+    """Replace {binding} names by their SQL."""
+    return re.sub(r"\{(\w+)\}", lambda m: f"({inline(BINDINGS[m.group(1)])})", sql)
 
 
 def oracle(body: str) -> str:

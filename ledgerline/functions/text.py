@@ -10,28 +10,33 @@ from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
-def _fold_exceptions() -> dict[str, str]:
-    """Characters whose full case folding differs from their lower case."""
-    return {
-        chr(point): chr(point).casefold()
+def _fold_exceptions() -> str:
+    """Characters whose full case folding differs from their lower case, as "c=folded;" text."""
+    return ";".join(
+        f"{chr(point)}={chr(point).casefold()}"
         for point in range(128, sys.maxunicode + 1)
         if chr(point).casefold() != chr(point).lower()
-    }
+    )
+
+
+def _is_ascii(value: Column) -> Column:
+    return F.octet_length(value) == F.char_length(value)
 
 
 def casefold(value: Column) -> Column:
     """Unicode case folding; plain ASCII takes the short way through lower()."""
-    table = F.create_map(*[F.lit(x) for pair in _fold_exceptions().items() for x in pair])
+    table = F.str_to_map(F.lit(_fold_exceptions()), F.lit(";"), F.lit("="))
     folded = F.array_join(
         F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c))),
         "",
     )
-    return F.when(value.rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(value))
+    return F.when(_is_ascii(value), F.lower(value)).otherwise(folded)
 
 
 def normalize_identifier(value: Column) -> Column:
     """Case-folded letters and numbers only."""
-    return F.regexp_replace(casefold(value), r"[^\p{L}\p{N}]", "")
+    plain = F.regexp_replace(F.lower(value), "[^a-z0-9]", "")
+    return F.when(_is_ascii(value), plain).otherwise(F.regexp_replace(casefold(value), r"[^\p{L}\p{N}]", ""))
 
 
 def normalize_question(value: Column) -> Column:

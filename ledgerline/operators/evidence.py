@@ -13,6 +13,9 @@ from ledgerline.functions import Json, json_ids, json_text, stable_id
 # enter identifiers through an order-free digest, so that no group is ever gathered whole.
 INLINE_LIMIT = 1000
 
+# Bound on the number of keys treated as hot; see `hot_keys`.
+HOT_KEYS = 10_000
+
 
 def evidence_id(columns: Sequence[str]) -> Column:
     """Identifier of a row's evidence; `columns` tells which location kinds the table can hold."""
@@ -39,6 +42,16 @@ def _digest_word(identifier: Column, half: int) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
 
 
+def hot_keys(counts: DataFrame, keys: Sequence[str], above: int, count: str = "id_count") -> DataFrame:
+    """The most frequent keys, few enough to broadcast.
+
+    Fewer than HOT_KEYS keys can hold more than 1/HOT_KEYS of all rows each, so the list holds
+    every such key, whatever the data, and never more than HOT_KEYS rows.
+    """
+    frequent = counts.where(F.col(count) > above).orderBy(F.desc(count), *keys).limit(HOT_KEYS)
+    return frequent.select(*keys)
+
+
 def id_lists(
     rows: DataFrame,
     keys: Sequence[str],
@@ -49,38 +62,28 @@ def id_lists(
     """One row per key: `id_count`, `ids` (ordered, null beyond the limit) and `ids_json`.
 
     `ids_json` is the fragment that enters identifiers: the JSON array, or for longer lists a
-    digest made with commutative aggregates that combine before the shuffle.
+    digest made with commutative aggregates that combine before the shuffle. Lists are gathered
+    only for keys counted to be short. Rows of the most frequent keys are left out by a broadcast
+    of those keys, before the shuffle that brings the others together.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("id_count"))
-    long_keys = counts.where(F.col("id_count") > limit).select(*keys)
-    short = (
-        rows.join(long_keys, list(keys), "left_anti")
+    keys = list(keys)
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("id_count"),
+        F.bit_xor(_digest_word(F.col(id_col), 0)).alias("_w0"),
+        F.bit_xor(_digest_word(F.col(id_col), 1)).alias("_w1"),
+    )
+    cold = rows.join(F.broadcast(hot_keys(stats, keys, limit)), keys, "left_anti")
+    short_keys = stats.where(F.col("id_count") <= limit).select(*keys)
+    lists = (
+        cold.join(short_keys, keys, "left_semi")
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(*order, F.col(id_col).alias("_id")))).alias("_rows"))
-        .select(
-            *keys,
-            F.size("_rows").cast("bigint").alias("id_count"),
-            F.col("_rows._id").alias("ids"),
-        )
-        .withColumn("ids_json", json_ids(F.col("ids")))
+        .select(*keys, F.col("_rows._id").alias("ids"))
     )
     digest = F.concat_ws(":", F.col("id_count"), F.hex(F.col("_w0")), F.hex(F.col("_w1")))
-    long = (
-        rows.join(long_keys, list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("id_count"),
-            F.bit_xor(_digest_word(F.col(id_col), 0)).alias("_w0"),
-            F.bit_xor(_digest_word(F.col(id_col), 1)).alias("_w1"),
-        )
-        .select(
-            *keys,
-            "id_count",
-            F.lit(None).cast("array<string>").alias("ids"),
-            json_text(digest).alias("ids_json"),
-        )
+    return stats.join(lists, keys, "left").select(
+        *keys, "id_count", "ids", F.coalesce(json_ids(F.col("ids")), json_text(digest)).alias("ids_json")
     )
-    return short.unionByName(long)
 
 
 # Node kinds and labels of the four-step chain, in order.

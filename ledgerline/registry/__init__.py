@@ -1,6 +1,6 @@
 """All queries by name, and the SQL that checks them."""
 
-from ledgerline.registry import bom, ledger, state
+from ledgerline.registry import bom, ledger, quality, state
 from ledgerline.registry.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bom", "ledger", "state"]
+__all__ = ["ORACLES", "QUERIES", "bom", "ledger", "quality", "state"]

@@ -97,11 +97,11 @@ def reconcile_totals(
         F.sum("line_count").alias("_lines"),
         *extra,
     )
+    governor = F.col(f"_g.{source}")
     if strict:
-        covered = F.when(
-            F.col("canonical_key").isNotNull() & F.col("_g").isNull(), F.raise_error(F.lit(errors.NO_GOVERNING_SOURCE))
-        ).otherwise(F.lit(True))
-        grouped = grouped.where(covered.cast("boolean"))
+        # part of the result column, so that no filter can be evaluated ahead of it
+        failure = F.raise_error(F.lit(errors.NO_GOVERNING_SOURCE)).cast("string")
+        governor = F.when(F.col("canonical_key").isNotNull() & F.col("_g").isNull(), failure).otherwise(governor)
     agree = F.col("_g._one") & F.col("_same_quantity") & F.col("_same_price")
     named_extra = [c for c in grouped.columns if c not in (*by, "canonical_key", "source_count") and c[0] != "_"]
     return grouped.select(
@@ -109,7 +109,7 @@ def reconcile_totals(
         "canonical_key",
         F.col("_g._quantity").alias("quantity"),
         F.col("_g._price").cast(TOTAL_PRICE).alias("unit_price"),
-        F.col(f"_g.{source}").alias("governing_source_artifact"),
+        governor.alias("governing_source_artifact"),
         "source_count",
         F.col("_g.line_count").alias("evidence_count"),
         (F.col("_lines") - F.col("_g.line_count")).alias("losing_evidence_count"),

@@ -78,3 +78,17 @@ def with_strays(
     outside = members.select(*keys, member).distinct().join(allowed, [*keys, member], "left_anti")
     counts = outside.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{prefix}_strays"))
     return owners.join(counts, list(keys), "left").fillna(0, subset=[f"{prefix}_strays"])
+
+
+def with_offenders(
+    owners: DataFrame, members: DataFrame, keys: Sequence[str], offence: str, name: str
+) -> DataFrame:
+    """Add `name`: how many members of an owner meet a condition over member and owner columns.
+
+    Owner columns are those a member does not have itself. Members meet their owner through one
+    join on the keys; only counts go on.
+    """
+    own = [c for c in owners.columns if c in keys or c not in members.columns]
+    met = members.join(owners.select(*own), list(keys)).where(F.expr(offence))
+    counts = met.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return owners.join(counts, list(keys), "left").fillna(0, subset=[name])

@@ -190,7 +190,7 @@ RECONCILIATION_DECISIONS = [
     Rule("governing_unexpected", _sql("status = 'unresolved' and governing_count > 0")),
     Rule("assertions_repeated", _sql("assertions_distinct < assertions_count")),
     Rule("subjects_differ", _sql("foreign_subjects > 0")),
-    Rule("scopes_differ", _sql("scope_count > 1")),
+    Rule("scopes_differ", _sql("scopes_distinct > 1")),
 ]
 
 PRECEDENCE = list(_members("sources"))

@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 
 from ledgerline import errors
 from ledgerline.quality import rules
-from ledgerline.quality.checks import Rule, violations, with_members, with_strays
+from ledgerline.quality.checks import Rule, violations, with_members, with_offenders, with_strays
 from ledgerline.registry.base import query
 from ledgerline.sources.bindings import inline, run_sql
 
 
 @dataclass(frozen=True)
 class Facts:
-    """Member facts of an owner table: SQL of (owner, member), optionally of the allowed members."""
+    """Member facts of an owner table: SQL of (owner, member), optionally of the allowed members.
+
+    With an offence, the fact is the number of members that commit it against their owner.
+    """
 
     prefix: str
     sql: str
     allowed: str | None = None
+    offence: str | None = None
 
 
 # members of orders: evidence (some repeated), with every fiftieth order left without
@@ -33,6 +37,12 @@ AVAILABLE = "SELECT l_orderkey AS owner, 'ev-'||CAST(l_partkey % 40 AS STRING) A
 LINES = "SELECT l_orderkey AS owner, 'line-'||CAST(l_linenumber AS STRING) AS member FROM lineitem WHERE l_orderkey % 60 <> 5"
 STATES = "SELECT l_orderkey AS owner, CASE WHEN l_partkey % 500 = 1 THEN ' ' ELSE 'state-'||CAST(l_partkey % 60 AS STRING) END AS member FROM lineitem WHERE l_orderkey % 45 <> 2"
 
+# lines that refer to a bill of some revision; members with a time and a site of their own
+LINE_VERSIONS = "SELECT l_orderkey AS owner, CASE WHEN l_partkey % 200 = 3 THEN 'r3' WHEN l_orderkey % 2 = 0 THEN 'r1' ELSE 'r2' END AS boq_version FROM lineitem"
+DATED = "SELECT l_orderkey AS owner, CAST(l_shipdate AS TIMESTAMP) AS member_time, CASE WHEN l_partkey % 300 = 4 THEN 'site-2' ELSE 'site-1' END AS member_site FROM lineitem"
+SUBJECTS = "SELECT l_orderkey AS owner, CASE WHEN l_partkey % 400 = 5 THEN 'other' ELSE 's' END AS member FROM lineitem"
+SITES = "SELECT l_orderkey AS owner, CASE WHEN l_partkey % 300 = 4 THEN 'site-2' ELSE 'site-1' END AS member FROM lineitem"
+
 BLANK = "trim({0}) = ''"
 EMPTY = "({0} IS NULL OR {0} = '')"
 NONE = "{0} IS NULL"
@@ -55,6 +65,9 @@ def validation(
         rows = run_sql(spark, sf, inline(sql))
         for fact in facts:
             linked = run_sql(spark, sf, inline(fact.sql))
+            if fact.offence:
+                rows = with_offenders(rows, linked, ["owner"], fact.offence, fact.prefix)
+                continue
             rows = with_members(rows, linked, ["owner"], "member", fact.prefix)
             if fact.allowed:
                 allowed = run_sql(spark, sf, inline(fact.allowed)).select("owner", "member")
@@ -66,6 +79,11 @@ def validation(
     for i, fact in enumerate(facts):
         p = fact.prefix
         steps.append(f"f{i} AS ({fact.sql})")
+        if fact.offence:
+            steps.append(
+                f"t{i + 1} AS (SELECT t.*, (SELECT count(*) FROM f{i} WHERE f{i}.owner = t.owner AND ({fact.offence})) AS {p} FROM t{i} t)"
+            )
+            continue
         extra, join = "", ""
         if fact.allowed:
             steps.append(
@@ -156,14 +174,14 @@ validation(
     "purchase_orders",
     rules.PURCHASE_ORDERS,
     """SELECT o_orderkey AS owner, order_number, CASE WHEN o_orderkey % 80 = 1 THEN '  ' ELSE supplier_key END AS supplier_key,
-CASE WHEN o_orderkey % 80 <> 2 THEN issued_at END AS issued_at, CASE WHEN o_orderkey % 80 = 4 THEN 1 ELSE 0 END AS foreign_lines FROM {purchase_orders}""",
+CASE WHEN o_orderkey % 80 <> 2 THEN issued_at END AS issued_at, version FROM {purchase_orders}""",
     {
         "number_blank": BLANK.format("supplier_key"),
         "instant_missing": NONE.format("issued_at"),
         **members("lines"),
         "boq_scope_differs": "foreign_lines > 0",
     },
-    (Facts("lines", LINES),),
+    (Facts("lines", LINES), Facts("foreign_lines", LINE_VERSIONS, offence="boq_version <> version")),
 )
 validation(
     "expected_requirements",
@@ -257,17 +275,21 @@ validation(
     "reconciliation_decisions",
     rules.RECONCILIATION_DECISIONS,
     """SELECT o_orderkey AS owner, 's' AS subject_key, CASE WHEN o_orderkey % 30 = 1 THEN ' ' ELSE 'p' END AS policy_id, 'why' AS rationale,
-CASE o_orderstatus WHEN 'F' THEN 'reconciled' WHEN 'O' THEN 'conflict' ELSE 'unresolved' END AS status,
-CASE WHEN o_orderkey % 30 = 2 THEN 1 ELSE 0 END AS foreign_subjects, CASE WHEN o_orderkey % 30 = 4 THEN 2 ELSE 1 END AS scope_count FROM orders""",
+CASE o_orderstatus WHEN 'F' THEN 'reconciled' WHEN 'O' THEN 'conflict' ELSE 'unresolved' END AS status FROM orders""",
     {
         "text_blank": BLANK.format("policy_id"),
         "governing_missing": "status <> 'unresolved' AND governing_count = 0",
         "governing_unexpected": "status = 'unresolved' AND governing_count > 0",
         "assertions_repeated": "assertions_distinct < assertions_count",
         "subjects_differ": "foreign_subjects > 0",
-        "scopes_differ": "scope_count > 1",
+        "scopes_differ": "scopes_distinct > 1",
     },
-    (Facts("governing", EVIDENCE), Facts("assertions", LINES)),
+    (
+        Facts("governing", EVIDENCE),
+        Facts("assertions", LINES),
+        Facts("scopes", SITES),
+        Facts("foreign_subjects", SUBJECTS, offence="member <> subject_key"),
+    ),
 )
 validation(
     "precedence_policies",
@@ -310,7 +332,7 @@ validation(
     rules.DERIVED_FACTS,
     """SELECT o_orderkey AS owner, 's' AS subject_key, CASE WHEN o_orderkey % 30 = 1 THEN '' ELSE 'p' END AS predicate, CASE WHEN o_orderkey % 30 <> 2 THEN o_totalprice END AS value,
 CASE WHEN o_orderkey % 30 <> 4 THEN CAST(o_orderdate AS TIMESTAMP) END AS as_of, CASE WHEN o_orderkey % 30 = 5 THEN 'observed' ELSE 'inferred' END AS status,
-CASE WHEN o_orderkey % 30 = 6 THEN ' ' END AS unit, CASE WHEN o_orderkey % 30 = 7 THEN 1 ELSE 0 END AS blank_states FROM orders""",
+CASE WHEN o_orderkey % 30 = 6 THEN ' ' END AS unit FROM orders""",
     {
         "subject_blank": BLANK.format("predicate"),
         "value_missing": NONE.format("value"),
@@ -321,7 +343,7 @@ CASE WHEN o_orderkey % 30 = 6 THEN ' ' END AS unit, CASE WHEN o_orderkey % 30 =
         "status_not_inferred": "status = 'observed'",
         "unit_blank": "unit = ' '",
     },
-    (Facts("evidence", EVIDENCE), Facts("states", STATES)),
+    (Facts("evidence", EVIDENCE), Facts("states", STATES), Facts("blank_states", STATES, offence="trim(member) = ''")),
 )
 _ORDER_SCOPE = "'t' AS tenant_id, 'p' AS project_id, 's' AS site_id, 'r1' AS version"
 _INPUT_SCOPE = "'t' AS input_tenant_id, CASE WHEN o_orderkey % 30 = 8 THEN 'x' ELSE 'p' END AS input_project_id, 's' AS input_site_id, 'r1' AS input_version"
@@ -424,8 +446,7 @@ CASE WHEN l_partkey % 50 > 12 THEN 'raw' END AS raw_value FROM lineitem""",
 validation(
     "prediction_inputs",
     rules.PREDICTION_INPUTS,
-    """SELECT o_orderkey AS owner, CASE WHEN o_orderkey % 30 <> 1 THEN CAST(o_orderdate AS TIMESTAMP) END AS as_of, CASE WHEN o_orderkey % 30 = 2 THEN 1 ELSE 0 END AS foreign_states,
-CASE WHEN o_orderkey % 30 = 4 THEN 2 ELSE 0 END AS future_states FROM orders""",
+    """SELECT o_orderkey AS owner, CASE WHEN o_orderkey % 30 <> 1 THEN CAST(o_orderdate AS TIMESTAMP) END AS as_of, 'site-1' AS site_id FROM orders""",
     {
         "instant_missing": NONE.format("as_of"),
         "input_empty": "evidence_count = 0 AND states_count = 0",
@@ -434,7 +455,12 @@ CASE WHEN o_orderkey % 30 = 4 THEN 2 ELSE 0 END AS future_states FROM orders""",
         "scopes_differ": "foreign_states > 0",
         "future_state": "future_states > 0",
     },
-    (Facts("evidence", EVIDENCE), Facts("states", LINES)),
+    (
+        Facts("evidence", EVIDENCE),
+        Facts("states", LINES),
+        Facts("foreign_states", DATED, offence="member_site <> site_id"),
+        Facts("future_states", DATED, offence="member_time > as_of"),
+    ),
 )
 validation(
     "predictions",
@@ -463,8 +489,7 @@ CASE o_orderkey % 30 WHEN 12 THEN ' ' END AS unit FROM orders""",
 validation(
     "decision_inputs",
     rules.DECISION_INPUTS,
-    """SELECT o_orderkey AS owner, CASE WHEN o_orderkey % 30 <> 1 THEN CAST(o_orderdate AS TIMESTAMP) END AS as_of, CASE WHEN o_orderkey % 30 = 2 THEN 1 ELSE 0 END AS foreign_members,
-CASE WHEN o_orderkey % 30 = 4 THEN 1 ELSE 0 END AS future_members FROM orders""",
+    """SELECT o_orderkey AS owner, CASE WHEN o_orderkey % 30 <> 1 THEN CAST(o_orderdate AS TIMESTAMP) END AS as_of, 'site-1' AS site_id FROM orders""",
     {
         "instant_missing": NONE.format("as_of"),
         "input_empty": "members_count = 0",
@@ -472,7 +497,11 @@ CASE WHEN o_orderkey % 30 = 4 THEN 1 ELSE 0 END AS future_members FROM orders"""
         "scopes_differ": "foreign_members > 0",
         "future_member": "future_members > 0",
     },
-    (Facts("members", EVIDENCE),),
+    (
+        Facts("members", EVIDENCE),
+        Facts("foreign_members", DATED, offence="member_site <> site_id"),
+        Facts("future_members", DATED, offence="member_time > as_of"),
+    ),
 )
 validation(
     "authorities",
@@ -558,13 +587,13 @@ validation(
 validation(
     "transformation_events",
     rules.TRANSFORMATION_EVENTS,
-    "SELECT o_orderkey AS owner, CASE WHEN o_orderkey % 30 = 1 THEN '' ELSE 'structuring' END AS event_type, CASE WHEN o_orderkey % 30 = 2 THEN 1 ELSE 0 END AS empty_targets FROM orders",
+    "SELECT o_orderkey AS owner, CASE WHEN o_orderkey % 30 = 1 THEN '' ELSE 'structuring' END AS event_type FROM orders",
     {
         "event_type_missing": EMPTY.format("event_type"),
         "outputs_missing": "outputs_count = 0",
         "edge_target_missing": "empty_targets > 0",
     },
-    (Facts("outputs", EVIDENCE),),
+    (Facts("outputs", EVIDENCE), Facts("empty_targets", STATES, offence="trim(member) = ''")),
 )
 validation(
     "projection_requests",

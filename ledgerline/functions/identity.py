@@ -35,17 +35,24 @@ def _escape_char(c: Column) -> Column:
     )
 
 
+# Anything JSON has to escape: quotes, backslashes and all but printable ASCII.
+_SPECIAL = r'["\\]|[^ -~]'
+
+
 def json_text(value: Column) -> Column:
     """JSON string with every non-ASCII character escaped; null becomes the JSON null."""
-    plain = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     escaped = F.array_join(F.transform(F.split(value, ""), _escape_char), "")
-    body = F.when(value.rlike(r"[^ -~]"), escaped).otherwise(plain)
+    body = F.when(value.rlike(_SPECIAL), escaped).otherwise(value)
     return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
 
 
 def json_ids(values: Column) -> Column:
-    """JSON array of strings."""
-    return F.concat(F.lit("["), F.array_join(F.transform(values, json_text), ","), F.lit("]"))
+    """JSON array of strings; the usual plain identifiers are only joined."""
+    special = F.array_join(values, "").rlike(_SPECIAL)
+    listed = F.when(special, F.array_join(F.transform(values, json_text), ",")).otherwise(
+        F.concat(F.lit('"'), F.array_join(values, '","'), F.lit('"'))
+    )
+    return F.when(F.size(values) == 0, "[]").otherwise(F.concat(F.lit("["), listed, F.lit("]")))
 
 
 def stable_id(namespace: str, *parts: Column | Json) -> Column:

@@ -59,6 +59,18 @@ def bom_assertions(lines: DataFrame, event_id: Column | None = None) -> DataFram
     )
 
 
+def identifier_assertions(lines: DataFrame) -> DataFrame:
+    """Only the has_sku assertions, one per line, without making the others first."""
+    return lines.select(
+        *lines.columns,
+        F.col("sku").alias("subject_key"),
+        F.lit("document").alias("source_system"),
+        F.lit(None).cast("string").alias("transformation_event_id"),
+        F.lit("has_sku").alias("predicate"),
+        F.col("sku").alias("value_text"),
+    )
+
+
 def with_assertion_ids(assertions: DataFrame) -> DataFrame:
     located = assertions.withColumn("evidence_id", evidence_id(assertions.columns))
     return located.withColumn("assertion_id", assertion_id())

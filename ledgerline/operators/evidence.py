@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import Json, json_ids, json_text, stable_id
+from ledgerline.operators.skew import hot_keys
 
 # Lists up to this length are kept as ordered arrays. Longer ones stay in their link table and
 # enter identifiers through an order-free digest, so that no group is ever gathered whole.
 INLINE_LIMIT = 1000
 
-# Bound on the number of keys treated as hot; see `hot_keys`.
-HOT_KEYS = 10_000
-
 
 def evidence_id(columns: Sequence[str]) -> Column:
     """Identifier of a row's evidence; `columns` tells which location kinds the table can hold."""
@@ -42,16 +40,6 @@ def _digest_word(identifier: Column, half: int) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], above: int, count: str = "id_count") -> DataFrame:
-    """The most frequent keys, few enough to broadcast.
-
-    Fewer than HOT_KEYS keys can hold more than 1/HOT_KEYS of all rows each, so the list holds
-    every such key, whatever the data, and never more than HOT_KEYS rows.
-    """
-    frequent = counts.where(F.col(count) > above).orderBy(F.desc(count), *keys).limit(HOT_KEYS)
-    return frequent.select(*keys)
-
-
 def id_lists(
     rows: DataFrame,
     keys: Sequence[str],
@@ -62,27 +50,47 @@ def id_lists(
     """One row per key: `id_count`, `ids` (ordered, null beyond the limit) and `ids_json`.
 
     `ids_json` is the fragment that enters identifiers: the JSON array, or for longer lists a
-    digest made with commutative aggregates that combine before the shuffle. Lists are gathered
-    only for keys counted to be short. Rows of the most frequent keys are left out by a broadcast
-    of those keys, before the shuffle that brings the others together.
+    digest of the ids made with commutative aggregates.
+
+    Rows are counted first. Rows of hot keys are told apart by a broadcast of those keys, and only
+    digested, with aggregates that combine before their shuffle. The other rows are brought together
+    once; they are gathered into a list where the count says it is short, and digested otherwise.
     """
     keys = list(keys)
-    stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("id_count"),
-        F.bit_xor(_digest_word(F.col(id_col), 0)).alias("_w0"),
-        F.bit_xor(_digest_word(F.col(id_col), 1)).alias("_w1"),
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("id_count"))
+    hot = F.broadcast(hot_keys(counts, keys, limit))
+    identifier = F.col(id_col)
+    short = F.col("id_count") <= limit
+
+    def digest(condition: Column | None = None) -> list[Column]:
+        half = [_digest_word(identifier, i) for i in (0, 1)]
+        return [
+            F.bit_xor(w if condition is None else F.when(condition, w)).alias(f"_w{i}") for i, w in enumerate(half)
+        ]
+
+    entry = F.struct(*order, identifier.alias("_id"))
+    cold = (
+        rows.join(hot, keys, "left_anti")
+        .join(counts, keys)
+        .groupBy(*keys, "id_count")
+        .agg(F.collect_list(F.when(short, entry)).alias("_rows"), *digest(~short))
+        .select(
+            *keys,
+            "id_count",
+            F.when(short, F.sort_array("_rows")["_id"]).alias("ids"),
+            "_w0",
+            "_w1",
+        )
     )
-    cold = rows.join(F.broadcast(hot_keys(stats, keys, limit)), keys, "left_anti")
-    short_keys = stats.where(F.col("id_count") <= limit).select(*keys)
-    lists = (
-        cold.join(short_keys, keys, "left_semi")
+    frequent = (
+        rows.join(hot, keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(*order, F.col(id_col).alias("_id")))).alias("_rows"))
-        .select(*keys, F.col("_rows._id").alias("ids"))
+        .agg(F.count(F.lit(1)).alias("id_count"), *digest())
+        .select(*keys, "id_count", F.lit(None).cast("array<string>").alias("ids"), "_w0", "_w1")
     )
-    digest = F.concat_ws(":", F.col("id_count"), F.hex(F.col("_w0")), F.hex(F.col("_w1")))
-    return stats.join(lists, keys, "left").select(
-        *keys, "id_count", "ids", F.coalesce(json_ids(F.col("ids")), json_text(digest)).alias("ids_json")
+    text = F.concat_ws(":", F.col("id_count"), F.hex(F.col("_w0")), F.hex(F.col("_w1")))
+    return cold.unionByName(frequent).select(
+        *keys, "id_count", "ids", F.coalesce(json_ids(F.col("ids")), json_text(text)).alias("ids_json")
     )
 
 

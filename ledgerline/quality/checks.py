@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline import errors
+from ledgerline.operators.skew import join_owner
 
 
 @dataclass(frozen=True)
@@ -85,10 +86,9 @@ def with_offenders(
 ) -> DataFrame:
     """Add `name`: how many members of an owner meet a condition over member and owner columns.
 
-    Owner columns are those a member does not have itself. Members meet their owner through one
-    join on the keys; only counts go on.
+    Owner columns are those a member does not have itself.
     """
     own = [c for c in owners.columns if c in keys or c not in members.columns]
-    met = members.join(owners.select(*own), list(keys)).where(F.expr(offence))
+    met = join_owner(members, owners.select(*own), keys).where(F.expr(offence))
     counts = met.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     return owners.join(counts, list(keys), "left").fillna(0, subset=[name])

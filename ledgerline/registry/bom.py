@@ -263,7 +263,7 @@ def resolve_identifiers(spark: SparkSession, sf: str) -> DataFrame:
 FROM {{bom_lines}} GROUP BY {S}, {normalized('sku')}""",
 )
 def resolution_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    made = resolution.resolution_evidence(bom.bom_assertions(bind(spark, sf, "bom_lines")))
+    made = resolution.resolution_evidence(bom.identifier_assertions(bind(spark, sf, "bom_lines")))
     return made.groupBy(*BY, "identifier_key").agg(
         F.count(F.lit(1)).alias("assertions"), F.count_distinct("subject_key").alias("subjects")
     )
@@ -311,8 +311,7 @@ FROM dec d JOIN sup ON {on_scope('d', 'sup')} AND {normalized('mention')} = iden
 def resolution_decision_ids(spark: SparkSession, sf: str) -> DataFrame:
     lines = bind(spark, sf, "small_boms")
     decisions = resolution.resolve_identifiers(lines, bind(spark, sf, "candidates"))
-    support = bom.bom_assertions(lines).where("predicate = 'has_sku'")
-    keyed = resolution.resolution_evidence(bom.with_assertion_ids(support))
+    keyed = resolution.resolution_evidence(bom.with_assertion_ids(bom.identifier_assertions(lines)))
     lists = evidence.id_lists(keyed, [*BY, "identifier_key"], ["line_no"], "assertion_id")
     prov = provenance.component_provenance(provenance.run_id(provenance.local_run()), provenance.RESOLVER)
     joined = decisions.join(lists, [*BY, "identifier_key"], "left")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import documents, ledger, metrics, provenance, retrieval
+from ledgerline.operators.evidence import evidence_id
 from ledgerline.operators.reconciliation import reconcile_lines
 from ledgerline.operators.scope import RequestContext
 from ledgerline.plans import bom_run
 from ledgerline.registry.base import S, query
 from ledgerline.registry.bom import (
     BY,
+    EVIDENCE_SQL,
     RECONCILED,
     claimed,
     component_sql,
@@ -357,40 +360,46 @@ def entity_mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- sources and exports --------------------------------------------------------------------
 
-WORKBOOK_ROWS = 500  # orders per sample workbook
+WORKBOOK_ROWS = 2000
+BOOK_ORDER = ["line_no", "record_key", "quantity", "price"]
 
 
 def sample_workbooks(spark: SparkSession, sf: str) -> DataFrame:
-    """Workbooks made from the line table, some of them broken; one group is a few hundred orders."""
+    """Workbooks of a fixed number of lines made from the whole line table, every fifth cut short.
+
+    Lines are numbered first, so that no order, however large, makes a larger workbook.
+    """
     lines = bind(spark, sf, "bom_lines").select(
-        (F.col("l_orderkey") / WORKBOOK_ROWS).cast("bigint").alias("book"),
         "line_no",
         "record_key",
-        F.col("sku"),
+        "sku",
         "description",
         F.col("quantity").cast("string").alias("quantity"),
         F.coalesce(F.col("unit_price").cast("string"), F.lit("")).alias("price"),
     )
+    numbered = ledger.dense_sequence(lines, BOOK_ORDER)
+    booked = numbered.withColumn("book", F.floor((F.col("sequence") - 1) / WORKBOOK_ROWS).cast("bigint"))
 
     def build(key, frame):
-        import pandas as pd
-
-        ordered = frame.sort_values(["line_no", "record_key"])
+        ordered = frame.sort_values("sequence")
         rows = [workbooks.HEADER] + ordered[["sku", "description", "quantity", "price"]].values.tolist()
         content = workbooks.build_workbook(rows)
-        if key[0] % 10 == 3:
+        if key[0] % 5 == 1:
             content = content[: len(content) // 2]
         return pd.DataFrame({"path": [f"book-{key[0]}.xlsx"], "content": [content]})
 
-    return lines.groupBy("book").applyInPandas(build, "path string, content binary")
+    return booked.groupBy("book").applyInPandas(build, "path string, content binary")
+
+
+BOOKS = f"""n AS (SELECT *, row_number() OVER (ORDER BY line_no, record_key, CAST(quantity AS VARCHAR), coalesce(CAST(unit_price AS VARCHAR), '')) - 1 AS pos FROM {{bom_lines}}),
+books AS (SELECT *, pos // {WORKBOOK_ROWS} AS book FROM n)"""
 
 
 @query(
     "ingest_bom_xlsx",
-    """WITH b AS (SELECT *, l_orderkey // 500 AS book FROM {bom_lines}),
-n AS (SELECT *, 1 + row_number() OVER (PARTITION BY book ORDER BY line_no, record_key) AS "at" FROM b)
-SELECT 'book-' || book || '.xlsx' AS artifact_id, "at" AS line_no, sku, description, CAST(quantity AS DECIMAL(38,6)) AS quantity, CAST(unit_price AS DECIMAL(38,6)) AS unit_price,
-CASE WHEN unit_price IS NULL THEN 'A,B,C' ELSE 'A,B,C,D' END AS cells FROM n WHERE book % 10 <> 3""",
+    f"""WITH {BOOKS} SELECT 'book-' || book || '.xlsx' AS artifact_id, pos % {WORKBOOK_ROWS} + 2 AS line_no, sku, description,
+CAST(quantity AS DECIMAL(38,6)) AS quantity, CAST(unit_price AS DECIMAL(38,6)) AS unit_price,
+CASE WHEN unit_price IS NULL THEN 'A,B,C' ELSE 'A,B,C,D' END AS cells FROM books WHERE book % 5 <> 1""",
 )
 def ingest_bom_xlsx(spark: SparkSession, sf: str) -> DataFrame:
     lines, _rejected = workbooks.read_workbooks(sample_workbooks(spark, sf))
@@ -400,7 +409,7 @@ def ingest_bom_xlsx(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "rejected_workbooks",
-    "SELECT DISTINCT 'book-' || (l_orderkey // 500) || '.xlsx' AS artifact_id, 'BadZipFile' AS problem FROM lineitem WHERE (l_orderkey // 500) % 10 = 3",
+    f"WITH {BOOKS} SELECT DISTINCT 'book-' || book || '.xlsx' AS artifact_id, 'BadZipFile' AS problem FROM books WHERE book % 5 = 1",
 )
 def rejected_workbooks(spark: SparkSession, sf: str) -> DataFrame:
     _lines, rejected = workbooks.read_workbooks(sample_workbooks(spark, sf))
@@ -469,6 +478,18 @@ def export_claims_json(spark: SparkSession, sf: str) -> DataFrame:
     return jsonl.as_json(made.select("project_id", "kind", "value", "status"))
 
 
+@query(
+    "export_evidence_json",
+    f"""SELECT '{{"artifact_id":"' || artifact_id || '","content_hash":"' || content_hash || '","location_kind":"record","evidence_id":"' || {EVIDENCE_SQL}
+|| '","collection":"' || collection || '","record_key":"' || record_key || '"}}' AS json FROM {{bom_lines}}""",
+)
+def export_evidence_json(spark: SparkSession, sf: str) -> DataFrame:
+    lines = bind(spark, sf, "bom_lines")
+    located = lines.withColumn("evidence_id", evidence_id(lines.columns))
+    names = ["artifact_id", "content_hash", "location_kind", "evidence_id", "collection", "record_key"]
+    return jsonl.as_json(located.select(*names))
+
+
 # ---- streams --------------------------------------------------------------------------------
 
 

@@ -25,7 +25,11 @@ def append_batch(batch: DataFrame, path: str) -> None:
     """Append a micro-batch: what the ledger already holds is left out, so replays change nothing."""
     ledger = stored(batch.sparkSession, path)
     base = 0 if ledger is None else last_sequence(ledger)
-    write_entries(append_entries(batch, ledger, base), path)
+    batch = batch.persist()
+    try:
+        write_entries(append_entries(batch, ledger, base), path)
+    finally:
+        batch.unpersist()
 
 
 def ingest_stream(stream: DataFrame, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:

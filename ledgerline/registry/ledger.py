@@ -6,16 +6,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions import decimal_text
 from ledgerline.operators import documents, ledger, metrics, provenance, retrieval
-from ledgerline.operators.evidence import evidence_id
+from ledgerline.operators.evidence import CHAIN_STEPS, evidence_id, id_lists
 from ledgerline.operators.reconciliation import reconcile_lines
+from ledgerline.operators.record_ids import with_record_id
 from ledgerline.operators.scope import RequestContext
 from ledgerline.plans import bom_run
-from ledgerline.registry.base import S, query
+from ledgerline.registry.base import S, on_scope, query
 from ledgerline.registry.bom import (
     BY,
     EVIDENCE_SQL,
     RECONCILED,
+    RUN_SUMMARY,
+    SCOPE_JSON,
+    chain_sql,
     claimed,
     component_sql,
     cutoff,
@@ -358,6 +363,47 @@ def entity_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return documents.entity_mentions(bind(spark, sf, "event_assertions"), entity_type="predicate")
 
 
+@query(
+    "entity_mention_ids",
+    f"""WITH g AS (SELECT {S}, subject_key AS text, predicate AS entity_type, list(assertion_id ORDER BY event_id) AS ids, max(observed_at) AS observed_at
+FROM {{event_assertions}} GROUP BY {S}, subject_key, predicate)
+SELECT {S}, text, entity_type, {sql_id('entity-mention', sql_text('text'), sql_text('entity_type'),
+"'[' || array_to_string(list_transform(ids, lambda x: '" + chr(34) + "' || x || '" + chr(34) + "'), ',') || ']'", SCOPE_JSON, sql_text(f'({ISO})'))} AS mention_id FROM g""",
+)
+def entity_mention_ids(spark: SparkSession, sf: str) -> DataFrame:
+    made = bind(spark, sf, "event_assertions").withColumn("text", F.col("subject_key"))
+    made = made.withColumn("entity_type", F.col("predicate"))
+    mentions = documents.entity_mentions(made)
+    lists = id_lists(made, [*BY, "text", "entity_type"], ["event_id"], "assertion_id")
+    joined = mentions.join(lists.withColumnRenamed("ids_json", "assertions_json"), [*BY, "text", "entity_type"])
+    return with_record_id(joined, "entity-mention", "mention_id").select(*BY, "text", "entity_type", "mention_id")
+
+
+@query(
+    "observation_ids",
+    f"""WITH {NORMALIZED}, v AS (SELECT *, CASE WHEN num IS NOT NULL THEN {sql_decimal('num')} WHEN date IS NOT NULL THEN CAST(date AS VARCHAR) ELSE text_value END AS value_text FROM obs)
+SELECT record_key, field_name, {sql_id('normalized-observation', sql_text('record_key'), sql_text('record_key'), sql_text('field_name'),
+"coalesce('" + chr(34) + "' || value_text || '" + chr(34) + "', 'null')", "coalesce('" + chr(34) + "' || unit || '" + chr(34) + "', 'null')", sql_text("record_key || '/' || field_name"),
+"'" + chr(34) + "StateScope(tenant_id=''t'', project_id=''p'', site_id=''s'', version=''r1'')" + chr(34) + "'", "'" + chr(34) + "2024-01-20T00:00:00+00:00" + chr(34) + "'", sql_text('status'), "'" + chr(34) + "prov" + chr(34) + "'")} AS observation_id FROM v""",
+)
+def observation_ids(spark: SparkSession, sf: str) -> DataFrame:
+    value = F.coalesce(decimal_text(F.col("num")), F.col("date").cast("string"), F.col("text_value"))
+    columns = {
+        "observation_key": F.col("record_key"),
+        "subject_hint": F.col("record_key"),
+        "predicate": F.col("field_name"),
+        "value_text": value,
+        "field_key": F.concat_ws("/", "record_key", "field_name"),
+        "effective_at": cutoff(),
+        "provenance_id": F.lit("prov"),
+        **{name: F.lit(v) for name, v in zip(BY, ("t", "p", "s", "r1"))},
+    }
+    rows = observations(spark, sf).withColumns(columns)
+    return with_record_id(rows, "normalized-observation", "observation_id").select(
+        "record_key", "field_name", "observation_id"
+    )
+
+
 # ---- sources and exports --------------------------------------------------------------------
 
 WORKBOOK_ROWS = 2000
@@ -490,6 +536,29 @@ def export_evidence_json(spark: SparkSession, sf: str) -> DataFrame:
     return jsonl.as_json(located.select(*names))
 
 
+NODE_JSON = " || ',' || ".join(
+    f"""'{{"node_id":"' || node_{i} || '","kind":"{kind}","label":"{label}","status":"' || {status} || '"}}'"""
+    for i, ((kind, label), status) in enumerate(zip(CHAIN_STEPS, ("'observed'", "s1", "s2", "run_status")))
+)
+
+
+@query(
+    "export_chain_json",
+    f"""WITH {RUN_SUMMARY},
+ev AS (SELECT {S}, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids, {words('evidence_id')}
+       FROM (SELECT *, {EVIDENCE_SQL} AS evidence_id FROM res) GROUP BY {S}),
+parts AS (SELECT s.*, CASE WHEN unresolved_mentions = 0 THEN 'resolved' ELSE 'partially_resolved' END AS s1,
+          CASE WHEN keys > 0 THEN 'observed' ELSE 'unresolved' END AS s2, {id_part('ids', 'n')} AS part
+          FROM statuses s JOIN ev ON {on_scope('s', 'ev')}),
+x AS (SELECT *, {NODE_JSON} AS listed FROM {chain_sql('parts', "'" + bom_run.RUN_CLAIM + "'", ["'observed'", 's1', 's2', 'run_status'], 'part')})
+SELECT '{{"project_id":"' || project_id || '","chain_id":"' || chain_id || '","nodes":[' || listed || ']}}' AS json FROM x""",
+)
+def export_chain_json(spark: SparkSession, sf: str) -> DataFrame:
+    lines = bind(spark, sf, "small_boms")
+    run = bom_run.run_bom(lines, bind(spark, sf, "candidates"), PRECEDENCE, keyword=KEYWORD)
+    return jsonl.as_json(bom_run.run_chain(lines, run.summary).select("project_id", "chain_id", "nodes"))
+
+
 # ---- streams --------------------------------------------------------------------------------
 
 

@@ -143,7 +143,7 @@ def binding_sql(name: str) -> str:
 
 def inline(sql: str) -> str:
     """Replace {binding} names by their SQL."""
-    return re.sub(r"\{(\w+)\}", lambda m: f"({inline(BINDINGS[m.group(1)])})", sql)
+    return re.sub(r"\{([a-z_]+)\}", lambda m: f"({inline(BINDINGS[m.group(1)])})", sql)
 
 
 def oracle(body: str) -> str:
@@ -151,7 +151,7 @@ def oracle(body: str) -> str:
     names: list[str] = []
 
     def visit(sql: str) -> None:
-        for name in re.findall(r"\{(\w+)\}", sql):
+        for name in re.findall(r"\{([a-z_]+)\}", sql):
             visit(BINDINGS[name])
             if name not in names:
                 names.append(name)
@@ -159,7 +159,7 @@ def oracle(body: str) -> str:
     visit(body)
     if not names:
         return body
-    bare = lambda sql: re.sub(r"\{(\w+)\}", r"\1", sql)
+    bare = lambda sql: re.sub(r"\{([a-z_]+)\}", r"\1", sql)
     tables = ", ".join(f"{name} AS ({bare(BINDINGS[name])})" for name in names)
     body = bare(body).strip()
     if body[:5].upper() == "WITH ":

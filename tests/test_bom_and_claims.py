@@ -300,3 +300,20 @@ def test_evidence_lookup(spark):
     ids = ids.unionByName(spark.createDataFrame([("evidence:none",)], "evidence_id string"))
     found, missing = lookup_evidence(lines, ids)
     assert found.count() == 1 and [r.evidence_id for r in missing.collect()] == ["evidence:none"]
+
+
+def test_scoped_tables_prune_by_scope_and_split_a_hot_project(spark, tmp_path):
+    from ledgerline.sources.tables import write_scoped
+
+    rows = spark.range(4000).select(
+        F.lit("tenant").alias("tenant_id"),
+        F.when(F.col("id") % 4 < 3, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 40).cast("string"))).alias("project_id"),
+        F.lit("site").alias("site_id"),
+        F.col("id"),
+    )
+    path = str(tmp_path / "t")
+    write_scoped(rows, path, ["id"], partitions=4)
+    assert len(list((tmp_path / "t" / "tenant_id=tenant" / "project_id=hot").glob("*.parquet"))) >= 2
+    mine = within(spark.read.parquet(path), RequestContext("me", "tenant", "hot", "site", frozenset({"read_state"})))
+    assert mine.count() == 3000
+    assert "PartitionFilters: [isnotnull" in mine._jdf.queryExecution().executedPlan().toString()

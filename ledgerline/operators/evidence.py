@@ -52,7 +52,7 @@ def id_lists(
     `ids_json` is the fragment that enters identifiers: the JSON array, or for longer lists a
     digest of the ids made with commutative aggregates.
 
-    Rows are counted first. Rows of hot keys are told apart by a broadcast of those keys, and only
+    Rows are counted first, which needs no ids. Rows of hot keys are told apart by a broadcast of those keys, and only
     digested, with aggregates that combine before their shuffle. The other rows are brought together
     once; they are gathered into a list where the count says it is short, and digested otherwise.
     """

@@ -9,7 +9,7 @@ from ledgerline.functions import normalize_identifier
 from ledgerline.functions.text import normalize_question
 from ledgerline.operators import bom, claims, evidence, provenance, reconciliation, resolution, state
 from ledgerline.operators.scope import RequestContext, within
-from ledgerline.plans import bom_run
+from ledgerline.plans import bom_run, claim_register
 from ledgerline.registry.base import S, normalized, on_scope, query
 from ledgerline.schemas import SCOPE
 from ledgerline.sources.bindings import CUTOFF, KEYWORD, PRECEDENCE, bind, table
@@ -608,10 +608,9 @@ identified AS (SELECT *, {sql_id('claim', sql_text('kind'), sql_text('printed'),
 
 
 def identified_claims(spark: SparkSession, sf: str) -> DataFrame:
-    lines, keys = bind(spark, sf, "small_boms"), small_keys(spark, sf)
-    made = claims.claims_from_summary(claims.scope_summary(keys))
-    cited = claims.claim_evidence(lines, keyword=KEYWORD)
-    return claims.claim_ids(made, cited, claims.claim_keys(keys, made))
+    return claim_register.register_claims(
+        bind(spark, sf, "small_boms"), bind(spark, sf, "candidates"), PRECEDENCE, keyword=KEYWORD
+    )
 
 
 @query(

@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR names the data, BENCH_CPUS the local cores, BENCH_REPEATS the runs per query (the
-median counts). Results go to the no-op sink, so that every output column is computed.
+lower median counts). Results go to the no-op sink, so that every output column is computed.
 """
 
 from __future__ import annotations

@@ -141,3 +141,17 @@ def test_metrics(spark):
     judged = spark.createDataFrame([("q", "e1"), ("q", "e3"), ("q", "e9")], "query_id string, entry_id string")
     got = metrics.retrieval_metrics(hits, judged, 3).first()
     assert got.recall == pytest.approx(2 / 3) and got.ndcg == pytest.approx(1.5 / (1 + 0.6309297536 + 0.5), abs=1e-6)
+
+
+def test_owner_join_is_complete_for_hot_and_cold_keys(spark):
+    from ledgerline.operators.skew import hot_keys, join_owner
+
+    members = spark.range(900).select(
+        F.when(F.col("id") < 500, 1).otherwise((F.col("id") % 37) + 2).alias("owner"), F.col("id").alias("member")
+    )
+    owners = spark.createDataFrame([(i, f"tag{i}") for i in range(1, 30)], "owner bigint, tag string")
+    got = sorted((r.owner, r.member, r.tag) for r in join_owner(members, owners, ["owner"], above=50).collect())
+    want = sorted((r.owner, r.member, r.tag) for r in members.join(owners, "owner").collect())
+    assert got == want and len(want) > 500
+    counts = members.groupBy("owner").agg(F.count(F.lit(1)).alias("id_count"))
+    assert [r.owner for r in hot_keys(counts, ["owner"], 50).collect()] == [1]

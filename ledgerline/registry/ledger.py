@@ -33,7 +33,7 @@ from ledgerline.registry.bom import (
     words,
 )
 from ledgerline.registry.state import AT
-from ledgerline.session import scratch_path
+from ledgerline.session import scratch_path, ship_package
 from ledgerline.sources import jsonl, workbooks
 from ledgerline.sources.bindings import KEYWORD, PRECEDENCE, bind, inline, run_sql, table
 from ledgerline.streaming import ledger as streams
@@ -423,6 +423,7 @@ def sample_workbooks(spark: SparkSession, sf: str) -> DataFrame:
         F.col("quantity").cast("string").alias("quantity"),
         F.coalesce(F.col("unit_price").cast("string"), F.lit("")).alias("price"),
     )
+    ship_package(spark)
     numbered = ledger.dense_sequence(lines, BOOK_ORDER)
     booked = numbered.withColumn("book", F.floor((F.col("sequence") - 1) / WORKBOOK_ROWS).cast("bigint"))
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; only spreadsheet reading needs it."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    base = os.path.join(tempfile.mkdtemp(prefix="ledgerline-package-"), "ledgerline")
+    archive = shutil.make_archive(base, "zip", root_dir=package.parent, base_dir=package.name)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import provenance
 from ledgerline.schemas import QUANTITY, WORKBOOK_LINES
+from ledgerline.session import ship_package
 
 # Header cells, and the two namespaces of the format.
 HEADER = ["SKU", "Description", "Quantity", "Unit Price"]
@@ -167,6 +168,7 @@ def read_workbooks(files: DataFrame, sheet: str = "BOM") -> tuple[DataFrame, Dat
 
     A workbook is read whole or rejected whole; one bad file never fails the job.
     """
+    ship_package(files.sparkSession)
     parsed = files.select("path", "content").mapInPandas(lambda batches: _parse(batches, sheet), WORKBOOK_LINES)
     typed = parsed.select(
         *[c for c in parsed.columns if not c.endswith("_text")],

@@ -94,12 +94,16 @@ def distinct_skus(lines: DataFrame, by: Sequence[str] = BOM_KEY) -> DataFrame:
     )
 
 
+def _counts(lines: DataFrame) -> Column:
+    """Whether a line counts for the raw questions; a bill of other lines only still gets its zero."""
+    return F.col("status") != "unresolved" if "status" in lines.columns else F.lit(True)
+
+
 def keyword_quantity(lines: DataFrame, by: Sequence[str] = BOM_KEY, keyword: str = KEYWORD) -> DataFrame:
     """Quantity over lines whose description holds the keyword; zero where none does."""
-    hit = has_keyword(F.col("description"), keyword)
+    hit = _counts(lines) & has_keyword(F.col("description"), keyword)
     return (
-        usable(lines)
-        .groupBy(*by)
+        lines.groupBy(*by)
         .agg(
             F.coalesce(F.sum(F.when(hit, F.col("quantity"))), F.lit(0)).cast("decimal(38,6)").alias("value"),
             F.count(F.when(hit, 1)).alias("evidence_count"),
@@ -110,12 +114,12 @@ def keyword_quantity(lines: DataFrame, by: Sequence[str] = BOM_KEY, keyword: str
 
 def bom_cost(lines: DataFrame, by: Sequence[str] = BOM_KEY) -> DataFrame:
     """Exact cost; one missing price leaves the whole bill unresolved."""
-    missing = F.count(F.when(F.col("unit_price").isNull(), 1))
-    total = F.sum(F.col("quantity") * F.col("unit_price")).cast(MONEY)
+    counts = _counts(lines)
+    missing = F.count(F.when(counts & F.col("unit_price").isNull(), 1))
+    total = F.coalesce(F.sum(F.when(counts, F.col("quantity") * F.col("unit_price"))), F.lit(0)).cast(MONEY)
     return (
-        usable(lines)
-        .groupBy(*by)
-        .agg(missing.alias("_missing"), total.alias("_total"), F.count(F.lit(1)).alias("evidence_count"))
+        lines.groupBy(*by)
+        .agg(missing.alias("_missing"), total.alias("_total"), F.count(F.when(counts, 1)).alias("evidence_count"))
         .select(
             *by,
             F.when(F.col("_missing") == 0, F.col("_total")).alias("value"),

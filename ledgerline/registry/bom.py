@@ -207,9 +207,9 @@ def distinct_skus(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "keyword_quantity",
-    f"""SELECT {S}, CAST(coalesce(sum(quantity) FILTER (contains(lower(description), '{KEYWORD}')), 0) AS DECIMAL(38,6)) AS value,
-count(*) FILTER (contains(lower(description), '{KEYWORD}')) AS evidence_count, 'observed' AS status
-FROM {{bom_lines}} WHERE status <> 'unresolved' GROUP BY {S}""",
+    f"""SELECT {S}, CAST(coalesce(sum(quantity) FILTER (contains(lower(description), '{KEYWORD}') AND status <> 'unresolved'), 0) AS DECIMAL(38,6)) AS value,
+count(*) FILTER (contains(lower(description), '{KEYWORD}') AND status <> 'unresolved') AS evidence_count, 'observed' AS status
+FROM {{bom_lines}} GROUP BY {S}""",
 )
 def keyword_quantity(spark: SparkSession, sf: str) -> DataFrame:
     return bom.keyword_quantity(bind(spark, sf, "bom_lines"), keyword=KEYWORD)
@@ -217,9 +217,12 @@ def keyword_quantity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bom_cost",
-    f"""SELECT {S}, CASE WHEN bool_and(unit_price IS NOT NULL) THEN CAST(sum(CAST(quantity AS DECIMAL(19,6)) * unit_price) AS DECIMAL(38,12)) END AS value,
-CASE WHEN bool_and(unit_price IS NOT NULL) THEN 'observed' ELSE 'unresolved' END AS status, count(*) AS evidence_count
-FROM {{small_boms}} WHERE status <> 'unresolved' GROUP BY {S}""",
+    f"""WITH bills AS (SELECT DISTINCT {S} FROM {{small_boms}}),
+used AS (SELECT {S}, bool_and(unit_price IS NOT NULL) AS priced, sum(CAST(quantity AS DECIMAL(19,6)) * unit_price) AS total, count(*) AS n
+FROM {{small_boms}} WHERE status <> 'unresolved' GROUP BY {S})
+SELECT {", ".join("b." + c for c in S.split(", "))}, CASE WHEN n IS NULL THEN CAST(0 AS DECIMAL(38,12)) WHEN priced THEN CAST(total AS DECIMAL(38,12)) END AS value,
+CASE WHEN n IS NULL OR priced THEN 'observed' ELSE 'unresolved' END AS status, coalesce(n, 0) AS evidence_count
+FROM bills b LEFT JOIN used u ON {on_scope('b', 'u')}""",
 )
 def bom_cost(spark: SparkSession, sf: str) -> DataFrame:
     return bom.bom_cost(bind(spark, sf, "small_boms"))

@@ -43,6 +43,14 @@ def test_missing_price_leaves_cost_unresolved(spark):
     assert row.value is None and row.status == "unresolved"
 
 
+def test_bill_of_unresolved_lines_is_observed_as_zero(spark):
+    lines = bom(spark, [("GPU-A", "GPU", 1, None)]).withColumn("status", F.lit("unresolved"))
+    cost, quantity = bom_ops.bom_cost(lines).first(), bom_ops.keyword_quantity(lines).first()
+    assert (cost.value, cost.status, cost.evidence_count) == (0, "observed", 0)
+    assert (quantity.value, quantity.status) == (0, "observed")
+    assert bom_ops.distinct_skus(lines).count() == 0
+
+
 def test_assertions_of_a_line(spark):
     lines = bom(spark, [("GPU-A", "GPU", 1, None), ("B", "b", "2.50", 5)])
     made = bom_ops.with_assertion_ids(bom_ops.bom_assertions(lines)).orderBy("line_no", "ordinal").collect()

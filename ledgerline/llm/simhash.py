@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -143,7 +144,7 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     numbered = docs.select(
         F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
         F.col(doc_id).cast("long").alias("__key"),
-        _fingerprint_column()(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__print"),
+        _fingerprint_column(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__print"),
     )
     kept = numbered.join(
         stays, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__fp")), "left_semi"
@@ -151,11 +152,6 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return kept.select("row.*")
 
 
-def _fingerprint_column():
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    @pandas_udf("long")
-    def column(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-        return texts.map(fingerprint_of)
-
-    return column
+@F.pandas_udf("long")
+def _fingerprint_column(texts: pd.Series) -> pd.Series:
+    return texts.map(fingerprint_of)

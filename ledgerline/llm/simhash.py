@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ledgerline.llm.common import Stash, arrow_batches, components
 
@@ -152,6 +153,6 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return kept.select("row.*")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _fingerprint_column(texts: pd.Series) -> pd.Series:
     return texts.map(fingerprint_of)

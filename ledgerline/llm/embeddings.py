@@ -73,7 +73,7 @@ def buckets(x: np.ndarray, dims: int, hashes: int, tables: int = TABLES, probes:
                 rows = np.arange(len(x))
                 at = order[:, probe - 1]
                 codes[rows, at] = second[rows, at]
-            key = np.full(len(x), (table + 1) * 1_000_003 + dims, dtype=np.uint64)
+            key = np.full(len(x), ((table + 1) << 40) + (dims << 16), dtype=np.uint64)  # clear of the axis codes
             for h in range(hashes):
                 key = (key ^ codes[:, h].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)

@@ -60,7 +60,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 class Featurizer:
     """Hashed words (with counts) and statistics of texts; a worker remembers the bucket and marks of frequent words."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 250_000) -> None:
         self.known: dict[str, int] = {}
         self.most = most
 

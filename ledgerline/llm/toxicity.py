@@ -153,7 +153,7 @@ class Judge:
             np.maximum.at(out, [owners[k] for k in some], total / lengths(part) + self.bias)
         return out
 
-    def texts(self, texts: list[str], most: int = 600_000) -> np.ndarray:
+    def texts(self, texts: list[str], most: int = 300_000) -> np.ndarray:
         """Probability of each text; texts without a word get the share of toxic texts among those without one, near zero."""
         bags = [units(text) for text in texts]
         new = list(set().union(*bags).difference(self.known))

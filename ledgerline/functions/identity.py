@@ -63,7 +63,7 @@ def stable_id(namespace: str, *parts: Column | Json) -> Column:
     return F.concat(F.lit(f"{namespace}:"), F.substring(F.sha2(payload, 256), 1, DIGEST_LENGTH))
 
 
-def _quoted(value: Column) -> Column:
+def quoted(value: Column) -> Column:
     """Text quoted the way a record's printed form quotes it."""
     escaped = value
     for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
@@ -78,5 +78,5 @@ def scope_text(prefix: str = "") -> Column:
     # Fixed value: record name and field order of the printed form.
     fields = []
     for name in SCOPE:
-        fields += [F.lit(f"{', ' if fields else ''}{name}="), _quoted(F.col(prefix + name))]
+        fields += [F.lit(f"{', ' if fields else ''}{name}="), quoted(F.col(prefix + name))]
     return F.concat(F.lit("StateScope("), *fields, F.lit(")"))

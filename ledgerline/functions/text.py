@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# White space of any kind, as members of a character class.
+WHITE = r"\s\p{Z}\x1C-\x1F\x85"
+
+
 @lru_cache(maxsize=1)
 def _fold_exceptions() -> str:
     """Characters whose full case folding differs from their lower case, as "c=folded;" text."""
@@ -41,13 +45,13 @@ def normalize_identifier(value: Column) -> Column:
 
 def normalize_question(value: Column) -> Column:
     """Case-folded, hyphens as spaces, runs of white space collapsed."""
-    spaced = F.regexp_replace(F.replace(casefold(value), F.lit("-"), F.lit(" ")), r"[\s\p{Z}]+", " ")
+    spaced = F.regexp_replace(F.replace(casefold(value), F.lit("-"), F.lit(" ")), rf"[{WHITE}]+", " ")
     return F.trim(spaced)
 
 
 def is_blank(value: Column) -> Column:
     """Null, empty or white space of any kind."""
-    return value.isNull() | ~value.rlike(r"[^\s\p{Z}\x1C-\x1F\x85]")
+    return value.isNull() | ~value.rlike(f"[^{WHITE}]")
 
 
 def decimal_text(value: Column) -> Column:

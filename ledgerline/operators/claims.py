@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import Json, decimal_text, stable_id
+from ledgerline.functions.identity import quoted
 from ledgerline.functions.text import normalize_question
 from ledgerline.operators.bom import KEYWORD, has_keyword
 from ledgerline.operators.evidence import INLINE_LIMIT, evidence_id, id_lists, pipeline_statuses, with_chain
@@ -177,8 +178,8 @@ def claim_evidence(lines: DataFrame, by: Sequence[str] = SCOPE, keyword: str = K
 
 def _printed_keys(ids: Column) -> Column:
     """Item list in the printed form that enters claim identifiers."""
-    quoted = F.array_join(F.transform(ids, lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
-    return F.concat(F.lit("("), quoted, F.when(F.size(ids) == 1, ",").otherwise(""), F.lit(")"))
+    listed = F.array_join(F.transform(ids, quoted), ", ")
+    return F.concat(F.lit("("), listed, F.when(F.size(ids) == 1, ",").otherwise(""), F.lit(")"))
 
 
 def claim_ids(

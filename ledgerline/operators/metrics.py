@@ -15,13 +15,14 @@ def _ratio(part: Column, whole: Column) -> Column:
 def resolution_metrics(decisions: DataFrame, gold: DataFrame, by: Sequence[str], on: Sequence[str]) -> DataFrame:
     """Precision, recall, false merges and the review class of resolution decisions.
 
-    gold: join columns and gold_key (null when the mention has no canonical item).
+    gold: join columns, grouping columns and gold_key (null when the mention has no canonical item). Gold mentions without a
+    decision count against recall.
     """
-    judged = decisions.join(gold, list(on))
+    judged = decisions.withColumn("_decided", F.lit(1)).join(gold, list(on), "right")
     resolved = F.col("canonical_key").isNotNull()
     right = resolved & (F.col("canonical_key") == F.col("gold_key"))
     counts = judged.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("mentions"),
+        F.count("_decided").alias("mentions"),
         F.count(F.when(resolved, 1)).alias("resolved"),
         F.count(F.when(right, 1)).alias("correct"),
         F.count(F.when(resolved & ~F.coalesce(right, F.lit(False)), 1)).alias("false_merges"),

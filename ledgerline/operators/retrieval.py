@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.errors import AccessDenied, ContractError
 from ledgerline.functions import Json, casefold, instant_text, stable_id
 from ledgerline.operators.evidence import INLINE_LIMIT, id_lists
-from ledgerline.operators.scope import RequestContext
+from ledgerline.operators.scope import RequestContext, authorize
 
 # White space that separates words; a term never contains it.
 SPACE = r"[\s\p{Z}\x1C-\x1F\x85]+"
@@ -127,8 +127,7 @@ def search(
         raise ContractError("a limit is positive")
     if manifest is None or manifest["status"] != "ready":
         raise LookupError("the projection is not ready")
-    context.require("search")
-    if not context.matches(manifest):
+    if not authorize(context, "search", manifest):
         raise AccessDenied("the request is for another scope than the projection")
     terms = query_terms(query)
     matched = F.lit(0)

@@ -84,11 +84,12 @@ def scenario_lines(
     """
     summed = proposed.groupBy(*by, "sku").agg(F.sum("quantity").cast(TOTAL_QUANTITY).alias("quantity"))
     resolved = resolve_rows(summed, candidates)
+    scoped = [name for name in by if name in prices.columns]  # a price table with scope columns prices its own scopes only
     priced = resolved.join(
-        latest_prices(prices, cutoff).select(
-            "canonical_key", F.col("unit_price").cast(TOTAL_PRICE).alias("unit_price"), "effective_at"
+        latest_prices(prices, cutoff, scoped).select(
+            *scoped, "canonical_key", F.col("unit_price").cast(TOTAL_PRICE).alias("unit_price"), "effective_at"
         ),
-        "canonical_key",
+        [*scoped, "canonical_key"],
         "left",
     )
     section = (

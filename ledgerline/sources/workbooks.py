@@ -6,8 +6,9 @@ import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -142,7 +143,11 @@ def workbook_lines(path: str, content: bytes, sheet: str) -> Iterator[dict]:
         }
 
 
-READ_ERRORS = (ValueError, KeyError, IndexError, InvalidOperation, zipfile.BadZipFile, ElementTree.ParseError)
+# What reading a single file can raise: broken, encrypted, truncated or unsupported archives, and malformed sheets.
+READ_ERRORS = (
+    ArithmeticError, EOFError, ElementTree.ParseError, LookupError, NotImplementedError, RuntimeError, ValueError,
+    zipfile.BadZipFile, zlib.error,
+)
 
 
 def _parse(batches: Iterator[pd.DataFrame], sheet: str) -> Iterator[pd.DataFrame]:

@@ -93,3 +93,10 @@ def test_nulls_numbers_and_lists_in_ids(spark):
         )
     )
     assert row.first()[0] == expected_id("x", None, 3, ["a", 'b"'])
+
+
+def test_question_white_space_of_any_kind(spark):
+    from ledgerline.functions.text import normalize_question
+
+    row = spark.createDataFrame([("how\x1cmany\x85 gpu -\tnow ",)], "q string").select(normalize_question(F.col("q")))
+    assert row.first()[0] == "how many gpu now"

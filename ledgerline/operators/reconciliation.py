@@ -149,19 +149,23 @@ def sources_without_policy(lines: DataFrame, by: Sequence[str] = SCOPE) -> DataF
     return sources.groupBy(*by).agg(F.count(F.lit(1)).alias("source_count")).where("source_count > 1")
 
 
+def only_single_source(rows: DataFrame, lines: DataFrame, by: Sequence[str] = SCOPE, strict: bool = True) -> DataFrame:
+    """`rows` of scopes whose `lines` have one source; others fail the job, or drop out when not strict."""
+    several = sources_without_policy(lines, by).select(*by, F.lit(True).alias("_several"))
+    marked = rows.join(several, list(by), "left")
+    if strict:
+        alone = F.when(F.col("_several"), F.raise_error(F.lit(errors.NO_GOVERNING_SOURCE))).otherwise(F.lit(True))
+        return marked.where(alone.cast("boolean")).drop("_several")
+    return marked.where(F.col("_several").isNull()).drop("_several")
+
+
 def reconcile_single_source(lines: DataFrame, by: Sequence[str] = SCOPE, strict: bool = True) -> DataFrame:
     """Reconciliation without a policy: each scope's only source governs.
 
     Scopes with several sources fail the job, or drop out when not strict.
     """
     totals = source_totals(lines, by)
-    several = sources_without_policy(totals, by).select(*by, F.lit(True).alias("_several"))
-    marked = totals.join(several, list(by), "left")
-    if strict:
-        alone = F.when(F.col("_several"), F.raise_error(F.lit(errors.NO_GOVERNING_SOURCE))).otherwise(F.lit(True))
-        marked = marked.where(alone.cast("boolean")).drop("_several")
-    else:
-        marked = marked.where(F.col("_several").isNull()).drop("_several")
+    marked = only_single_source(totals, totals, by, strict)
     one = marked.withColumn("_only", F.lit("only"))
     rows = reconcile_totals(one, ["only"], by, source="_only")
     names = marked.groupBy(*by).agg(F.min("artifact_id").alias("_source"))

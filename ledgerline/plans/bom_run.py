@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators.bom import KEYWORD, bom_assertions
 from ledgerline.operators.claims import claims_from_summary, reconciled_keys, run_status, scope_summary
 from ledgerline.operators.evidence import INLINE_LIMIT, evidence_id, id_lists, pipeline_statuses, with_chain
-from ledgerline.operators.reconciliation import reconcile_lines, reconcile_single_source
+from ledgerline.operators.reconciliation import only_single_source, reconcile_lines, reconcile_single_source
 from ledgerline.operators.resolution import resolve_identifiers, resolve_rows
 from ledgerline.operators.scope import RequestContext, within
 from ledgerline.schemas import SCOPE
@@ -43,7 +43,8 @@ def run_bom(
 ) -> BomRun:
     """Assertions, decisions, operational and reconciled lines, run summary and claims.
 
-    Without a precedence every scope must have a single source.
+    Without a precedence the resolved lines of every scope must come from a single source; otherwise reconciled lines, summary and
+    claims fail alike.
     """
     if context is not None:
         lines = within(lines, context)
@@ -53,6 +54,8 @@ def run_bom(
         reconciled = reconcile_single_source(operational, by, strict=True)
         single = lines.withColumn("artifact_id", F.lit("only"))
         summary = scope_summary(reconciled_keys(single, candidates, ["only"], by, keyword), by)
+        mentions = resolve_rows(lines.select(*by, "artifact_id", "sku").distinct(), candidates)
+        summary = only_single_source(summary, mentions.where("resolution = 'resolved'"), by)
     else:
         reconciled = reconcile_lines(operational, precedence, by, strict=strict)
         summary = scope_summary(reconciled_keys(lines, candidates, precedence, by, keyword, strict), by)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import SCOPE_VALUES, bom, candidates, expected_id, operational
+from ledgerline import errors
 from ledgerline.errors import AccessDenied, ContractError
 from ledgerline.operators import bom as bom_ops
 from ledgerline.operators import claims, resolution, state
@@ -189,6 +190,17 @@ def test_run_with_one_unknown(spark):
     assert [n.status for n in chain.nodes] == ["observed", "partially_resolved", "observed", "reconciled"]
 
 
+def test_run_without_precedence_refuses_several_sources(spark):
+    lines = bom(spark, [("GPU-A", "GPU", 1, 2, "a"), ("GPU-A", "GPU", 1, 2, "b")])
+    run = run_bom(lines, candidates(spark, "GPU-A"))
+    for table in (run.reconciled_lines, run.summary, run.claims):
+        with pytest.raises(Exception, match=errors.NO_GOVERNING_SOURCE):
+            table.collect()
+    # a source without resolved lines needs no policy
+    lines = bom(spark, [("GPU-A", "GPU", 1, 2, "a"), ("UNKNOWN", "GPU", 1, 2, "b")])
+    assert by_kind(run_bom(lines, candidates(spark, "GPU-A")).claims)["gpu_quantity"].status == "unresolved"
+
+
 def test_run_needs_the_permission_and_scope(spark):
     lines = bom(spark, PRICED).unionByName(bom(spark, PRICED, project_id="other"))
     allowed = RequestContext("me", "tenant", "project", "site", frozenset({"read_state"}))

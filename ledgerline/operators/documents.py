@@ -86,9 +86,9 @@ def normalize(fields: DataFrame, types: DataFrame) -> DataFrame:
     """Typed, unit-bearing values from raw fields, by declared type.
 
     types: field_name, value_type (decimal, date, timestamp, text), unit, factor. Values that do not
-    parse become unresolved observations with a diagnostic; nothing is dropped.
+    parse and fields that are not declared become unresolved observations with a diagnostic; nothing is dropped.
     """
-    joined = fields.join(types, "field_name")
+    joined = fields.join(types, "field_name", "left")
     raw, kind = F.col("raw_value"), F.col("value_type")
     number = F.expr("try_cast(raw_value as decimal(18,6))") * F.coalesce(F.col("factor"), F.lit(1))
     typed = joined.select(
@@ -105,6 +105,7 @@ def normalize(fields: DataFrame, types: DataFrame) -> DataFrame:
         "*",
         F.when(empty, "unresolved").otherwise("observed").alias("status"),
         F.when(F.col("raw_value").isNull(), "source field is missing")
+        .when(kind.isNull(), "field is not declared")
         .when(empty, "value does not parse as declared")
         .alias("diagnostic"),
     )

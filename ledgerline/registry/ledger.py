@@ -308,12 +308,12 @@ FIELD_TYPES = (
     "('ship_date', 'date', NULL, NULL), ('flag', 'text', NULL, NULL)"
 )
 NORMALIZED = f"""raw AS ({RAW_FIELDS}), ty AS (SELECT * FROM ({FIELD_TYPES}) t(field_name, value_type, unit, factor)),
-typed AS (SELECT record_key, raw.field_name, unit, raw_value,
+typed AS (SELECT record_key, raw.field_name, unit, raw_value, value_type,
 CASE WHEN value_type = 'decimal' THEN CAST(TRY_CAST(raw_value AS DECIMAL(18,6)) * factor AS DECIMAL(38,12)) END AS num,
 CASE WHEN value_type = 'date' THEN TRY_CAST(raw_value AS DATE) END AS date, CASE WHEN value_type = 'text' THEN raw_value END AS text_value
-FROM raw JOIN ty ON raw.field_name = ty.field_name),
+FROM raw LEFT JOIN ty ON raw.field_name = ty.field_name),
 obs AS (SELECT *, CASE WHEN num IS NULL AND date IS NULL AND text_value IS NULL THEN 'unresolved' ELSE 'observed' END AS status,
-CASE WHEN raw_value IS NULL THEN 'source field is missing' WHEN num IS NULL AND date IS NULL AND text_value IS NULL THEN 'value does not parse as declared' END AS diagnostic FROM typed)"""
+CASE WHEN raw_value IS NULL THEN 'source field is missing' WHEN value_type IS NULL THEN 'field is not declared' WHEN num IS NULL AND date IS NULL AND text_value IS NULL THEN 'value does not parse as declared' END AS diagnostic FROM typed)"""
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:

@@ -164,3 +164,17 @@ def test_purchase_order_totals_and_coverage(spark):
 def test_snapshots_are_kept_once_in_order(spark, added):
     row = spark.range(1).select(provenance.with_snapshots(F.array(F.lit("b")), F.array(*[F.lit(a) for a in added])))
     assert row.first()[0] == list(dict.fromkeys(["b", *added]))
+
+
+def test_undeclared_fields_stay_unresolved(spark):
+    fields = spark.createDataFrame(
+        [("quantity", "2", "", ""), ("colour", "red", "", ""), ("shade", None, "", "")],
+        "field_name string, raw_value string, status string, diagnostic string",
+    )
+    types = spark.sql("SELECT 'quantity' AS field_name, 'decimal' AS value_type, 'each' AS unit, CAST(1 AS DECIMAL(9,6)) AS factor")
+    rows = {r.field_name: (r.status, r.diagnostic) for r in documents.normalize(fields, types).collect()}
+    assert rows == {
+        "quantity": ("observed", None),
+        "colour": ("unresolved", "field is not declared"),
+        "shade": ("unresolved", "source field is missing"),
+    }

@@ -17,9 +17,9 @@ def capture(references: DataFrame, contents: DataFrame, provenance_id: Column) -
 
     references: source_system, source_uri, scope columns, observed_at, source_version.
     contents: source_uri, content_hash, media_type, byte_length, captured_at.
-    A capture before its observation is rejected.
+    A capture before its observation is rejected, and so is a reference without a timed capture; rejection says which.
     """
-    joined = references.join(contents, "source_uri").withColumn(
+    joined = references.join(contents, "source_uri", "left").withColumn(
         "reference_id",
         stable_id(
             "source-reference",
@@ -43,7 +43,8 @@ def capture(references: DataFrame, contents: DataFrame, provenance_id: Column) -
             provenance_id,
         ),
     )
-    return artifacts, joined.where(~in_time)
+    reason = F.when(F.col("captured_at").isNull(), "not captured").otherwise("captured before it was observed")
+    return artifacts, joined.where(~F.coalesce(in_time, F.lit(False))).withColumn("rejection", reason)
 
 
 def structure(documents: DataFrame, collection: str, kind: Column, text: str = "text") -> DataFrame:

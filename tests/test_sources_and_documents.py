@@ -128,7 +128,7 @@ def test_structure_map_normalize(spark):
 
 def test_capture_rejects_early_captures(spark):
     refs = spark.createDataFrame(
-        [("dms", u, "t", "p", "s", "v", day(d), None) for u, d in (("a", 1), ("b", 9))],
+        [("dms", u, "t", "p", "s", "v", day(d), None) for u, d in (("a", 1), ("b", 9), ("c", 1))],
         "source_system string, source_uri string, tenant_id string, project_id string, site_id string, version string, observed_at timestamp, source_version string",
     )
     contents = spark.createDataFrame(
@@ -137,7 +137,8 @@ def test_capture_rejects_early_captures(spark):
     )
     kept, rejected = documents.capture(refs, contents, F.lit("prov"))
     row = kept.first()
-    assert row.source_uri == "a" and [r.source_uri for r in rejected.collect()] == ["b"]
+    assert kept.count() == 1 and row.source_uri == "a"
+    assert {r.source_uri: r.rejection for r in rejected.collect()} == {"b": "captured before it was observed", "c": "not captured"}
     ref = expected_id("source-reference", "dms", "a", "StateScope(tenant_id='t', project_id='p', site_id='s', version='v')", "2026-01-01T00:00:00+00:00", None)
     assert row.artifact_id == expected_id("artifact", ref, "hash", "text/plain", 3, "2026-01-05T00:00:00+00:00", "prov")
 

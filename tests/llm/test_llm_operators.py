@@ -355,6 +355,20 @@ def test_lines_in_large_buckets(spark):
     assert sorted(r.doc_id for r in found if r.text) == [0, 100, 101, 102, 103, 104]
 
 
+def test_long_lines_of_any_script_are_signed_whole(spark):
+    """Near copies in Cyrillic that differ in their only Latin words, and pairs of which one has hardly any a, e or n."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(30):
+        body = "".join(rng.choice("бвгдежзиклмнопрст ") for _ in range(400))
+        rows += [(i, body[:200] + "".join(rng.choice("aen") for _ in range(14)) + body[200:]) for i in (2 * i, 2 * i + 1)]
+    for i in range(30, 60):
+        body = "".join(rng.choice("bcdfghijklm ") for _ in range(300))
+        rows += [(2 * i, body + " bcd"), (2 * i + 1, body + " aeneaneaeneae")]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found if r.text) == list(range(0, 120, 2))
+
+
 # --- 3 and 5 classifiers ----------------------------------------------------------------------------------------
 
 

@@ -369,6 +369,26 @@ def test_long_lines_of_any_script_are_signed_whole(spark):
     assert sorted(r.doc_id for r in found if r.text) == list(range(0, 120, 2))
 
 
+def test_small_clusters_in_large_buckets(spark, monkeypatch):
+    """Lines of one template that are not similar, each with one near copy: every copy goes, in buckets of several chunks."""
+    monkeypatch.setattr(lines, "CHUNK", 32, raising=False)
+    rng = random.Random(12)
+
+    def part(n):
+        return "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+
+    template = part(400)
+    rows = []
+    for i in range(100):
+        own = part(40)
+        rows += [(2 * i, f"x{template}{own}{part(29)}x"), (2 * i + 1, f"x{template}{own}{part(29)}x")]
+    sets = [shingles(t) for _, t in rows]
+    linked = {(a, b) for a in range(200) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert linked == {(2 * i + 1, 2 * i) for i in range(100)}
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found if r.text) == list(range(0, 200, 2))
+
+
 # --- 3 and 5 classifiers ----------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from ledgerline.functions import Json, decimal_text, stable_id
 from ledgerline.functions.identity import quoted
 from ledgerline.functions.text import normalize_question
 from ledgerline.operators.bom import KEYWORD, has_keyword
-from ledgerline.operators.evidence import INLINE_LIMIT, evidence_id, id_lists, pipeline_statuses, with_chain
+from ledgerline.operators.evidence import INLINE_LIMIT, WHOLE, evidence_id, id_lists, pipeline_statuses, with_chain
 from ledgerline.operators.reconciliation import merge_totals, reconcile_totals
 from ledgerline.operators.resolution import resolve_rows
 from ledgerline.schemas import MONEY, SCOPE
@@ -182,6 +182,11 @@ def _printed_keys(ids: Column) -> Column:
     return F.concat(F.lit("("), listed, F.when(F.size(ids) == 1, ",").otherwise(""), F.lit(")"))
 
 
+def _subset() -> Column:
+    """Which lines a claim cites, as `claim_evidence` names them."""
+    return F.when(F.col("kind") == KEYWORD_QUANTITY, "keyword_lines").otherwise("lines")
+
+
 def claim_ids(
     claims: DataFrame,
     evidence: DataFrame,
@@ -190,16 +195,15 @@ def claim_ids(
     limit: int = INLINE_LIMIT,
 ) -> DataFrame:
     """Attach chain and claim identifiers to claims, with their bounded evidence lists."""
-    subset = F.when(F.col("kind") == KEYWORD_QUANTITY, "keyword_lines").otherwise("lines")
     lists = id_lists(evidence, [*by, "subset"], ["line_no"], limit=limit)
-    keys = id_lists(key_rows, by, ["canonical_key"], "canonical_key", limit)
+    keys = id_lists(key_rows, by, ["canonical_key"], "canonical_key", WHOLE)
     keys = keys.select(
         *by,
         F.lit(DISTINCT_SKUS).alias("kind"),
-        F.coalesce(_printed_keys(F.col("ids")), F.col("ids_json")).alias("_keys"),
+        _printed_keys(F.col("ids")).alias("_keys"),
     )
     joined = (
-        claims.withColumn("subset", subset)
+        claims.withColumn("subset", _subset())
         .join(lists, [*by, "subset"], "left")
         .join(keys, [*by, "kind"], "left")
         .withColumn("ids_json", F.coalesce("ids_json", F.lit("[]")))
@@ -214,13 +218,17 @@ def claim_ids(
 
 
 def review_context(claims_with_ids: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
-    """What a reviewer sees of a claim; filter by claim_id to pick one."""
+    """What a reviewer sees of a claim; filter by claim_id to pick one.
+
+    `evidence_ids` is null beyond the inline limit; `evidence_count` counts all, and `review_evidence` has them as rows.
+    """
     return claims_with_ids.select(
         *by,
         "claim_id",
         F.col("kind").alias("claim_kind"),
         F.col("value").alias("claim_value"),
         F.col("status").alias("claim_status"),
+        "evidence_count",
         F.col("ids").alias("evidence_ids"),
         "chain_id",
         F.col("nodes.node_id").alias("node_ids"),
@@ -228,6 +236,12 @@ def review_context(claims_with_ids: DataFrame, by: Sequence[str] = SCOPE) -> Dat
     )
 
 
+def review_evidence(claims_with_ids: DataFrame, evidence: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
+    """One row per claim and line it cites, however many there are; evidence as `claim_evidence` makes it."""
+    cited = claims_with_ids.withColumn("subset", _subset()).select(*by, "subset", "claim_id")
+    return evidence.join(cited, [*by, "subset"]).select(*by, "claim_id", "line_no", "evidence_id")
+
+
 # Words that route a question, in order of precedence.
 QUANTITY_WORDS = ("how many", "quantity")
 COST_WORDS = ("cost", "price", "total")

@@ -13,6 +13,8 @@ from ledgerline.operators.skew import hot_keys
 # Lists up to this length are kept as ordered arrays. Longer ones stay in their link table and
 # enter identifiers through an order-free digest, so that no group is ever gathered whole.
 INLINE_LIMIT = 1000
+# For identifiers that are defined over the whole list, whatever its length.
+WHOLE = (1 << 31) - 1
 
 
 def evidence_id(columns: Sequence[str]) -> Column:

@@ -636,7 +636,7 @@ def review_context(spark: SparkSession, sf: str) -> DataFrame:
         "claim_id",
         "claim_kind",
         "claim_status",
-        F.coalesce(F.size("evidence_ids"), F.lit(0)).alias("evidence_count"),
+        "evidence_count",
         "chain_id",
         F.array_join("node_ids", " ").alias("node_ids"),
         F.array_join("allowed_reasons", " ").alias("allowed_reasons"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import decimal_text
 from ledgerline.operators import documents, ledger, metrics, provenance, retrieval
-from ledgerline.operators.evidence import CHAIN_STEPS, evidence_id, id_lists
+from ledgerline.operators.evidence import CHAIN_STEPS, WHOLE, evidence_id, id_lists
 from ledgerline.operators.reconciliation import reconcile_lines
 from ledgerline.operators.record_ids import with_record_id
 from ledgerline.operators.scope import RequestContext
@@ -374,7 +374,7 @@ def entity_mention_ids(spark: SparkSession, sf: str) -> DataFrame:
     made = bind(spark, sf, "event_assertions").withColumn("text", F.col("subject_key"))
     made = made.withColumn("entity_type", F.col("predicate"))
     mentions = documents.entity_mentions(made)
-    lists = id_lists(made, [*BY, "text", "entity_type"], ["event_id"], "assertion_id")
+    lists = id_lists(made, [*BY, "text", "entity_type"], ["event_id"], "assertion_id", WHOLE)
     joined = mentions.join(lists.withColumnRenamed("ids_json", "assertions_json"), [*BY, "text", "entity_type"])
     return with_record_id(joined, "entity-mention", "mention_id").select(*BY, "text", "entity_type", "mention_id")
 

@@ -469,7 +469,7 @@ def purchase_order_ids(spark: SparkSession, sf: str) -> DataFrame:
     lines = bind(spark, sf, "po_lines").withColumn("required_by", F.col("order_date"))
     lines = lines.withColumn("evidence_id", F.concat(F.lit("e-"), F.col("line_id")))
     identified = lines.withColumn("po_line_id", purchasing.purchase_order_line_id())
-    lists = evidence.id_lists(identified, ["order_number"], ["l_linenumber"], "po_line_id")
+    lists = evidence.id_lists(identified, ["order_number"], ["l_linenumber"], "po_line_id", evidence.WHOLE)
     orders = bind(spark, sf, "purchase_orders").withColumn(
         "evidence_id", F.concat(F.lit("e-"), F.col("order_number"))
     )

@@ -291,6 +291,34 @@ def test_long_evidence_lists_are_digested_not_gathered(spark):
     assert lists["k3"].ids == [x.evidence_id for x in plain["k3"].l]
 
 
+@pytest.mark.parametrize("name", ["purchase_order_ids", "entity_mention_ids"])
+def test_identifiers_over_whole_lists_have_no_limit(spark, sf_dir, monkeypatch, name):
+    """Every list is beyond the inline limit here; the SQL digests whole lists."""
+    import __spark_entry__ as contract
+    from compare import connect, differences
+
+    monkeypatch.setattr(id_lists, "__defaults__", ("evidence_id", 0))
+    assert differences(contract.queries()[name](spark, sf_dir), connect(sf_dir), contract.oracle_sql()[name]) == ""
+
+
+def test_review_of_claims_beyond_the_inline_limit(spark, sf_dir):
+    from ledgerline.plans.claim_register import register_claims
+    from ledgerline.registry.bom import KEYWORD, PRECEDENCE
+    from ledgerline.sources.bindings import bind
+
+    lines = bind(spark, sf_dir, "small_boms")
+    short, long = (
+        register_claims(lines, bind(spark, sf_dir, "candidates"), PRECEDENCE, keyword=KEYWORD, limit=limit) for limit in (1000, 0)
+    )
+    by = [*SCOPE, "kind"]
+    whole = {tuple(r[c] for c in by): len(r.ids or []) for r in short.collect()}
+    shown = {(*(r[c] for c in SCOPE), r.claim_kind): r.evidence_count for r in claims.review_context(long).collect()}
+    links = claims.review_evidence(long, claims.claim_evidence(lines, keyword=KEYWORD)).groupBy(*SCOPE, "claim_id").count()
+    named = links.join(long.select(*by, "claim_id"), [*SCOPE, "claim_id"]).collect()
+    assert shown == whole and max(whole.values()) > 1
+    assert {tuple(r[c] for c in by): r["count"] for r in named} == {k: n for k, n in whole.items() if n}
+
+
 def test_question_routes(spark):
     asked = [
         ("How many GPUs do we need?", "gpu_quantity"),

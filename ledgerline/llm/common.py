@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -98,3 +98,41 @@ def texts_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[p
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column)).to_pylist()
         yield batch, [value or "" for value in values]
+
+
+class Recent:
+    """What words are encoded to, for words met lately, in at most about twice `most` bytes.
+
+    Words of the present generation answer at once; those of the last one move over when they are met again; when the present one is full,
+    it becomes the last, and what was not met since then is forgotten. So frequent words stay for ever, rare ones make room, and
+    words that first occur late are taken in, too.
+    """
+
+    ENTRY = 160  # bytes that an entry takes besides its word and value
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int) -> None:
+        self.encode = encode
+        self.most = most
+        self.now: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
+        self.held = 0
+
+    def joined(self, parts: list[list[str]]) -> list[bytes]:
+        """For each list of words the values of its words, joined."""
+        now, last = self.now, self.last
+        missing = set().union(*parts).difference(now)
+        new = []
+        for word in missing:
+            value = last.get(word)
+            if value is None:
+                new.append(word)
+            else:
+                now[word] = value
+                self.held += self.ENTRY + len(word) + len(value)
+        for word, value in zip(new, self.encode(new), strict=True):
+            now[word] = value
+            self.held += self.ENTRY + len(word) + len(value)
+        out = [b"".join(map(now.__getitem__, words)) for words in parts]
+        if self.held > self.most:
+            self.last, self.now, self.held = now, {}, 0
+        return out

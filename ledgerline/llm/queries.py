@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, embeddings, lines, mixing, packing, pieces, quality, simhash, suffixes, topk, toxicity
-from ledgerline.llm.common import table
+from ledgerline.llm import chat, embeddings, lines, mixing, packing, pieces, quality, simhash, structure, suffixes, topk, toxicity
+from ledgerline.llm.common import Stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -199,3 +199,88 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op12_structure_repair",
+    r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+), hit AS (
+  SELECT *, xor(list_reduce(
+      list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    ), 4294967295) % 20 AS h
+  FROM given
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, (VALUES (1), (2)) AS c(copy) WHERE h <> 0 AND (copy = 1 OR h = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged
+), marked AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE
+      WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), inserts(s, t, n, roles) AS (
+  VALUES (0, 0, 0, ''), (0, 2, 1, chr(10) || 'user:'), (0, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'),
+    (1, 1, 0, ''), (1, 2, 1, chr(10) || 'user:'), (1, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'),
+    (2, 2, 0, ''), (2, 3, 1, chr(10) || 'assistant:'), (3, 3, 0, ''), (3, 2, 1, chr(10) || 'user:')
+), edits(s, t, edit, initial, role, cost) AS (
+  VALUES (0, 0, 'D', '', '', 4), (1, 1, 'D', '', '', 4), (2, 2, 'D', '', '', 4), (3, 3, 'D', '', '', 4),
+    (0, 2, 'R', '', 'user', 3), (1, 2, 'R', '', 'user', 3), (2, 3, 'R', '', 'assistant', 3), (3, 2, 'R', '', 'user', 3),
+    (0, 1, 'K', 's', '', 0), (0, 2, 'K', 'u', '', 0), (1, 2, 'K', 'u', '', 0), (2, 3, 'K', 'a', '', 0), (3, 2, 'K', 'u', '', 0)
+), fold(conv_id, i, s, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, struct_pack(c := CAST(0 AS BIGINT), a := '', r := '') FROM marked
+  UNION ALL
+  SELECT f.conv_id, f.i + 1, e.t, min(struct_pack(
+      c := f.best.c + 3 * n.n + e.cost + CASE WHEN m.fault = 'truncated' AND e.edit <> 'D' THEN 3 ELSE 0 END,
+      a := f.best.a || repeat('I', n.n) || e.edit,
+      r := f.best.r || n.roles || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || m.role || ':' || m.text ELSE chr(10) || e.role || ':' || m.text END))
+  FROM fold f JOIN marked m ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = f.i + 1
+  JOIN inserts n ON n.s = f.s
+  JOIN edits e ON e.s = n.t AND (e.edit <> 'K' OR e.initial = m.initial) AND (e.edit = 'D' OR m.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY f.conv_id, f.i + 1, e.t
+), ended AS (
+  SELECT f.conv_id, min(struct_pack(c := f.best.c + 3 * n.n, a := f.best.a || repeat('I', n.n), r := f.best.r || n.roles)) AS best
+  FROM fold f JOIN (SELECT conv_id, max(i) AS i FROM marked GROUP BY conv_id) l ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i
+  JOIN inserts n ON n.s = f.s AND n.t IN (0, 3) GROUP BY f.conv_id
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated
+  FROM marked GROUP BY conv_id
+), adjacent AS (
+  SELECT conv_id, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS two FROM marked
+), illegal AS (
+  SELECT conv_id, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM adjacent GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN sums ON o.conv_id IS NOT DISTINCT FROM sums.conv_id LEFT JOIN illegal ON o.conv_id IS NOT DISTINCT FROM illegal.conv_id
+LEFT JOIN ended ON o.conv_id IS NOT DISTINCT FROM ended.conv_id
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    edited, pieces_ = structure.repair(structure.damage(given))
+    edited = Stash(spark, "structure").put(edited)
+    faults = edited.groupBy("conv_id").agg(
+        (F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")).alias("gaps"),
+        *[F.count_if(F.col("fault") == name).alias(name) for name in ("blank", "duplicate", "truncated")],
+    )
+    costs = pieces_.groupBy("conv_id").agg(F.sum("illegal").alias("illegal"), F.sum("cost").alias("cost"))
+    out = given.select("conv_id").distinct()
+    for more in (faults, costs, structure.digests(edited)):
+        more = more.withColumnRenamed("conv_id", "same")
+        out = out.join(more, F.col("conv_id").eqNullSafe(F.col("same")), "left").drop("same")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, embeddings, lines, mixing, packing, pieces, quality, simhash, structure, suffixes, topk, toxicity
+from ledgerline.llm import chat, embeddings, lines, mixing, negatives, packing, pieces, quality, simhash, structure, suffixes, topk, toxicity
 from ledgerline.llm.common import Stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,3 +284,31 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query(
+    "op13_hard_negatives",
+    """
+WITH coded AS (
+  SELECT row_number() OVER () AS key, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.key, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.c, b.c) AS BIGINT) AS score
+  FROM coded a JOIN coded b ON a.key <> b.key AND len(a.c) = len(b.c) WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id NULLS LAST) AS place FROM pairs WHERE same
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.key, p.place ORDER BY n.score DESC, n.vec_id NULLS LAST) AS INTEGER) AS rank
+  FROM positives p JOIN pairs n ON p.key = n.key AND NOT n.same
+    AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+  WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, shifted)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_batches
+from ledgerline.llm.common import Recent, arrow_batches
 
 CAPACITY = 2048
 END = b"\x01\x00\x00\x00"  # id 1 closes a document
@@ -27,6 +27,9 @@ BLOCK_WINDOWS = 512
 # One remainder in LADDER_EVERY is halved down to LADDER_LEAST ids; these small pieces level the windows.
 LADDER_EVERY = 6
 LADDER_LEAST = 8
+LATIN = "\u024f"
+# What a worker remembers of words and of their cores, each twice at most.
+CACHE_BYTES = 40 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -81,20 +84,31 @@ def cut(length: int, ladder: bool, capacity: int = CAPACITY) -> list[int]:
     return pieces + [rest] if rest else pieces
 
 
+def core(word: str) -> list[str]:
+    """Parts that the tokenizer takes apart anyway: a word of letters in lower case, and one mark behind it; any other word stays whole."""
+    letters = word[:-1] if word[-1] in ".,;:!?" else word
+    # Latin letters only: they hold no marks that could join with a letter, and stay letters when they are composed or made small (but for one)
+    if not letters.isalpha() or not letters.isascii() and (max(letters) > LATIN or "İ" in letters):
+        return [word]
+    if "A" <= letters[0] <= "Z":
+        letters = letters[0].lower() + letters[1:]
+    return [letters, word[-1]] if len(letters) < len(word) else [letters]
+
+
 class Words:
-    """Ids of a text, word by word: the vocabulary never joins across white space, so a frequent word is tokenized once.
+    """Ids of a text, word by word: the vocabulary never joins across white space, so a word met lately is not tokenized again.
 
-    The first `most` distinct words are remembered for all tasks of a Python worker; later ones are tokenized where they occur.
+    What a Python worker remembers for its tasks is bounded in bytes, and words that are not met again make room.
     """
 
     shared: dict[str, Words] = {}
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = CACHE_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        self.cores = Recent(self._encode, most)
+        self.recent = Recent(lambda words: self.cores.joined([core(word) for word in words]), most)
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -102,24 +116,15 @@ class Words:
             cls.shared[path] = cls(path)
         return cls.shared[path]
 
+    def _encode(self, words: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(words), 20_000):
+            for encoded in self.tokenizer.encode_batch_fast(words[start : start + 20_000], add_special_tokens=False):
+                yield array("I", encoded.ids).tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Unsigned little-endian 32-bit ids of each text."""
         # Python splits at these four characters, the vocabulary doesn't
-        parts = [[text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split() for text in texts]
-        new = list(set().union(*parts).difference(self.known))
-        found: dict[str, bytes] = {}
-        for start in range(0, len(new), 20_000):
-            some = new[start : start + 20_000]
-            for word, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                found[word] = array("I", encoded.ids).tobytes()
-        room = self.most - len(self.known)
-        if len(found) <= room:
-            self.known.update(found)
-            lookup = self.known.__getitem__
-        else:
-            known = self.known
-            lookup = lambda word: known.get(word) or found.get(word, b"")
-        return [b"".join(map(lookup, words)) for words in parts]
+        return self.recent.joined([[text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split() for text in texts])
 
 
 def _packer(path: str, capacity: int, block_windows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

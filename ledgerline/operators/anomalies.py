@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.errors import ContractError
-from ledgerline.functions import Json, decimal_text, is_blank, json_ids, scope_text, stable_id
-from ledgerline.operators.evidence import INLINE_LIMIT, id_lists
+from ledgerline.functions import Json, decimal_text, is_blank, scope_text, stable_id
+from ledgerline.operators.members import id_lists
 from ledgerline.operators.state import subject_key
 from ledgerline.schemas import SCOPE
 
@@ -144,13 +144,10 @@ def anomaly_ids(
     evidence: DataFrame,
     provenance_id: Column,
     by: Sequence[str] = SCOPE,
-    limit: int = INLINE_LIMIT,
 ) -> DataFrame:
     """Attach anomaly ids. They sort the evidence and ignore severity, status and detection time."""
     keys = [*by, "canonical_key"]
-    lists = id_lists(evidence, keys, ["evidence_id"], limit=limit).select(
-        *keys, "ids", F.coalesce(json_ids(F.col("ids")), F.col("ids_json")).alias("ids_json")
-    )
+    lists = id_lists(evidence, keys, ["evidence_id"]).select(*keys, "ids_json")
     return anomalies.join(lists, keys, "left").withColumn(
         "anomaly_id",
         stable_id(

@@ -11,9 +11,11 @@ from ledgerline.functions import Json, decimal_text, stable_id
 from ledgerline.functions.identity import quoted
 from ledgerline.functions.text import normalize_question
 from ledgerline.operators.bom import KEYWORD, has_keyword
-from ledgerline.operators.evidence import INLINE_LIMIT, WHOLE, evidence_id, id_lists, pipeline_statuses, with_chain
+from ledgerline.operators.evidence import evidence_id, pipeline_statuses, with_chain
+from ledgerline.operators.members import id_lists
 from ledgerline.operators.reconciliation import merge_totals, reconcile_totals
 from ledgerline.operators.resolution import resolve_rows
+from ledgerline.operators.scope import RequestContext, within
 from ledgerline.schemas import MONEY, SCOPE
 
 # Claim kinds.
@@ -192,15 +194,14 @@ def claim_ids(
     evidence: DataFrame,
     key_rows: DataFrame,
     by: Sequence[str] = SCOPE,
-    limit: int = INLINE_LIMIT,
 ) -> DataFrame:
-    """Attach chain and claim identifiers to claims, with their bounded evidence lists."""
-    lists = id_lists(evidence, [*by, "subset"], ["line_no"], limit=limit)
-    keys = id_lists(key_rows, by, ["canonical_key"], "canonical_key", WHOLE)
+    """Attach chain and claim identifiers to claims; `entries` stand for their evidence lists (see `members`)."""
+    lists = id_lists(evidence, [*by, "subset"], ["line_no"])
+    keys = id_lists(key_rows, by, ["canonical_key"], "canonical_key")
     keys = keys.select(
         *by,
         F.lit(DISTINCT_SKUS).alias("kind"),
-        _printed_keys(F.col("ids")).alias("_keys"),
+        _printed_keys(F.col("entries")).alias("_keys"),
     )
     joined = (
         claims.withColumn("subset", _subset())
@@ -217,11 +218,17 @@ def claim_ids(
     ).drop("_keys", "subset", "id_count")
 
 
-def review_context(claims_with_ids: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
+def review_context(
+    claims_with_ids: DataFrame, by: Sequence[str] = SCOPE, context: RequestContext | None = None
+) -> DataFrame:
     """What a reviewer sees of a claim; filter by claim_id to pick one.
 
-    `evidence_ids` is null beyond the inline limit; `evidence_count` counts all, and `review_evidence` has them as rows.
+    A request context needs the review permission, and sees the claims of its scope only.
+
+    `evidence_entries` stands for the whole list in at most `members.FANOUT` entries; `review_evidence` has the list as rows.
     """
+    if context is not None:
+        claims_with_ids = within(claims_with_ids, context, "review")
     return claims_with_ids.select(
         *by,
         "claim_id",
@@ -229,7 +236,7 @@ def review_context(claims_with_ids: DataFrame, by: Sequence[str] = SCOPE) -> Dat
         F.col("value").alias("claim_value"),
         F.col("status").alias("claim_status"),
         "evidence_count",
-        F.col("ids").alias("evidence_ids"),
+        F.coalesce("entries", F.array().cast("array<string>")).alias("evidence_entries"),
         "chain_id",
         F.col("nodes.node_id").alias("node_ids"),
         F.array(*[F.lit(reason) for reason in REVIEW_REASONS]).alias("allowed_reasons"),

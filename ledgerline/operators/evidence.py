@@ -1,4 +1,4 @@
-"""Evidence references, evidence lists of bounded size, and evidence chains."""
+"""Evidence references and evidence chains."""
 
 from __future__ import annotations
 
@@ -7,15 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions import Json, json_ids, json_text, stable_id
-from ledgerline.operators.skew import hot_keys
-
-# Lists up to this length are kept as ordered arrays. Longer ones stay in their link table and
-# enter identifiers through an order-free digest, so that no group is ever gathered whole.
-INLINE_LIMIT = 1000
-# For identifiers that are defined over the whole list, whatever its length.
-WHOLE = (1 << 31) - 1
-
+from ledgerline.functions import Json, json_ids, stable_id
 
 def evidence_id(columns: Sequence[str]) -> Column:
     """Identifier of a row's evidence; `columns` tells which location kinds the table can hold."""
@@ -37,65 +29,6 @@ def record_evidence_id(artifact: Column, content_hash: Column, collection: Colum
     return stable_id("evidence", artifact, content_hash, F.lit("record"), collection, key)
 
 
-def _digest_word(identifier: Column, half: int) -> Column:
-    digits = F.substring(F.substring_index(identifier, ":", -1), 1 + 12 * half, 12)
-    return F.conv(digits, 16, 10).cast("bigint")
-
-
-def id_lists(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    id_col: str = "evidence_id",
-    limit: int = INLINE_LIMIT,
-) -> DataFrame:
-    """One row per key: `id_count`, `ids` (ordered, null beyond the limit) and `ids_json`.
-
-    `ids_json` is the fragment that enters identifiers: the JSON array, or for longer lists a
-    digest of the ids made with commutative aggregates.
-
-    Rows are counted first, which needs no ids. Rows of hot keys are told apart by a broadcast of those keys, and only
-    digested, with aggregates that combine before their shuffle. The other rows are brought together
-    once; they are gathered into a list where the count says it is short, and digested otherwise.
-    """
-    keys = list(keys)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("id_count"))
-    hot = F.broadcast(hot_keys(counts, keys, limit))
-    identifier = F.col(id_col)
-    short = F.col("id_count") <= limit
-
-    def digest(condition: Column | None = None) -> list[Column]:
-        half = [_digest_word(identifier, i) for i in (0, 1)]
-        return [
-            F.bit_xor(w if condition is None else F.when(condition, w)).alias(f"_w{i}") for i, w in enumerate(half)
-        ]
-
-    entry = F.struct(*order, identifier.alias("_id"))
-    cold = (
-        rows.join(hot, keys, "left_anti")
-        .join(counts, keys)
-        .groupBy(*keys, "id_count")
-        .agg(F.collect_list(F.when(short, entry)).alias("_rows"), *digest(~short))
-        .select(
-            *keys,
-            "id_count",
-            F.when(short, F.sort_array("_rows")["_id"]).alias("ids"),
-            "_w0",
-            "_w1",
-        )
-    )
-    frequent = (
-        rows.join(hot, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("id_count"), *digest())
-        .select(*keys, "id_count", F.lit(None).cast("array<string>").alias("ids"), "_w0", "_w1")
-    )
-    text = F.concat_ws(":", F.col("id_count"), F.hex(F.col("_w0")), F.hex(F.col("_w1")))
-    return cold.unionByName(frequent).select(
-        *keys, "id_count", "ids", F.coalesce(json_ids(F.col("ids")), json_text(text)).alias("ids_json")
-    )
-
-
 # Node kinds and labels of the four-step chain, in order.
 CHAIN_STEPS = (
     ("source_assertion", "source assertions"),

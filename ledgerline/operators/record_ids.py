@@ -1,6 +1,6 @@
 """Identifiers of the remaining record tables, as ordered lists of typed parts.
 
-List parts are JSON fragments named `<list>_json`, as `evidence.id_lists` makes them; value parts are
+List parts are JSON fragments named `<list>_json`, as `members.id_lists` makes them; value parts are
 canonical text. Records with identifiers of their own module (claims, anomalies, purchasing, ...)
 are not repeated here.
 """

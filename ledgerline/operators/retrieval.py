@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.errors import AccessDenied, ContractError
 from ledgerline.functions import Json, casefold, instant_text, stable_id
-from ledgerline.operators.evidence import INLINE_LIMIT, id_lists
+from ledgerline.operators.members import id_lists
 from ledgerline.operators.scope import RequestContext, authorize
 
 # White space that separates words; a term never contains it.
@@ -33,7 +33,6 @@ def build_manifest(
     config_digest: str,
     requested_at: Column,
     context: RequestContext,
-    limit: int = INLINE_LIMIT,
     kind: str = "lexical",
 ) -> DataFrame:
     """One manifest row: how many entries, the newest observation, and their combined identity."""
@@ -41,7 +40,7 @@ def build_manifest(
         raise ContractError("only lexical projections can be built")
     entries = entries.withColumn("projection_id", F.lit(projection_id))
     newest = entries.groupBy("projection_id").agg(F.max("observed_at").alias("_newest"))
-    listed = id_lists(entries, ["projection_id"], ["sequence"], "entry_id", limit)
+    listed = id_lists(entries, ["projection_id"], ["sequence"], "entry_id")
     one = entries.sparkSession.range(1).select(F.lit(projection_id).alias("projection_id"))
     row = one.join(newest, "projection_id", "left").join(listed, "projection_id", "left")
     row = row.select(

@@ -178,7 +178,7 @@ def input_bundles(
 ) -> DataFrame:
     """Members of the decision or prediction input of each scope at a cutoff, newer ones left out.
 
-    Membership stays a table; `evidence.id_lists` turns it into the id part of the bundle.
+    Membership stays a table; `members.id_lists` turns it into the id part of the bundle.
     """
     return items.where(F.col(time) <= cutoff).select(*by, cutoff.alias("bundle_as_of"), id_col).distinct()
 

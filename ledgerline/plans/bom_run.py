@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.bom import KEYWORD, bom_assertions
 from ledgerline.operators.claims import claims_from_summary, reconciled_keys, run_status, scope_summary
-from ledgerline.operators.evidence import INLINE_LIMIT, evidence_id, id_lists, pipeline_statuses, with_chain
+from ledgerline.operators.evidence import evidence_id, pipeline_statuses, with_chain
+from ledgerline.operators.members import id_lists
 from ledgerline.operators.reconciliation import only_single_source, reconcile_lines, reconcile_single_source
 from ledgerline.operators.resolution import resolve_identifiers, resolve_rows
 from ledgerline.operators.scope import RequestContext, within
@@ -69,10 +70,10 @@ def run_bom(
     )
 
 
-def run_chain(lines: DataFrame, summary: DataFrame, by: Sequence[str] = SCOPE, limit: int = INLINE_LIMIT) -> DataFrame:
+def run_chain(lines: DataFrame, summary: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
     """Evidence chain of each scope's run, over all its lines."""
     located = lines.select(*by, "line_no", evidence_id(lines.columns).alias("evidence_id"))
-    lists = id_lists(located, by, ["line_no"], limit=limit)
+    lists = id_lists(located, by, ["line_no"])
     rows = summary.join(lists, list(by))
     statuses = pipeline_statuses(F.col("lines"), F.col("unresolved"), F.col("keys"), F.col("run_status"))
     return with_chain(rows, F.lit(RUN_CLAIM), statuses)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize_identifier
 from ledgerline.functions.text import normalize_question
-from ledgerline.operators import bom, claims, evidence, provenance, reconciliation, resolution, state
+from ledgerline.operators import bom, claims, evidence, members, provenance, reconciliation, resolution, state
 from ledgerline.operators.scope import RequestContext, within
 from ledgerline.plans import bom_run, claim_register
 from ledgerline.registry.base import S, normalized, on_scope, query
@@ -89,19 +89,21 @@ claims AS (SELECT {S}, kind, status,
 FROM stat)"""
 
 
-# JSON of an ordered id list and the digest that stands for a list above the inline limit
-def id_part(ids: str, count: str) -> str:
-    return f"""CASE WHEN {count} <= {evidence.INLINE_LIMIT}
-  THEN '[' || array_to_string(list_transform({ids}, lambda x: '"' || x || '"'), ',') || ']'
-  ELSE '"' || {count} || ':' || upper(printf('%x', w0)) || ':' || upper(printf('%x', w1)) || '"' END"""
+def sql_entries(ids: str) -> str:
+    """Entries that stand for an ordered list in SQL: its members, or the identifiers of its runs (enough for a million members)."""
+    width = members.FANOUT
+    runs = f"range(0, CAST(ceil(len({ids}) / {width}.0) AS BIGINT))"
+    run = sql_id("block", sql_list(f"{ids}[r * {width} + 1 : (r + 1) * {width}]"))
+    return f"CASE len({runs}) WHEN 1 THEN {ids} ELSE list_transform({runs}, lambda r: {run}) END"
 
 
-def words(id_col: str) -> str:
-    digits = f"split_part({id_col}, ':', 2)"
-    return (
-        f"bit_xor(CAST('0x' || substr({digits}, 1, 12) AS BIGINT)) AS w0, "
-        f"bit_xor(CAST('0x' || substr({digits}, 13, 12) AS BIGINT)) AS w1"
-    )
+def sql_list(values: str) -> str:
+    """JSON array of plain identifiers in SQL."""
+    return f"""('["' || array_to_string({values}, '","') || '"]')"""
+
+
+def id_part(ids: str) -> str:
+    return sql_list(sql_entries(ids))
 
 
 def sql_id(namespace: str, *fragments: str) -> str:
@@ -110,6 +112,10 @@ def sql_id(namespace: str, *fragments: str) -> str:
     return f"'{namespace}:' || substr(sha256({payload} || ']'), 1, 24)"
 
 
+def prefixed_scope(name: str) -> str:
+    return ", ".join(f"{name}.{c}" for c in BY)
+
+
 def sql_text(value: str) -> str:
     return f"'\"' || {value} || '\"'"
 
@@ -168,21 +174,25 @@ def bom_assertions(spark: SparkSession, sf: str) -> DataFrame:
     return made.select(*BY, "artifact_id", "record_key", "subject_key", "ordinal", "predicate", "value_text")
 
 
-ASSERTION_SQL = sql_id(
-    "assertion",
-    sql_text("sku"),
-    "'\"has_quantity\"'",
-    sql_text(sql_decimal("quantity")),
-    sql_text(f"({EVIDENCE_SQL})"),
-    "'\"document\"'",
-    "'null'",
-)
+def assertion_sql(predicate: str, value: str) -> str:
+    evidence_sql = sql_text(f"({EVIDENCE_SQL})")
+    return sql_id("assertion", sql_text("sku"), f"'\"{predicate}\"'", sql_text(value), evidence_sql, "'\"document\"'", "'null'")
+
+
+# what each predicate of a line says, in SQL
+SAID = {"has_sku": "sku", "has_description": "description", "has_quantity": sql_decimal("quantity"), "has_unit_price": sql_decimal("unit_price")}
 
 
-@query("assertion_ids", f"SELECT record_key, {ASSERTION_SQL} AS assertion_id FROM {{bom_lines}}")
+@query(
+    "assertion_ids",
+    " UNION ALL ".join(
+        f"SELECT record_key, '{predicate}' AS predicate, {assertion_sql(predicate, value)} AS assertion_id FROM {{bom_lines}} WHERE {value} IS NOT NULL"
+        for predicate, value in SAID.items()
+    ),
+)
 def assertion_ids(spark: SparkSession, sf: str) -> DataFrame:
-    made = bom.bom_assertions(bind(spark, sf, "bom_lines")).where("predicate = 'has_quantity'")
-    return bom.with_assertion_ids(made).select("record_key", "assertion_id")
+    made = bom.bom_assertions(bind(spark, sf, "bom_lines"))
+    return bom.with_assertion_ids(made).select("record_key", "predicate", "assertion_id")
 
 
 @query(
@@ -288,26 +298,18 @@ def component_sql(component: tuple[str, str, str]) -> str:
     )
 
 
-SKU_ASSERTION_SQL = sql_id(
-    "assertion",
-    sql_text("sku"),
-    "'\"has_sku\"'",
-    sql_text("sku"),
-    sql_text(f"({EVIDENCE_SQL})"),
-    "'\"document\"'",
-    "'null'",
-)
+SKU_ASSERTION_SQL = assertion_sql("has_sku", "sku")
 
 
 @query(
     "resolution_decision_ids",
     f"""WITH {resolved('small_boms')},
-sup AS (SELECT {S}, {normalized('sku')} AS identifier_key, count(*) AS n, {words('assertion_id')},
+sup AS (SELECT {S}, {normalized('sku')} AS identifier_key, count(*) AS n,
         list(assertion_id ORDER BY line_no, assertion_id) AS ids
         FROM (SELECT *, {SKU_ASSERTION_SQL} AS assertion_id FROM res) GROUP BY ALL),
 dec AS (SELECT DISTINCT {S}, sku AS mention, canonical_key, resolution, rationale FROM res)
 SELECT {", ".join("d." + c for c in S.split(", "))}, mention, {sql_id('resolution-decision', sql_text('mention'),
-  "coalesce('\"' || canonical_key || '\"', 'null')", sql_text('resolution'), id_part('ids', 'n'), sql_text('rationale'),
+  "coalesce('\"' || canonical_key || '\"', 'null')", sql_text('resolution'), id_part('ids'), sql_text('rationale'),
   sql_text('(' + component_sql(provenance.RESOLVER) + ')'))} AS decision_id
 FROM dec d JOIN sup ON {on_scope('d', 'sup')} AND {normalized('mention')} = identifier_key""",
 )
@@ -315,7 +317,7 @@ def resolution_decision_ids(spark: SparkSession, sf: str) -> DataFrame:
     lines = bind(spark, sf, "small_boms")
     decisions = resolution.resolve_identifiers(lines, bind(spark, sf, "candidates"))
     keyed = resolution.resolution_evidence(bom.with_assertion_ids(bom.identifier_assertions(lines)))
-    lists = evidence.id_lists(keyed, [*BY, "identifier_key"], ["line_no"], "assertion_id")
+    lists = members.id_lists(keyed, [*BY, "identifier_key"], ["line_no"], "assertion_id")
     prov = provenance.component_provenance(provenance.run_id(provenance.local_run()), provenance.RESOLVER)
     joined = decisions.join(lists, [*BY, "identifier_key"], "left")
     return resolution.decision_ids(joined, prov).select(*BY, "mention", "decision_id")
@@ -503,10 +505,10 @@ def chain_sql(table_name: str, claim: str, statuses: list[str], part: str) -> st
 @query(
     "evidence_chain",
     f"""WITH {RUN_SUMMARY},
-ev AS (SELECT {S}, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids, {words('evidence_id')}
+ev AS (SELECT {S}, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids
        FROM (SELECT *, {EVIDENCE_SQL} AS evidence_id FROM res) GROUP BY {S}),
 parts AS (SELECT s.*, CASE WHEN unresolved_mentions = 0 THEN 'resolved' ELSE 'partially_resolved' END AS s1,
-          CASE WHEN keys > 0 THEN 'observed' ELSE 'unresolved' END AS s2, {id_part('ids', 'n')} AS part
+          CASE WHEN keys > 0 THEN 'observed' ELSE 'unresolved' END AS s2, {id_part('ids')} AS part
           FROM statuses s JOIN ev ON {on_scope('s', 'ev')})
 SELECT {S}, chain_id, node_0 AS first_node_id, node_3 AS last_node_id, s1 AS resolution_status
 FROM {chain_sql('parts', "'" + bom_run.RUN_CLAIM + "'", ["'observed'", 's1', 's2', 'run_status'], 'part')}""",
@@ -524,17 +526,17 @@ def evidence_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "source_chain",
-    f"""WITH ev AS (SELECT artifact_id, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids, {words('evidence_id')}
+    f"""WITH ev AS (SELECT artifact_id, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids
        FROM (SELECT *, {EVIDENCE_SQL} AS evidence_id FROM {{bom_lines}}) GROUP BY artifact_id),
 nodes AS (SELECT artifact_id, n AS evidence_count, {sql_id('evidence-node', "'\"source_assertion\"'",
-  "'\"source assertions\"'", "'\"observed\"'", id_part('ids', 'n'))} AS node_id FROM ev),
+  "'\"source assertions\"'", "'\"observed\"'", id_part('ids'))} AS node_id FROM ev),
 chains AS (SELECT *, {sql_id('evidence-chain', sql_text('artifact_id'), "'[\"' || node_id || '\"]'")} AS chain_id FROM nodes)
 SELECT artifact_id, evidence_count, chain_id, {sql_id('claim', sql_text('artifact_id'), sql_text('chain_id'))} AS claim_id FROM chains""",
 )
 def source_chain(spark: SparkSession, sf: str) -> DataFrame:
     lines = bind(spark, sf, "bom_lines")
     located = lines.withColumn("evidence_id", evidence.evidence_id(lines.columns))
-    lists = evidence.id_lists(located, ["artifact_id"], ["line_no"])
+    lists = members.id_lists(located, ["artifact_id"], ["line_no"])
     chained = evidence.source_chain(lists, F.col("artifact_id"))
     return chained.select("artifact_id", F.col("id_count").alias("evidence_count"), "chain_id", "claim_id")
 
@@ -597,10 +599,10 @@ def claim_state_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 CLAIM_IDS = f"""{claimed('small_boms')},
 located AS (SELECT kind, {S}, line_no, {EVIDENCE_SQL} AS evidence_id FROM sub),
-ev AS (SELECT {S}, kind, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids, {words('evidence_id')}
+ev AS (SELECT {S}, kind, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids
        FROM located GROUP BY {S}, kind),
-named AS (SELECT {S}, list(canonical_key ORDER BY canonical_key) AS names FROM rec GROUP BY {S}),
-parts AS (SELECT c.*, coalesce({id_part('ids', 'n')}, '[]') AS part,
+named AS (SELECT {S}, {sql_entries('list(canonical_key ORDER BY canonical_key)')} AS names FROM rec GROUP BY {S}),
+parts AS (SELECT c.*, coalesce({id_part('ids')}, '[]') AS part,
           CASE WHEN c.value IS NOT NULL THEN {sql_decimal('c.value')}
                WHEN c.key_count = 1 THEN '(''' || names[1] || ''',)'
                WHEN c.key_count > 1 THEN '(''' || array_to_string(names, ''', ''') || ''')'
@@ -627,7 +629,7 @@ def claim_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "review_context",
     f"""WITH {CLAIM_IDS} SELECT claim_id, kind AS claim_kind, status AS claim_status, evidence_count, chain_id,
-node_0 || ' ' || node_1 || ' ' || node_2 || ' ' || node_3 AS node_ids,
+node_0 || ' ' || node_1 || ' ' || node_2 || ' ' || node_3 AS node_ids, CASE part WHEN '[]' THEN '' ELSE replace(part[3:-3], '","', ' ') END AS evidence_entries,
 'wrong_result source_issue mapping_issue resolution_issue stale_result' AS allowed_reasons FROM identified""",
 )
 def review_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -639,10 +641,21 @@ def review_context(spark: SparkSession, sf: str) -> DataFrame:
         "evidence_count",
         "chain_id",
         F.array_join("node_ids", " ").alias("node_ids"),
+        F.array_join("evidence_entries", " ").alias("evidence_entries"),
         F.array_join("allowed_reasons", " ").alias("allowed_reasons"),
     )
 
 
+@query(
+    "review_evidence",
+    f"""WITH {CLAIM_IDS} SELECT {prefixed_scope('c')}, claim_id, line_no, evidence_id
+FROM identified c JOIN located l ON {on_scope('c', 'l')} AND c.kind = l.kind""",
+)
+def review_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    cited = claims.claim_evidence(bind(spark, sf, "small_boms"), keyword=KEYWORD)
+    return claims.review_evidence(identified_claims(spark, sf), cited)
+
+
 @query(
     "route_questions",
     rf"""WITH q AS (SELECT *, trim(regexp_replace(replace(lower(question), '-', ' '), '\s+', ' ', 'g')) AS t FROM {{questions}})

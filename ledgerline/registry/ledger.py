@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import decimal_text
 from ledgerline.operators import documents, ledger, metrics, provenance, retrieval
-from ledgerline.operators.evidence import CHAIN_STEPS, WHOLE, evidence_id, id_lists
+from ledgerline.operators.evidence import CHAIN_STEPS, evidence_id
+from ledgerline.operators.members import id_lists
 from ledgerline.operators.reconciliation import reconcile_lines
 from ledgerline.operators.record_ids import with_record_id
 from ledgerline.operators.scope import RequestContext
@@ -30,7 +31,6 @@ from ledgerline.registry.bom import (
     sql_decimal,
     sql_id,
     sql_text,
-    words,
 )
 from ledgerline.registry.state import AT
 from ledgerline.session import scratch_path, ship_package
@@ -112,8 +112,8 @@ def manifest_id_sql(status: str, reason: str, recorded: str) -> str:
 
 
 MANIFEST = f"""e AS (SELECT *, {ENTRY_SQL} AS hashed FROM {{event_ledger}}),
-m AS (SELECT count(*) AS n, list(hashed ORDER BY sequence) AS ids, {words('hashed')}, max(observed_at) AS source_as_of FROM e),
-p AS (SELECT n AS source_entry_count, source_as_of, {id_part('ids', 'n')} AS source_entries, {ISO.replace('observed_at', 'source_as_of')} AS newest FROM m)"""
+m AS (SELECT count(*) AS n, list(hashed ORDER BY sequence) AS ids, max(observed_at) AS source_as_of FROM e),
+p AS (SELECT n AS source_entry_count, source_as_of, {id_part('ids')} AS source_entries, {ISO.replace('observed_at', 'source_as_of')} AS newest FROM m)"""
 
 
 @query(
@@ -368,13 +368,13 @@ def entity_mentions(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH g AS (SELECT {S}, subject_key AS text, predicate AS entity_type, list(assertion_id ORDER BY event_id) AS ids, max(observed_at) AS observed_at
 FROM {{event_assertions}} GROUP BY {S}, subject_key, predicate)
 SELECT {S}, text, entity_type, {sql_id('entity-mention', sql_text('text'), sql_text('entity_type'),
-"'[' || array_to_string(list_transform(ids, lambda x: '" + chr(34) + "' || x || '" + chr(34) + "'), ',') || ']'", SCOPE_JSON, sql_text(f'({ISO})'))} AS mention_id FROM g""",
+id_part('ids'), SCOPE_JSON, sql_text(f'({ISO})'))} AS mention_id FROM g""",
 )
 def entity_mention_ids(spark: SparkSession, sf: str) -> DataFrame:
     made = bind(spark, sf, "event_assertions").withColumn("text", F.col("subject_key"))
     made = made.withColumn("entity_type", F.col("predicate"))
     mentions = documents.entity_mentions(made)
-    lists = id_lists(made, [*BY, "text", "entity_type"], ["event_id"], "assertion_id", WHOLE)
+    lists = id_lists(made, [*BY, "text", "entity_type"], ["event_id"], "assertion_id")
     joined = mentions.join(lists.withColumnRenamed("ids_json", "assertions_json"), [*BY, "text", "entity_type"])
     return with_record_id(joined, "entity-mention", "mention_id").select(*BY, "text", "entity_type", "mention_id")
 
@@ -546,10 +546,10 @@ NODE_JSON = " || ',' || ".join(
 @query(
     "export_chain_json",
     f"""WITH {RUN_SUMMARY},
-ev AS (SELECT {S}, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids, {words('evidence_id')}
+ev AS (SELECT {S}, count(*) AS n, list(evidence_id ORDER BY line_no, evidence_id) AS ids
        FROM (SELECT *, {EVIDENCE_SQL} AS evidence_id FROM res) GROUP BY {S}),
 parts AS (SELECT s.*, CASE WHEN unresolved_mentions = 0 THEN 'resolved' ELSE 'partially_resolved' END AS s1,
-          CASE WHEN keys > 0 THEN 'observed' ELSE 'unresolved' END AS s2, {id_part('ids', 'n')} AS part
+          CASE WHEN keys > 0 THEN 'observed' ELSE 'unresolved' END AS s2, {id_part('ids')} AS part
           FROM statuses s JOIN ev ON {on_scope('s', 'ev')}),
 x AS (SELECT *, {NODE_JSON} AS listed FROM {chain_sql('parts', "'" + bom_run.RUN_CLAIM + "'", ["'observed'", 's1', 's2', 'run_status'], 'part')})
 SELECT '{{"project_id":"' || project_id || '","chain_id":"' || chain_id || '","nodes":[' || listed || ']}}' AS json FROM x""",

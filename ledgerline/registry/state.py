@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize_identifier
-from ledgerline.operators import anomalies, claims, evidence, metrics, provenance, purchasing, resolution, state
+from ledgerline.operators import anomalies, claims, evidence, members, metrics, provenance, purchasing, resolution, state
 from ledgerline.operators.anomalies import Policy, StatePolicies
 from ledgerline.plans import bom_run, stage_trace, worklists
 from ledgerline.registry.base import S, normalized, on_scope, query
@@ -27,7 +27,6 @@ from ledgerline.registry.bom import (
     sql_decimal,
     sql_id,
     sql_text,
-    words,
 )
 from ledgerline.sources.bindings import CUTOFF, KEYWORD, PRECEDENCE, bind, inline, run_sql, table
 
@@ -260,14 +259,14 @@ def state_anomalies(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "anomaly_ids",
     f"""WITH {STATE_EVIDENCE},
-lists AS (SELECT {S}, canonical_key, count(*) AS n, list(evidence_id ORDER BY evidence_id) AS ids, {words('evidence_id')}
+lists AS (SELECT {S}, canonical_key, count(*) AS n, list(evidence_id ORDER BY evidence_id) AS ids
           FROM ev GROUP BY {S}, canonical_key),
 an AS ({ALL_RULES})
 SELECT a.subject_key, a.kind, {sql_id('anomaly', sql_text('a.subject_key'),
     SCOPE_JSON.replace('tenant_id ||', 'a.tenant_id ||').replace('project_id ||', 'a.project_id ||').replace('site_id ||', 'a.site_id ||').replace('|| site_id', '|| a.site_id').replace('|| version', '|| a.version'),
     sql_text('a.kind'),
     sql_text(sql_decimal('a.expected')), "coalesce(" + sql_text(sql_decimal('a.observed')) + ", '\"None\"')",
-    id_part('ids', 'n'), sql_text('a.policy_id'),
+    id_part('ids'), sql_text('a.policy_id'),
     sql_text('(' + component_sql(('state-detector', 'deterministic', '1')) + ')'))} AS anomaly_id
 FROM an a JOIN lists l ON {on_scope('a', 'l')} AND a.canonical_key = l.canonical_key""",
 )
@@ -462,19 +461,19 @@ PO_LINE_ID_SQL = sql_id(
     f"""WITH ids AS (SELECT *, {PO_LINE_ID_SQL} AS lid FROM {{po_lines}}),
 lists AS (SELECT {S}, order_number, list(lid ORDER BY l_linenumber, lid) AS ids FROM ids GROUP BY {S}, order_number)
 SELECT l.order_number, {sql_id('purchase-order', sql_text('l.order_number'), sql_text('supplier_key'), sql_text('l.tenant_id'), sql_text('l.project_id'), sql_text('l.site_id'), sql_text('l.version'),
-"'[' || array_to_string(list_transform(l.ids, lambda x: '\"' || x || '\"'), ',') || ']'", "'\"e-' || l.order_number || '\"'")} AS purchase_order_id
+id_part('l.ids'), "'\"e-' || l.order_number || '\"'")} AS purchase_order_id
 FROM lists l JOIN {{purchase_orders}} o ON l.order_number = o.order_number""",
 )
 def purchase_order_ids(spark: SparkSession, sf: str) -> DataFrame:
     lines = bind(spark, sf, "po_lines").withColumn("required_by", F.col("order_date"))
     lines = lines.withColumn("evidence_id", F.concat(F.lit("e-"), F.col("line_id")))
     identified = lines.withColumn("po_line_id", purchasing.purchase_order_line_id())
-    lists = evidence.id_lists(identified, ["order_number"], ["l_linenumber"], "po_line_id", evidence.WHOLE)
+    lists = members.id_lists(identified, ["order_number"], ["l_linenumber"], "po_line_id")
     orders = bind(spark, sf, "purchase_orders").withColumn(
         "evidence_id", F.concat(F.lit("e-"), F.col("order_number"))
     )
     return orders.join(lists, "order_number").select(
-        "order_number", purchasing.purchase_order_id(F.col("ids")).alias("purchase_order_id")
+        "order_number", purchasing.purchase_order_id(F.col("entries")).alias("purchase_order_id")
     )
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 from decimal import Decimal
 
@@ -10,8 +11,8 @@ from fixtures import SCOPE_VALUES, bom, candidates, expected_id, operational
 from ledgerline import errors
 from ledgerline.errors import AccessDenied, ContractError
 from ledgerline.operators import bom as bom_ops
-from ledgerline.operators import claims, resolution, state
-from ledgerline.operators.evidence import evidence_id, id_lists
+from ledgerline.operators import claims, members, resolution, state
+from ledgerline.operators.evidence import evidence_id
 from ledgerline.operators.reconciliation import (
     checked_precedence,
     reconcile_lines,
@@ -265,58 +266,97 @@ def test_claim_identifiers(spark):
     ):
         nodes = [expected_id("evidence-node", *step, cited) for step in steps]
         chain = expected_id("evidence-chain", kind, nodes)
-        assert named[kind].ids == cited
+        assert named[kind].entries == cited
         assert named[kind].chain_id == chain
         assert named[kind].claim_id == expected_id("claim", kind, value, "reconciled", chain, cited)
     shown = claims.review_context(claims.claim_ids(made, claims.claim_evidence(lines), claims.claim_keys(keys, made)))
     assert all(len(r.node_ids) == 4 and len(r.allowed_reasons) == 5 for r in shown.collect())
 
 
-def test_long_evidence_lists_are_digested_not_gathered(spark):
-    rows = spark.range(500).select(
-        F.when(F.col("id") < 400, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 10).cast("string"))).alias("key"),
-        F.col("id").alias("n"),
-        F.concat(F.lit("evidence:"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 24)).alias("evidence_id"),
-    )
-    lists = {r.key: r for r in id_lists(rows, ["key"], ["n"], limit=20).collect()}
-    again = {r.key: r for r in id_lists(rows.orderBy(F.desc("n")), ["key"], ["n"], limit=20).collect()}
-    assert lists["hot"].ids is None and lists["hot"].id_count == 400
-    assert lists["hot"].ids_json == again["hot"].ids_json and lists["hot"].ids_json.startswith('"400:')
-    fewer = {r.key: r for r in id_lists(rows.where("n <> 7"), ["key"], ["n"], limit=20).collect()}
-    assert fewer["hot"].ids_json != lists["hot"].ids_json
-    for name, row in lists.items():
-        if name != "hot":
-            assert row.id_count == len(row.ids) == 10
-    plain = {r.key: r for r in rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "evidence_id"))).alias("l")).collect()}
-    assert lists["k3"].ids == [x.evidence_id for x in plain["k3"].l]
-
-
-@pytest.mark.parametrize("name", ["purchase_order_ids", "entity_mention_ids"])
-def test_identifiers_over_whole_lists_have_no_limit(spark, sf_dir, monkeypatch, name):
-    """Every list is beyond the inline limit here; the SQL digests whole lists."""
-    import __spark_entry__ as contract
-    from compare import connect, differences
+def run_id(entries):
+    return expected_id("block", list(entries))
+
+
+def entries_of(ids, fanout):
+    while len(ids) > fanout:
+        ids = [run_id(ids[i : i + fanout]) for i in range(0, len(ids), fanout)]
+    return ids
+
+
+@pytest.mark.parametrize("fanout", [1000, 3])
+def test_lists_of_any_length_follow_one_rule(spark, monkeypatch, fanout):
+    """Around one run, beyond it, and (with short runs) in many levels; null keys, repeated members and rows that tie."""
+    monkeypatch.setattr(members, "FANOUT", fanout)
+    sizes = {"a": 999, "b": 1000, "c": 1001, "d": 5000, "e": 1, None: 4}
+    plain = {key: [f"evidence:{key}{i // 2}" for i in range(n)] for key, n in sizes.items()}
+    rows = [(key, i // 3, value, 7) for key, values in plain.items() for i, value in enumerate(values)]
+    frame = spark.createDataFrame(rows, "key string, n long, evidence_id string, member int").repartition(7, "n")
+    found = {r.key: r for r in members.id_lists(frame, ["key"], ["n"]).collect()}
+    assert set(found) == set(plain)
+    for key in plain:
+        ids = [e for _, e in sorted((n, e) for k, n, e, _ in rows if k == key)]
+        assert found[key].id_count == len(ids)
+        assert found[key].entries == entries_of(ids, fanout)
+        assert found[key].ids_json == json.dumps(entries_of(ids, fanout), separators=(",", ":"))
+
 
-    monkeypatch.setattr(id_lists, "__defaults__", ("evidence_id", 0))
-    assert differences(contract.queries()[name](spark, sf_dir), connect(sf_dir), contract.oracle_sql()[name]) == ""
+def test_lists_tell_order_and_repetitions(spark):
+    def root(values):
+        frame = spark.createDataFrame(list(enumerate(values)), "n long, evidence_id string").withColumn("key", F.lit(1))
+        return members.id_lists(frame, ["key"], ["n"]).first().ids_json
 
+    values = [f"e{i}" for i in range(1100)]
+    swapped = [*values[:7], values[8], values[7], *values[9:]]
+    assert len({root(values), root(swapped), root([*values, "e5", "e5"]), root(values[:-1])}) == 4
+    assert members.id_lists(spark.createDataFrame([], "key int, n long, evidence_id string"), ["key"], ["n"]).count() == 0
 
-def test_review_of_claims_beyond_the_inline_limit(spark, sf_dir):
+
+@pytest.mark.parametrize("name", ["purchase_order_ids", "entity_mention_ids", "claim_ids", "anomaly_ids", "source_chain"])
+def test_identifiers_of_long_lists(spark, sf_dir, monkeypatch, name):
+    """With runs of two members most lists are long; the check follows the same rule two levels deep."""
+    import importlib
+
+    import __spark_entry__ as contract
+    from compare import connect, differences
+    from ledgerline.registry import base
+
+    monkeypatch.setattr(members, "FANOUT", 100)
+    checks = dict(base.ORACLES)
+    monkeypatch.setattr(base, "QUERIES", {})
+    monkeypatch.setattr(base, "ORACLES", {})
+    fresh = {}
+    for part in ("bom", "ledger", "state"):
+        spec = importlib.util.find_spec(f"ledgerline.registry.{part}")
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        fresh |= base.ORACLES
+    assert differences(contract.queries()[name](spark, sf_dir), connect(sf_dir), fresh[name]) == ""
+    assert name == "purchase_order_ids" or fresh[name] != checks[name]
+
+
+def test_review_of_claims_has_all_evidence(spark, sf_dir):
+    from ledgerline.operators.scope import RequestContext
     from ledgerline.plans.claim_register import register_claims
     from ledgerline.registry.bom import KEYWORD, PRECEDENCE
     from ledgerline.sources.bindings import bind
 
     lines = bind(spark, sf_dir, "small_boms")
-    short, long = (
-        register_claims(lines, bind(spark, sf_dir, "candidates"), PRECEDENCE, keyword=KEYWORD, limit=limit) for limit in (1000, 0)
-    )
-    by = [*SCOPE, "kind"]
-    whole = {tuple(r[c] for c in by): len(r.ids or []) for r in short.collect()}
-    shown = {(*(r[c] for c in SCOPE), r.claim_kind): r.evidence_count for r in claims.review_context(long).collect()}
-    links = claims.review_evidence(long, claims.claim_evidence(lines, keyword=KEYWORD)).groupBy(*SCOPE, "claim_id").count()
-    named = links.join(long.select(*by, "claim_id"), [*SCOPE, "claim_id"]).collect()
-    assert shown == whole and max(whole.values()) > 1
-    assert {tuple(r[c] for c in by): r["count"] for r in named} == {k: n for k, n in whole.items() if n}
+    made = register_claims(lines, bind(spark, sf_dir, "candidates"), PRECEDENCE, keyword=KEYWORD)
+    shown = {(*(r[c] for c in SCOPE), r.claim_kind): r for r in claims.review_context(made).collect()}
+    links = claims.review_evidence(made, claims.claim_evidence(lines, keyword=KEYWORD))
+    cited = {}
+    for r in links.orderBy("line_no", "evidence_id").collect():
+        cited.setdefault(r.claim_id, []).append(r.evidence_id)
+    for row in shown.values():
+        assert row.evidence_entries == entries_of(cited.get(row.claim_id, []), members.FANOUT)
+        assert row.evidence_count == len(cited.get(row.claim_id, []))
+    one = next(iter(shown.values()))
+    reviewer = RequestContext("r", one.tenant_id, one.project_id, one.site_id, frozenset({"review"}))
+    seen = claims.review_context(made, context=reviewer).collect()
+    assert seen and {(r.tenant_id, r.project_id, r.site_id) for r in seen} == {(one.tenant_id, one.project_id, one.site_id)}
+    with pytest.raises(AccessDenied):
+        claims.review_context(made, context=RequestContext("r", "t", "p", "s"))
+
 
 
 def test_question_routes(spark):

@@ -11,6 +11,7 @@ from ledgerline.errors import AccessDenied, ContractError
 from ledgerline.functions import Json, casefold, instant_text, stable_id
 from ledgerline.operators.members import id_lists
 from ledgerline.operators.scope import RequestContext, authorize
+from ledgerline.session import materialize
 
 # White space that separates words; a term never contains it.
 SPACE = r"[\s\p{Z}\x1C-\x1F\x85]+"
@@ -167,42 +168,89 @@ def term_matches(words: DataFrame, terms: DataFrame) -> DataFrame:
     return narrowed.join(pieces, "piece").where(F.col("word").contains(F.col("term"))).select("term", "word")
 
 
-def search_batch(index: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """Top entries for many queries (query_id, query) over one projection.
+# A batch search goes through the index in the order of entry ids, in PARTS ranges: up to these ends.
+PARTS = 64
+ENDS = (1, 8, PARTS)
 
-    Terms hold no white space, so containment in the text is containment in one of its words.
-    Distinct words are matched once; entries with the same text are scored once and keep only
-    their first `limit` ids, since equal scores are ordered by id.
-    """
-    if limit <= 0:
-        raise ContractError("a limit is positive")
+
+def query_weights(queries: DataFrame) -> DataFrame:
+    """(query_id, term_count, term, weight) of queries (query_id, query): `weight` counts a term's repetitions in its query."""
     asked = queries.select(
         "query_id", F.filter(F.split(casefold(F.col("query")), SPACE), lambda t: t != "").alias("terms")
     ).where(F.size("terms") > 0)
-    weights = (
+    return (
         asked.select("query_id", F.size("terms").alias("term_count"), F.explode("terms").alias("term"))
         .groupBy("query_id", "term_count", "term")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    texts = index.select("text").distinct()
-    words = texts.select("text", F.explode(F.array_distinct(F.split("text", SPACE))).alias("word")).where("word <> ''")
-    matches = term_matches(words.select("word").distinct(), weights.select("term").distinct())
-    hits = words.join(matches, "word").select("text", "term").distinct()
-    scored = (
-        hits.join(weights, "term")
-        .groupBy("query_id", "text")
-        .agg((F.sum("weight") / F.first("term_count")).alias("score"))
-    )
-    first_ids = (
-        index.select("text", "entry_id")
-        .withColumn("_n", F.row_number().over(Window.partitionBy("text").orderBy("entry_id")))
-        .where(F.col("_n") <= limit)
-        .drop("_n")
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("entry_id"))
-    return (
-        scored.join(first_ids, "text")
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= limit)
-        .select("query_id", "entry_id", "score", "rank")
-    )
+
+
+def query_plan(weights: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Weights with `rest`, what a term and the commoner ones of its query can add to a score.
+
+    sizes has how many entries a term's list holds at most; terms without a size are in no entry.
+    """
+    common_first = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("term"))
+    sized = weights.join(sizes, "term", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    return sized.withColumn("rest", F.sum("weight").over(common_first)).drop("size")
+
+
+def open_terms(plan: DataFrame, best: DataFrame | None, limit: int) -> DataFrame:
+    """The plan with `floor` (what an entry's matched weight must exceed) and `open`: whether the term's list has to be read.
+
+    Entries found so far have smaller ids than those to come, so an entry to come must match more than the last of a full answer. One that holds
+    none of a query's rarer terms matches at most the rest; the lists of the commoner terms stay closed as soon as that is not enough.
+    """
+    if best is None:
+        return plan.withColumns({"floor": F.lit(0).cast("bigint"), "open": F.lit(True)})
+    floors = best.where(F.col("rank") == limit).select("query_id", F.col("matched").alias("floor"))
+    raised = plan.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0)))
+    return raised.withColumn("open", F.col("rest") > F.col("floor"))
+
+
+def search_batch(index: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """Top entries for many queries (query_id, query) over one projection, by posting lists and score bounds.
+
+    Terms hold no white space, so containment in the text is containment in one of its words; distinct words are matched once, and a term's list is
+    as long as its words are frequent. The index is read in ranges of entry ids. In the first, a small part of it, every list is
+    open; then the scores found bound what others have to reach, rare terms' lists are read, and entries on them are tested for the
+    other terms only if they can still reach the bound. A query of common terms ends with the first range in which enough entries hold
+    all of them. Of entries with the same text only the first `limit` ids take part, since equal scores are ordered by id.
+    """
+    if limit <= 0:
+        raise ContractError("a limit is positive")
+    alike = Window.partitionBy("text").orderBy("entry_id")
+    first_ids = index.select("text", "entry_id").withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= limit)
+    ranged = first_ids.drop("_n").repartitionByRange(PARTS, "entry_id").withColumn("part", F.spark_partition_id())
+    entries = materialize(ranged, "search")
+    worded = entries.select("part", "entry_id", F.explode(F.array_distinct(F.split("text", SPACE))).alias("word")).where("word <> ''")
+    frequency = worded.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    weights = query_weights(queries)
+    terms = weights.select("term").distinct()
+    matches = materialize(term_matches(frequency.select("word"), terms).join(frequency, "word"), "search")
+    plan = materialize(query_plan(weights, matches.groupBy("term").agg(F.sum("n").alias("size"))), "search")
+
+    best, start = None, 0
+    for end in ENDS:
+        here = (F.col("part") >= start) & (F.col("part") < end)
+        state = open_terms(plan, best, limit)
+        opened = state.where("open").select("query_id", "term", "weight")
+        read = matches.join(opened.select("term").distinct(), "term").select("term", "word")
+        lists = worded.where(here).join(read, "word").select("term", "entry_id").distinct()
+        seen = lists.join(opened, "term").groupBy("query_id", "entry_id").agg(F.sum("weight").alias("seen"))
+        closed = F.when(~F.col("open"), F.struct("term", "weight"))
+        bounds = state.groupBy("query_id", "term_count", "floor").agg(
+            F.collect_list(closed).alias("closed"), F.sum(F.when(~F.col("open"), F.col("weight")).otherwise(0)).alias("more")
+        )
+        able = seen.join(bounds, "query_id").where(F.col("seen") + F.col("more") > F.col("floor"))
+        tested = able.join(entries.where(here).select("entry_id", "text"), "entry_id")
+        probe = lambda total, c: total + F.when(F.contains(F.col("text"), c["term"]), c["weight"]).otherwise(0)
+        matched = tested.withColumn("matched", F.aggregate("closed", F.col("seen"), probe)).where("matched > floor")
+        found = matched.select("query_id", "term_count", "entry_id", "matched")
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.asc("entry_id"))
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+        best = materialize(best, "search") if end < PARTS else best
+        start = end
+    return best.select("query_id", "entry_id", (F.col("matched") / F.col("term_count")).alias("score"), "rank")

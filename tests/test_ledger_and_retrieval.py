@@ -128,3 +128,29 @@ def test_batch_search_equals_brute_force(spark):
         want = [(e, -s) for s, e in sorted(x for x in scored if x[0] < 0)[:7]]
         mine = sorted((r.rank, r.entry_id, r.score) for r in got if r.query_id == query_id)
         assert [(e, pytest.approx(s)) for _, e, s in mine] == want
+
+
+def test_lists_of_common_terms_stay_closed(spark, monkeypatch):
+    """Queries of common terms end with the first range; rare terms are read on, and results equal a scan."""
+    rows = [(f"entry-{i:05}", f"common thing n{i} {'odd' if i % 701 == 5 else 'even'}") for i in range(2000)]
+    index = spark.createDataFrame(rows, "entry_id string, text string").repartition(5)
+    queries = [("c", "common thing"), ("d", "thing"), ("r", "odd common"), ("x", "thing odd n1999"), ("n", "n77 nowhere")]
+    opened = []
+    real = retrieval.open_terms
+
+    def watched(plan, best, limit):
+        state = real(plan, best, limit)
+        opened.append({(r.query_id, r.term) for r in state.where("open").collect()})
+        return state
+
+    monkeypatch.setattr(retrieval, "open_terms", watched)
+    got = retrieval.search_batch(index, spark.createDataFrame(queries, "query_id string, query string"), limit=5).collect()
+    assert len(opened[0]) == 10
+    for later in opened[1:]:
+        assert not {q for q, _ in later} & {"c", "d"}
+    assert ("r", "common") not in opened[1] | opened[2] and ("r", "odd") in opened[2]
+    for query_id, query in queries:
+        terms = query.split()
+        scored = sorted((-sum(t in text for t in terms) / len(terms), e) for e, text in rows)
+        want = [(e, -s) for s, e in scored if s < 0][:5]
+        assert [(r.entry_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == query_id] == want

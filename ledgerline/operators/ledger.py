@@ -52,21 +52,24 @@ def last_sequence(ledger: DataFrame) -> int:
 def new_entries(batch: DataFrame, ledger: DataFrame | None) -> DataFrame:
     """Assertions not yet in the ledger, by assertion and observation time.
 
-    Only ledger partitions of the days in the batch are read.
+    Only ledger partitions of the days in the batch are read; their list is no longer than the calendar.
     """
     once = batch.dropDuplicates(["assertion_id", "observed_at"]).withColumn(
         "observed_date", F.to_date("observed_at")
     )
     if ledger is None:
         return once
-    span = once.agg(F.min("observed_date").alias("a"), F.max("observed_date").alias("b")).first()
-    if span["a"] is None:
-        return once
-    near = ledger.where(F.col("observed_date").between(span["a"], span["b"]))
+    near = ledger.where(touched_days(once))
     keys = ["observed_date", "assertion_id", "observed_at"]
     return once.join(near.select(*keys), keys, "left_anti")
 
 
+def touched_days(batch: DataFrame) -> Column:
+    """Condition on observed_date that holds for the days of a batch only, however far apart they lie."""
+    days = [row["observed_date"] for row in batch.select("observed_date").distinct().collect()]
+    return F.col("observed_date").isin([day for day in days if day is not None])
+
+
 def append_entries(batch: DataFrame, ledger: DataFrame | None, base: int = 0) -> DataFrame:
     """Ledger rows for a batch: unseen assertions, numbered after `base` in observation order."""
     return dense_sequence(new_entries(batch, ledger), ["observed_at", "assertion_id"], base)

@@ -577,7 +577,21 @@ def ledger_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     again = spark.readStream.schema(rows.schema).parquet(source)
     streams.ingest_stream(again, target, state_dir + "-again").awaitTermination()
     columns = ["assertion_id", "subject_key", "predicate", "value_text", "observed_at", "sequence"]
-    return spark.read.parquet(target).select(*columns)
+    return streams.read_committed(spark, target).select(*columns)
+
+
+@query(
+    "ledger_late_batches",
+    """SELECT assertion_id, observed_at, row_number() OVER (ORDER BY batch, observed_at, assertion_id) AS sequence
+FROM (SELECT assertion_id, observed_at, min(event_id % 3) AS batch FROM {event_assertions} GROUP BY assertion_id, observed_at)""",
+)
+def ledger_late_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches over the same days, so that the later ones bring late rows; then two of them again."""
+    target = scratch_path(spark, "ledger")
+    rows = bind(spark, sf, "event_assertions")
+    for batch in (0, 1, 2, 1, 0):
+        streams.append_batch(rows.where(F.col("event_id") % 3 == batch), target, "events", batch)
+    return streams.read_committed(spark, target).select("assertion_id", "observed_at", "sequence")
 
 
 @query(
@@ -591,6 +605,7 @@ def latest_observed_stream(spark: SparkSession, sf: str) -> DataFrame:
     rows.repartition(4, "input_ordinal").write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
     streams.latest_stream(stream, target, state_dir).awaitTermination()
+    streams.compact_latest(spark, target)
     latest = streams.read_latest(spark, target)
     return latest.select(*BY, "canonical_key", "as_of", "input_ordinal", "freshness")
 

@@ -91,6 +91,7 @@ def _hasher(hashes_of: dict[int, int]):
             for dims in set(sizes.tolist()):
                 at = np.flatnonzero(sizes == dims)
                 x = np.array([vectors[i] for i in at], dtype=np.float64)
+                x /= np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small components leave the range
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 found = buckets(x, dims, hashes_of[dims]).reshape(len(at), -1)
                 for i, row, unit in zip(at, found, x, strict=True):

@@ -28,8 +28,8 @@ OPEN = 48
 EXACT = 2.0**53
 
 
-def open_candidates(queries: np.ndarray, block: np.ndarray, k: int) -> np.ndarray:
-    """(queries, candidates) booleans: who can still be among the best k when reading stops."""
+def open_candidates(queries: np.ndarray, block: np.ndarray, k: int, barred: np.ndarray) -> np.ndarray:
+    """(queries, candidates) booleans: who can still be among the best k when reading stops; barred ones count for nothing."""
     n = len(block)
     rank = np.empty(block.shape, dtype=np.int64)
     order = np.argsort(-block, axis=0, kind="stable")
@@ -37,7 +37,7 @@ def open_candidates(queries: np.ndarray, block: np.ndarray, k: int) -> np.ndarra
     ordered = np.take_along_axis(block, order, axis=0)
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
     least = plus * ordered[-1] + minus * ordered[0]  # what a list adds at its very end
-    left = np.ones((len(queries), n), dtype=bool)
+    left = ~barred
     for share in DEPTHS:
         depth = max(k, int(n * share))
         if depth >= n:
@@ -48,22 +48,25 @@ def open_candidates(queries: np.ndarray, block: np.ndarray, k: int) -> np.ndarra
         upper = seen + most_plus @ (~top).T.astype(float) + most_minus @ (~bottom).T.astype(float)
         low_plus, low_minus = np.where(queries > 0, least, 0), np.where(queries < 0, least, 0)
         lower = seen + low_plus @ (~top).T.astype(float) + low_minus @ (~bottom).T.astype(float)
+        lower[barred] = -np.inf
         bar = np.partition(lower, n - k, axis=1)[:, n - k] if n >= k else np.full(len(queries), -np.inf)
-        left = upper >= bar[:, None]  # an equal bound may still tie
+        left = (upper >= bar[:, None]) & ~barred  # an equal bound may still tie
         if left.sum() <= OPEN * len(queries):
             break
     return left
 
 
-def best_of_block(queries: np.ndarray, block: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query: its number, the ids and the exact scores of its best k of the block; own is each query's id, which doesn't count."""
-    # one candidate more than asked, since a query may meet itself
+def best_of_block(
+    queries: np.ndarray, block: np.ndarray, own: np.ndarray, keys: np.ndarray, ids: np.ndarray, k: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per query: its number, the ids and the exact scores of its best k of the block; own is each query's row key, which doesn't count among keys."""
+    barred = own[:, None] == keys[None, :]
     bound = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * max(1, block.shape[1])
     floats = block.astype(np.float64) if bound < EXACT else None
     # sums beyond the exact integers of double precision get no bounds, and are resolved one by one
-    left = np.ones((len(queries), len(block)), dtype=bool) if floats is None else open_candidates(queries.astype(np.float64), floats, k + 1)
+    left = ~barred if floats is None else open_candidates(queries.astype(np.float64), floats, k, barred)
     for q in range(len(queries)):
-        at = np.flatnonzero(left[q] & (ids != own[q]))
+        at = np.flatnonzero(left[q])
         if floats is not None:
             score = (floats[at] @ queries[q].astype(np.float64)).astype(np.int64)
         else:
@@ -80,8 +83,8 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
     """(query_id, rank, vec_id, score) of the best k rows for each row for which is_query (over column vec_id) holds.
 
     Scores are inner products of floor(256 x) integers; ties go to the smaller id. Null vectors and vectors with null or non-finite
-    components take no part, nor do null ids. Rows that repeat both id and vector count once; other rows with the query's own id are never its candidates,
-    and queries that share an id are answered together.
+    components take no part, nor do null ids. Every row counts by itself: rows that repeat an id or a vector are candidates of each other,
+    and each query row is answered.
     Vectors of different lengths do not meet. Queries with fewer candidates get all; an empty table gives no rows; other columns are not read.
     Scores beyond 64 bits fail the job.
     """
@@ -91,7 +94,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     sound = rows.where("vec_id IS NOT NULL AND v IS NOT NULL").where(finite)
-    coded = stash.put(sound.select("vec_id", codes(F.col("v")).alias("c")).distinct())
+    coded = stash.put(sound.select(F.monotonically_increasing_id().alias("key"), "vec_id", codes(F.col("v")).alias("c")))
     dims = F.size("c").alias("dims")
     counts = {
         r["dims"]: (r["n"], r["q"])
@@ -102,34 +105,35 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
         "dims int, c_blocks int, q_blocks int",
     )
     placed = coded.withColumn("dims", F.size("c")).join(F.broadcast(sizes), "dims")  # one row per vector length
-    place = F.xxhash64("vec_id", "c")
+    place = F.xxhash64("key")
     candidates = placed.select(
         "dims", F.pmod(place, F.col("c_blocks")).cast("int").alias("c_block"),
-        F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"), F.lit(False).alias("asks"), "vec_id", "c",
+        F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"), F.lit(False).alias("asks"), "key", "vec_id", "c",
     )
     asking = placed.where(is_query).select(
         "dims", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("c_block"),
-        F.pmod(place, F.col("q_blocks")).cast("int").alias("q_block"), F.lit(True).alias("asks"), "vec_id", "c",
+        F.pmod(place, F.col("q_blocks")).cast("int").alias("q_block"), F.lit(True).alias("asks"), "key", "vec_id", "c",
     )
 
     def best(group: pa.Table) -> pa.Table:
         asks = np.asarray(group.column("asks").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
-        ids = group.column("vec_id").to_numpy()
+        ids, keys = group.column("vec_id").to_numpy(), group.column("key").to_numpy()
         dims = group.column("dims")[0].as_py()
         values = np.array(group.column("c").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
         values = values.reshape(len(ids), dims)
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         if asks.any() and not asks.all():
-            own, queries = ids[asks], values[asks]
-            for q, found, score in best_of_block(queries, values[~asks], own, ids[~asks], k):
+            own, named, queries = keys[asks], ids[asks], values[asks]
+            for q, found, score in best_of_block(queries, values[~asks], own, keys[~asks], ids[~asks], k):
                 out[0].extend([int(own[q])] * len(found))
-                out[1].extend(found.tolist())
-                out[2].extend(score.tolist())
-        return pa.table([pa.array(v, pa.int64()) for v in out], names=["query_id", "vec_id", "score"])
+                out[1].extend([int(named[q])] * len(found))
+                out[2].extend(found.tolist())
+                out[3].extend(score.tolist())
+        return pa.table([pa.array(v, pa.int64()) for v in out], names=["key", "query_id", "vec_id", "score"])
 
     found = candidates.union(asking).groupBy("dims", "c_block", "q_block").applyInArrow(
-        best, "query_id long, vec_id long, score long"
+        best, "key long, query_id long, vec_id long, score long"
     )
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order))
+    order = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

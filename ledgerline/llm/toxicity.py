@@ -43,14 +43,21 @@ LANDMARKS = 96
 ROUNDS = 6
 
 NOT_WORD = re.compile(r"[^\w]+|_")
-SPACED = re.compile(r"(?<!\S)\w(?:[\s.*_-]+\w(?!\w)){2,}(?!\S)")
+# Separators and letters share no character and nothing is given back, so that a scan takes time in proportion to the text.
+SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s.*_-]++[^\W_](?!\w)){2,}+")
 
 
 def units(text: str) -> set[str]:
-    """Distinct words as written, and what runs of single characters spell."""
+    """Distinct words as written, and what runs of at least three single characters spell; a run ends before white space or with the text."""
     words = set(text.split())
-    for run in SPACED.findall(text):
-        words.add("".join(run.split()))
+    for found in SPACED.finditer(text):
+        run = found.group()
+        if not text[found.end() : found.end() + 1].strip():
+            words.add("".join(run.split()))
+        else:  # the run goes on with something else: up to its last letter before white space
+            whole = run[: max((i for i in range(1, len(run)) if run[i].isspace() and run[i - 1].isalnum()), default=0)]
+            if sum(c.isalnum() for c in whole) >= 3:
+                words.add("".join(whole.split()))
     return words
 
 
@@ -58,6 +65,11 @@ def plain(word: str) -> str:
     return NOT_WORD.sub("", word.lower())
 
 
+def cut(word: str) -> list[str]:
+    """Pieces of a plain word of at most LONGEST characters; a piece shares SPAN characters with the next, so that no subsequence is lost."""
+    return [word[start : start + LONGEST] for start in range(0, max(1, len(word) - SPAN), LONGEST - SPAN)] if word else []
+
+
 def coded(words: list[str]) -> np.ndarray:
     """One row of character codes per word, start and end included, zero after the end; long words are cut into LONGEST-character pieces by the caller."""
     width = max((len(word) for word in words), default=0) + 2
@@ -138,11 +150,9 @@ class Judge:
         plains = [plain(word) for word in words]
         owners, pieces = [], []
         for row, word in enumerate(plains):
-            # a piece shares SPAN characters with the next, so that no subsequence is lost
-            for start in range(0, max(1, len(word) - SPAN), LONGEST - SPAN):
-                if word:
-                    owners.append(row)
-                    pieces.append(word[start : start + LONGEST])
+            for piece in cut(word):
+                owners.append(row)
+                pieces.append(piece)
         order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
         for start in range(0, len(order), 4000):
             some = order[start : start + 4000]
@@ -202,8 +212,8 @@ def separate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) ->
     return w
 
 
-def fit(bags: list[list[str]], labels: np.ndarray, totals: dict[int, int] | None = None, seed: int = 3) -> Judge:
-    """The machine from bags of words with labels 0 and 1. Without both labels every text gets the share of ones."""
+def fit(vocabulary: list[str], rows: list[np.ndarray], labels: np.ndarray, totals: dict[int, int] | None = None, seed: int = 3) -> Judge:
+    """The machine from bags of words, as places in a sorted vocabulary, with labels 0 and 1. Without both labels every text gets the share of ones."""
     n_toxic = int((labels > 0).sum())
     if not 0 < n_toxic < len(labels):
         share = float(n_toxic > 0) if len(labels) else 0.0
@@ -211,29 +221,26 @@ def fit(bags: list[list[str]], labels: np.ndarray, totals: dict[int, int] | None
         curve[-1] = 30.0 * (2 * share - 1)
         return Judge(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, curve, share)
     rng = np.random.default_rng(seed)
-    bags = [sorted({p[:LONGEST] for p in map(plain, bag) if p}) for bag in bags]
-    toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        (toxic if label > 0 else clean).update(bag)
+    toxic, clean = counts(rows, labels > 0, len(vocabulary)), counts(rows, labels <= 0, len(vocabulary))
     n_clean = len(labels) - n_toxic
 
-    def told(word: str) -> float:
-        """How much likelier a toxic text is to hold the word, for words that recur."""
-        return math.log((toxic[word] + 0.1) / (n_toxic + 1)) - math.log((clean[word] + 0.5) / (n_clean + 1))
+    def told(in_toxic: np.ndarray, in_clean: np.ndarray) -> np.ndarray:
+        """How much likelier a toxic text is to hold each word, for words that recur."""
+        return np.log((in_toxic + 0.1) / (n_toxic + 1)) - np.log((in_clean + 0.5) / (n_clean + 1))
 
     # subsequences of word starts tell families of words before any word recurs
-    stem_toxic, stem_clean = Counter(), Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        (stem_toxic if label > 0 else stem_clean).update({w[:k] for w in bag for k in (4, 5) if len(w) >= k})
-
-    def stem(word: str) -> float:
-        return max((math.log((stem_toxic[word[:k]] + 0.1) / (n_toxic + 1)) - math.log((stem_clean[word[:k]] + 0.5) / (n_clean + 1))
-                    for k in (4, 5) if len(word) >= k), default=-9.0)
-
-    witness = [max(bag, key=lambda w: (max(told(w), stem(w)), toxic[w], w), default="") if label > 0 else "" for bag, label in zip(bags, labels, strict=True)]
-    vocabulary = sorted(set(toxic) | set(clean))
-    place = {word: k for k, word in enumerate(vocabulary)}
-    families = Counter(w for w in witness if w)
+    likely = told(toxic, clean)
+    for k in (4, 5):
+        starts: dict[str, int] = {}
+        of = np.array([starts.setdefault(w[:k], len(starts)) if len(w) >= k else -1 for w in vocabulary], dtype=np.int64)
+        if starts:
+            found = [np.unique(of[row]) for row in rows]
+            found = [row[1:] if len(row) and row[0] < 0 else row for row in found]
+            stem = told(counts(found, labels > 0, len(starts)), counts(found, labels <= 0, len(starts)))
+            likely = np.maximum(likely, np.where(of >= 0, stem[of], -9.0))
+    # of equally likely words the more frequent one, then the last
+    chosen = {n: int(row[np.lexsort((row, toxic[row], likely[row]))[-1]]) for n, row in enumerate(rows) if labels[n] > 0 and len(row)}
+    families = Counter(vocabulary[place] for place in chosen.values())
     marks: list[str] = []
     stems: Counter = Counter()
     for word, _ in sorted(families.items(), key=lambda kv: (-kv[1], kv[0])):
@@ -242,25 +249,25 @@ def fit(bags: list[list[str]], labels: np.ndarray, totals: dict[int, int] | None
             marks.append(word)
         if len(marks) >= LANDMARKS * 3 // 4:
             break
-    common = [w for w, _ in clean.most_common(2000) if len(w) > 2]
+    common = [vocabulary[k] for k in np.argsort(-clean, kind="stable")[:2000].tolist() if clean[k] and len(vocabulary[k]) > 2]
     marks += [str(w) for w in rng.permutation(common)[: LANDMARKS - len(marks)]] if common else []
     marks = list(dict.fromkeys(marks))
     values, vectors = np.linalg.eigh(kernels(marks, marks))
     use = values > 1e-3 * values.max()
     whiten = vectors[:, use] / np.sqrt(values[use])
-    features = kernels(vocabulary, marks) @ whiten
-    rows = [np.array([place[w] for w in bag], dtype=np.int64) for bag in bags]
-    chosen = {k: place[w] for k, w in enumerate(witness) if w}
-    hard: set[int] = {int(k) for k in rng.permutation(len(vocabulary))[:3000] if not toxic[vocabulary[k]]}
+    features = np.empty((len(vocabulary), whiten.shape[1]), dtype=np.float32)
+    for start in range(0, len(vocabulary), 10_000):
+        features[start : start + 10_000] = kernels(vocabulary[start : start + 10_000], marks) @ whiten
+    hard: set[int] = {int(k) for k in rng.permutation(len(vocabulary))[:3000] if not toxic[k]}
     solution = np.zeros(features.shape[1] + 1)
     for turn in range(ROUNDS):
         ones = np.fromiter(chosen.values(), dtype=np.int64)
         zeros = np.fromiter(sorted(hard), dtype=np.int64, count=len(hard))
-        x = np.vstack([features[ones], features[zeros]])
+        x = np.vstack([features[ones], features[zeros]]).astype(np.float64)
         y = np.concatenate([np.ones(len(ones)), -np.ones(len(zeros))])
         weight = np.concatenate([np.full(len(ones), 1.0 / max(1, len(ones))), np.full(len(zeros), 1.0 / max(1, len(zeros)))]) * 1000
         solution = separate(x, y, weight, ridge=1.0)
-        decision = features @ solution[:-1] + solution[-1]
+        decision = (features @ solution[:-1].astype(np.float32)).astype(np.float64) + solution[-1]
         for k, row in enumerate(rows):
             if not len(row):
                 continue
@@ -286,6 +293,12 @@ def fit(bags: list[list[str]], labels: np.ndarray, totals: dict[int, int] | None
     return Judge(codes, np.fromiter(weights.values(), dtype=np.float64, count=len(weights)), float(solution[-1]), curve, default)
 
 
+def counts(rows: list[np.ndarray], of: np.ndarray, size: int) -> np.ndarray:
+    """In how many of some bags each place occurs."""
+    some = [row for row, counted in zip(rows, of, strict=True) if counted]
+    return np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *some]), minlength=size)
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, share: dict[int, float]) -> np.ndarray:
     """Coefficients of a logistic curve, by damped Newton steps with a little shrinkage; rows weigh what their label stands for."""
     w = np.zeros(x.shape[1])
@@ -302,15 +315,29 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: dict[int, float]) -> np.ndarr
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = pa.array([sorted(units(text)) for text in batch.column(1).to_pylist()], pa.list_(pa.string()))
+        told = ({piece for word in units(text) for piece in cut(plain(word))} for text in batch.column(1).to_pylist())
+        bags = pa.array([sorted(bag) for bag in told], pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays([batch.column(0), bags], ["label", "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Judge:
     """Bags of words are made by the executors; the driver gets those of at most `most` rows and fits the machine."""
     rows, totals = labelled_sample(docs, labels, label, most)
-    sample = arrow_batches(rows.select("label", "text"), _bags, "label int, words array<string>").toPandas()
-    return fit([list(words) for words in sample["words"]], sample["label"].to_numpy(), totals)
+    sample = arrow_batches(rows.select("label", "text"), _bags, "label int, words array<string>").toArrow()
+    return fit(*bagged(sample.column("words")), sample.column("label").to_numpy(), totals)
+
+
+def bagged(words: pa.ChunkedArray) -> tuple[list[str], list[np.ndarray]]:
+    """The sorted vocabulary of lists of words, and each list as sorted places in it; a distinct word becomes one Python string."""
+    lists = pa.concat_arrays(words.chunks) if words.num_chunks else pa.array([], words.type)
+    coded = lists.flatten().dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    order = sorted(range(len(found)), key=found.__getitem__)
+    place = np.empty(len(found), dtype=np.int64)
+    place[order] = np.arange(len(found))
+    places = place[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return [found[k] for k in order], [np.sort(row) for row in np.split(places, ends[:-1])] if len(lists) else []
 
 
 def scores(docs: DataFrame, judge: Judge, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

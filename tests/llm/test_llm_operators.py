@@ -293,9 +293,9 @@ def test_topk(spark, vectors, monkeypatch):
     frame = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, score long")
     rows = [(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, a in set(rows):
+    for n, (q, a) in enumerate(rows):
         if q % 50 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in set(rows) if i != q and len(b) == len(a))
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(rows) if m != n and len(b) == len(a))
             want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
     found = [tuple(r) for r in topk.search(frame, F.col("vec_id") % 50 == 0).collect()]
     assert sorted(found) == sorted(want)
@@ -305,11 +305,31 @@ def test_topk(spark, vectors, monkeypatch):
 def test_bounds_never_lose_a_best_candidate():
     rng = np.random.default_rng(6)
     queries, block = rng.integers(-50, 50, (30, 12)).astype(float), rng.integers(-50, 50, (300, 12)).astype(float)
-    left = topk.open_candidates(queries, block, 6)
+    left = topk.open_candidates(queries, block, 6, np.zeros((30, 300), dtype=bool))
     scores = queries @ block.T
     assert left[scores >= np.sort(scores, axis=1)[:, [-6]]].all() and not left.all()
 
 
+def test_topk_of_rows_that_share_the_id_of_a_query(spark):
+    """Ten strong rows of the query's id are candidates like any other; only the query's own row is not."""
+    rng = np.random.default_rng(8)
+    rows = [(50, [9.0 + k, 9.0]) for k in range(10)] + [(50, [9.0, 9.0])] + [(k, rng.normal(size=2).tolist()) for k in range(1, 40)]
+    found = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    coded = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for n in range(11):
+        scored = sorted((-sum(x * y for x, y in zip(coded[n][1], b)), i) for m, (i, b) in enumerate(coded) if m != n)
+        want += [(50, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_near_duplicates_of_very_large_and_small_vectors(spark):
+    base = [0.3, -0.2, 0.9, 0.1]
+    rows = [(k, [x * scale for x in base]) for k, scale in enumerate((1.0, 1e200, 1e-200, 1e300, 5e-300))] + [(9, [1.0, 1.0, -1.0, 0.0])]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {**{k: (4, 0) for k in range(5)}, 9: (0, 9)}
+
+
 # --- 4 lines ----------------------------------------------------------------------------------------------------
 
 
@@ -396,6 +416,47 @@ def test_kernel_tolerates_inserted_characters():
     k = toxicity.kernels(["moron", "mo-ron".replace("-", "x"), "harvest"], ["moron"])[:, 0]
     assert k[0] > k[1] > 3 * max(k[2], 0.01) and k[0] == pytest.approx(1.0, abs=0.2)
     assert "idiot" in toxicity.units("what an i d i o t here") and toxicity.plain("I.d-I.o_T!") == "idiot"
+    assert "idiot" in toxicity.units("i d i o t s-") and "abc" not in toxicity.units("a- b- c-")
+
+
+def test_runs_of_symbols_are_read_in_time():
+    import time
+
+    for text in ("a" + "-_" * 50_000 + "!", "a- " * 40_000, "a -" * 40_000 + "!", "a " * 50_000 + "b-", "_ " * 50_000):
+        began = time.process_time()
+        toxicity.units(text)
+        assert time.process_time() - began < 2
+    assert "idiot" in {toxicity.plain(w) for w in toxicity.units("an i-d i_o t so")}
+
+
+def test_kernel_is_the_weighted_count_of_common_subsequences():
+    """Against a count of every subsequence; and the folded weights of a machine against its sum over landmarks."""
+    from itertools import combinations
+
+    def features(word):
+        told = [1, *(3 + ((c ^ (c >> 7) * 37) % (toxicity.CODES - 3)) for c in map(ord, word)), 2]
+        out = {}
+        for places in combinations(range(len(told)), toxicity.ORDER):
+            if places[-1] - places[0] < toxicity.SPAN:
+                key = tuple(told[p] for p in places)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (places[-1] - places[0] + 1)
+        return out
+
+    words, marks = ["moron", "mxoron", "harvest", "stupidity"], ["moron", "stupid"]
+    found = toxicity.kernels(words, marks) * toxicity.lengths(words)[:, None] * toxicity.lengths(marks)[None, :]
+    for i, word in enumerate(words):
+        for j, mark in enumerate(marks):
+            a, b = features(word), features(mark)
+            assert found[i, j] == pytest.approx(sum(a[k] * b.get(k, 0) for k in a), rel=1e-6, abs=1e-9)
+
+
+def test_bags_as_places():
+    import pyarrow as pa
+
+    vocabulary, rows = toxicity.bagged(pa.chunked_array([pa.array([["b", "a"], []]), pa.array([["c", "a"]])]))
+    assert vocabulary == ["a", "b", "c"] and [r.tolist() for r in rows] == [[0, 1], [], [0, 2]]
+    assert toxicity.bagged(pa.chunked_array([], pa.list_(pa.string()))) == ([], [])
+    assert toxicity.cut("x" * 100)[0] == "x" * 40 and "".join(toxicity.cut("abc")) == "abc" and toxicity.cut("") == []
 
 
 @pytest.fixture(scope="module")

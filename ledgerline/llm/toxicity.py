@@ -44,7 +44,7 @@ ROUNDS = 6
 
 NOT_WORD = re.compile(r"[^\w]+|_")
 # Separators and letters share no character and nothing is given back, so that a scan takes time in proportion to the text.
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s.*_-]++[^\W_](?!\w)){2,}+")
+SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s.*_-]++[^\W_](?![^\W_])){2,}+")
 
 
 def units(text: str) -> set[str]:

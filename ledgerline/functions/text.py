@@ -61,6 +61,33 @@ def decimal_text(value: Column) -> Column:
     return F.when(text.contains("."), stripped).otherwise(text)
 
 
+# Digits of a quantity or price: before the point, and after it.
+WHOLE_DIGITS, DECIMALS = 12, 6
+_NUMBER = r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,6}))?$"
+
+
+def number_parts(value: Column) -> Column:
+    """A number in text as struct (negative, digits, scale) without leading and trailing zeros; null if it is no number.
+
+    It is worth digits / 10^scale, with an empty text of digits for zero. Exponents count, and nothing is rounded.
+    """
+    text = F.trim(value)
+    part = [F.regexp_extract(text, _NUMBER, i) for i in range(5)]
+    digits = F.ltrim(F.concat(part[2], part[3]), F.lit("0"))
+    kept = F.rtrim(digits, F.lit("0"))
+    exponent = F.when(part[4] == "", 0).otherwise(part[4].try_cast("int"))
+    scale = F.length(part[3]) - exponent - (F.length(digits) - F.length(kept))
+    parts = F.struct(
+        (part[1] == "-").alias("negative"), kept.alias("digits"), F.when(kept == "", 0).otherwise(scale).alias("scale")
+    )
+    return F.when(text.rlike(_NUMBER) & (F.concat(part[2], part[3]) != ""), parts)
+
+
+def fits(parts: Column) -> Column:
+    """Whether a number has its exact place in a quantity or price."""
+    return (parts["scale"] <= DECIMALS) & (F.length(parts["digits"]) - parts["scale"] <= WHOLE_DIGITS)
+
+
 def instant_text(value: Column) -> Column:
     """ISO 8601 in UTC; microseconds appear only when they are not zero.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions import Json, instant_text, is_blank, scope_text, stable_id
+from ledgerline.functions import Json, fits, instant_text, is_blank, number_parts, scope_text, stable_id
 from ledgerline.operators.evidence import record_evidence_id
 from ledgerline.schemas import SCOPE
 
@@ -87,17 +87,20 @@ def normalize(fields: DataFrame, types: DataFrame) -> DataFrame:
     """Typed, unit-bearing values from raw fields, by declared type.
 
     types: field_name, value_type (decimal, date, timestamp, text), unit, factor. Values that do not
-    parse and fields that are not declared become unresolved observations with a diagnostic; nothing is dropped.
+    parse, numbers that have no exact place in DECIMAL(18,6) and fields that are not declared become unresolved
+    observations with a diagnostic; nothing is dropped or rounded.
     """
     joined = fields.join(types, "field_name", "left")
     raw, kind = F.col("raw_value"), F.col("value_type")
-    number = F.expr("try_cast(raw_value as decimal(18,6))") * F.coalesce(F.col("factor"), F.lit(1))
+    exact = fits(number_parts(raw))
+    number = F.when(exact, F.expr("try_cast(raw_value as decimal(18,6))")) * F.coalesce(F.col("factor"), F.lit(1))
     typed = joined.select(
         *[c for c in joined.columns if c not in ("status", "diagnostic", "factor")],
         F.when(kind == "decimal", number.cast("decimal(38,12)")).alias("num"),
         F.when(kind == "date", F.expr("try_cast(raw_value as date)")).alias("date"),
         F.when(kind == "timestamp", F.expr("try_cast(raw_value as timestamp)")).alias("ts"),
         F.when(kind == "text", raw).alias("text_value"),
+        ((kind == "decimal") & ~exact).alias("_inexact"),
     )
     empty = F.coalesce(
         F.col("num").cast("string"), F.col("date").cast("string"), F.col("ts").cast("string"), F.col("text_value")
@@ -107,9 +110,10 @@ def normalize(fields: DataFrame, types: DataFrame) -> DataFrame:
         F.when(empty, "unresolved").otherwise("observed").alias("status"),
         F.when(F.col("raw_value").isNull(), "source field is missing")
         .when(kind.isNull(), "field is not declared")
+        .when(F.col("_inexact"), "number has no exact place in 18 digits with 6 decimals")
         .when(empty, "value does not parse as declared")
         .alias("diagnostic"),
-    )
+    ).drop("_inexact")
 
 
 def observation_assertions(observations: DataFrame) -> DataFrame:

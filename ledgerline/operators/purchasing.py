@@ -48,6 +48,38 @@ def boq_coverage(boq_lines: DataFrame, po_lines: DataFrame, by: Sequence[str] =
     )
 
 
+def order_references(boq_lines: DataFrame, po_lines: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
+    """Both sides of orders and bills, one row per reference: what was required and ordered, and how the two are `linked`.
+
+    `linked`: the bill has the line; `unordered`: no order refers to it; `dangling`: no bill has it; `scope_mismatch`: only a bill of another
+    scope has it; `unreferenced`: the order lines of a scope that name no bill, summed in one row. Order lines are summed before they meet bills.
+    """
+    keys = [*by, "boq_id", "line_id"]
+    ordered = po_lines.groupBy(*by, "boq_id", F.col("boq_line_id").alias("line_id")).agg(
+        F.sum("quantity").cast(TOTAL_QUANTITY).alias("ordered_quantity"), F.count(F.lit(1)).alias("po_lines")
+    )
+    free = ordered.where("boq_id IS NULL").groupBy(*by).agg(
+        F.sum("ordered_quantity").cast(TOTAL_QUANTITY).alias("ordered_quantity"), F.sum("po_lines").alias("po_lines")
+    )
+    required = boq_lines.groupBy(*keys).agg(F.sum("quantity").cast(TOTAL_QUANTITY).alias("required_quantity"))
+    met = required.join(ordered.where("boq_id IS NOT NULL"), keys, "full")
+    known = boq_lines.select("boq_id", "line_id").distinct().withColumn("elsewhere", F.lit(True))
+    told = met.join(known, ["boq_id", "line_id"], "left").withColumn(
+        "linked",
+        F.when(F.col("po_lines").isNull(), "unordered")
+        .when(F.col("required_quantity").isNotNull(), "linked")
+        .when(F.col("elsewhere"), "scope_mismatch")
+        .otherwise("dangling"),
+    )
+    none = F.lit(None)
+    free = free.select(
+        *by, none.cast("string").alias("boq_id"), none.cast("string").alias("line_id"), F.lit("unreferenced").alias("linked"),
+        none.cast(TOTAL_QUANTITY).alias("required_quantity"), "ordered_quantity", "po_lines",
+    )
+    columns = [*keys, "linked", "required_quantity", "ordered_quantity", "po_lines"]
+    return told.select(*columns).unionByName(free.select(*columns)).fillna(0, subset=["po_lines"])
+
+
 def boq_line_id() -> Column:
     return stable_id(
         "boq-line",

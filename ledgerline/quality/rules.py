@@ -97,6 +97,15 @@ EVIDENCE = [
     Rule("record_missing", lambda: (F.col("location_kind") == "record") & _empty("collection", "record_key")()),
 ]
 
+# The same for evidence that lists its cells in an array, as spreadsheets are read.
+CELLS_LISTED = {
+    "cells_missing": "location_kind = 'tabular' and (cells is null or size(cells) = 0 or exists(cells, c -> c is null or trim(c) = ''))",
+    "cells_repeated": "location_kind = 'tabular' and size(array_distinct(cells)) < size(cells)",
+}
+EVIDENCE_LISTED = [
+    Rule(rule.name, _sql(CELLS_LISTED[rule.name])) if rule.name in CELLS_LISTED else rule for rule in EVIDENCE
+]
+
 RESULTS = [Rule("unresolved_with_value", _sql("status = 'unresolved' and value is not null"))]
 
 BOQ_LINES = [

@@ -413,6 +413,8 @@ BOOK_ORDER = ["line_no", "record_key", "quantity", "price"]
 def sample_workbooks(spark: SparkSession, sf: str) -> DataFrame:
     """Workbooks of a fixed number of lines made from the whole line table, every fifth cut short.
 
+    Every seventh has a quantity of thirteen digits, another seventh a price with seven decimals; the others write a quantity with an exponent.
+
     Lines are numbered first, so that no order, however large, makes a larger workbook.
     """
     lines = bind(spark, sf, "bom_lines").select(
@@ -430,6 +432,8 @@ def sample_workbooks(spark: SparkSession, sf: str) -> DataFrame:
     def build(key, frame):
         ordered = frame.sort_values("sequence")
         rows = [workbooks.HEADER] + ordered[["sku", "description", "quantity", "price"]].values.tolist()
+        rows[1][2] = {3: "1234567890123", 4: rows[1][2]}.get(key[0] % 7, f"{float(rows[1][2]) / 100:.8f}E2")
+        rows[1][3] = "0.1234567" if key[0] % 7 == 4 else rows[1][3]
         content = workbooks.build_workbook(rows)
         if key[0] % 5 == 1:
             content = content[: len(content) // 2]
@@ -446,7 +450,7 @@ books AS (SELECT *, pos // {WORKBOOK_ROWS} AS book FROM n)"""
     "ingest_bom_xlsx",
     f"""WITH {BOOKS} SELECT 'book-' || book || '.xlsx' AS artifact_id, pos % {WORKBOOK_ROWS} + 2 AS line_no, sku, description,
 CAST(quantity AS DECIMAL(38,6)) AS quantity, CAST(unit_price AS DECIMAL(38,6)) AS unit_price,
-CASE WHEN unit_price IS NULL THEN 'A,B,C' ELSE 'A,B,C,D' END AS cells FROM books WHERE book % 5 <> 1""",
+CASE WHEN unit_price IS NULL THEN 'A,B,C' ELSE 'A,B,C,D' END AS cells FROM books WHERE book % 5 <> 1 AND book % 7 NOT IN (3, 4)""",
 )
 def ingest_bom_xlsx(spark: SparkSession, sf: str) -> DataFrame:
     lines, _rejected = workbooks.read_workbooks(sample_workbooks(spark, sf))
@@ -456,7 +460,8 @@ def ingest_bom_xlsx(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "rejected_workbooks",
-    f"WITH {BOOKS} SELECT DISTINCT 'book-' || book || '.xlsx' AS artifact_id, 'BadZipFile' AS problem FROM books WHERE book % 5 = 1",
+    f"""WITH {BOOKS} SELECT DISTINCT 'book-' || book || '.xlsx' AS artifact_id, CASE WHEN book % 5 = 1 THEN 'BadZipFile' ELSE 'ValueError' END AS problem
+FROM books WHERE book % 5 = 1 OR book % 7 IN (3, 4)""",
 )
 def rejected_workbooks(spark: SparkSession, sf: str) -> DataFrame:
     _lines, rejected = workbooks.read_workbooks(sample_workbooks(spark, sf))

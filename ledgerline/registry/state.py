@@ -441,6 +441,21 @@ def po_boq_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return coverage(spark, sf).drop("item_key")
 
 
+@query(
+    "po_references",
+    f"""WITH o AS (SELECT {S}, boq_id, boq_line_id AS line_id, sum(quantity) AS q, count(*) AS n FROM {{po_lines}} GROUP BY ALL),
+b AS (SELECT {S}, boq_id, line_id, sum(quantity) AS r FROM {{boq_lines}} GROUP BY ALL)
+SELECT {", ".join(f"coalesce(b.{c}, o.{c}) AS {c}" for c in S.split(", "))}, coalesce(b.boq_id, o.boq_id) AS boq_id, coalesce(b.line_id, o.line_id) AS line_id,
+CASE WHEN o.n IS NULL THEN 'unordered' WHEN b.r IS NOT NULL THEN 'linked'
+  WHEN EXISTS (SELECT 1 FROM {{boq_lines}} x WHERE x.boq_id = o.boq_id AND x.line_id = o.line_id) THEN 'scope_mismatch' ELSE 'dangling' END AS linked,
+CAST(r AS DECIMAL(38,6)) AS required_quantity, CAST(q AS DECIMAL(38,6)) AS ordered_quantity, coalesce(n, 0) AS po_lines
+FROM b FULL JOIN (SELECT * FROM o WHERE boq_id IS NOT NULL) o ON {on_scope('b', 'o')} AND b.boq_id = o.boq_id AND b.line_id = o.line_id
+UNION ALL SELECT {S}, NULL, NULL, 'unreferenced', NULL, CAST(sum(q) AS DECIMAL(38,6)), CAST(sum(n) AS BIGINT) FROM o WHERE boq_id IS NULL GROUP BY {S}""",
+)
+def po_references(spark: SparkSession, sf: str) -> DataFrame:
+    return purchasing.order_references(bind(spark, sf, "boq_lines"), bind(spark, sf, "po_lines"))
+
+
 PO_LINE_ID_SQL = sql_id(
     "purchase-order-line",
     sql_text("line_id"),

@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import DECIMALS, WHOLE_DIGITS
 from ledgerline.operators import provenance
 from ledgerline.schemas import QUANTITY, WORKBOOK_LINES
-from ledgerline.session import ship_package
+from ledgerline.session import materialize, ship_package
 
 # Header cells, and the two namespaces of the format.
 HEADER = ["SKU", "Description", "Quantity", "Unit Price"]
@@ -108,11 +109,16 @@ class _Workbook:
 
 
 def _number(text: str) -> str:
-    """Decimal text without exponent; anything else rejects the workbook."""
+    """Decimal text without exponent; a number without an exact place in a quantity or price, like anything else, rejects the workbook."""
     value = Decimal(text)
     if not value.is_finite():
         raise ValueError(f"not a finite number: {text}")
-    return f"{value:f}"
+    _, digits, exponent = value.as_tuple()
+    kept = "".join(map(str, digits)).rstrip("0").lstrip("0")
+    scale = -exponent - (len(digits) - len("".join(map(str, digits)).rstrip("0")))
+    if kept and (scale > DECIMALS or len(kept) - scale > WHOLE_DIGITS):
+        raise ValueError(f"number without an exact place in {WHOLE_DIGITS} digits and {DECIMALS} decimals: {text}")
+    return f"{value:f}" if kept else "0"
 
 
 def workbook_lines(path: str, content: bytes, sheet: str) -> Iterator[dict]:
@@ -171,10 +177,12 @@ def workbook_files(spark: SparkSession, path: str) -> DataFrame:
 def read_workbooks(files: DataFrame, sheet: str = "BOM") -> tuple[DataFrame, DataFrame]:
     """(lines, rejected workbooks) of files given as (path, content).
 
-    A workbook is read whole or rejected whole; one bad file never fails the job.
+    A workbook is read whole or rejected whole; one bad file never fails the job. Files are parsed once, and both results are read from
+    what that wrote to the shared folder.
     """
     ship_package(files.sparkSession)
     parsed = files.select("path", "content").mapInPandas(lambda batches: _parse(batches, sheet), WORKBOOK_LINES)
+    parsed = materialize(parsed, "workbooks")
     typed = parsed.select(
         *[c for c in parsed.columns if not c.endswith("_text")],
         F.col("quantity_text").cast(QUANTITY).alias("quantity"),

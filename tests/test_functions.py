@@ -100,3 +100,25 @@ def test_question_white_space_of_any_kind(spark):
 
     row = spark.createDataFrame([("how\x1cmany\x85 gpu -\tnow ",)], "q string").select(normalize_question(F.col("q")))
     assert row.first()[0] == "how many gpu now"
+
+
+def test_numbers_keep_every_digit(spark):
+    """Parts of a number against Python's decimals, and which numbers have an exact place."""
+    from decimal import Decimal, InvalidOperation
+
+    from ledgerline.functions import fits, number_parts
+
+    given = ["1", "-2.50", "0", "0.000", "1e3", "1E-6", "1e-7", "0.1234567", "1234567890123", "123456789012.654321", "1234567890120e-1", "+.5", "5.", "-0.0000010",
+             "12e400", "", ".", "e5", "abc", "1,5", " 7 ", "--1", "1e", "NaN", "Infinity", "0e999999", "000123.4500", None]
+    rows = spark.createDataFrame([(g,) for g in given], "raw string").select("raw", number_parts(F.col("raw")).alias("p"), fits(number_parts(F.col("raw"))).alias("fits"))
+    for row in rows.collect():
+        try:
+            value = Decimal(row.raw.strip())
+            value = value if value.is_finite() else None
+        except (InvalidOperation, AttributeError):
+            value = None
+        if value is None:
+            assert row.p is None and row.fits is None, row
+            continue
+        assert int(row.p.digits or 0) * (-1 if row.p.negative else 1) == value.scaleb(row.p.scale) if abs(row.p.scale) < 30 else True
+        assert row.fits == (value == 0 or (abs(value) < 10**12 and value == round(value, 6))), row

@@ -179,3 +179,64 @@ def test_undeclared_fields_stay_unresolved(spark):
         "colour": ("unresolved", "field is not declared"),
         "shade": ("unresolved", "source field is missing"),
     }
+
+
+def test_numbers_without_an_exact_place_are_told(spark):
+    """They reject their workbook, and stay unresolved as observations; exponents are numbers like others."""
+    from ledgerline.operators import documents
+    from ledgerline.sources import workbooks
+
+    def book(quantity, price):
+        return workbooks.build_workbook([workbooks.HEADER, ["A", "item", quantity, price]])
+
+    books = [("ok", "2.5E1", "1e-6"), ("many", "1234567890123", "1"), ("fine", "1", "0.1234567"), ("zero", "0.00000000", "")]
+    files = spark.createDataFrame([(p, bytearray(book(q, u))) for p, q, u in books], "path string, content binary")
+    lines, rejected = workbooks.read_workbooks(files)
+    assert {r.artifact_id: (str(r.quantity), r.unit_price and str(r.unit_price)) for r in lines.collect()} == {
+        "ok": ("25.000000", "0.000001"), "zero": ("0.000000", None)
+    }
+    assert {r.artifact_id: r.error.split(":")[0] for r in rejected.collect()} == {"many": "ValueError", "fine": "ValueError"}
+    fields = spark.createDataFrame([("n", "1e3"), ("n", "0.1234567"), ("n", "1234567890123"), ("n", "x"), ("n", None)], "field_name string, raw_value string")
+    fields = fields.selectExpr("*", "'observed' as status", "cast(null as string) as diagnostic")
+    types = spark.createDataFrame([("n", "decimal", "each", None)], "field_name string, value_type string, unit string, factor int")
+    told = {r.raw_value: (r.status, r.diagnostic) for r in documents.normalize(fields, types).collect()}
+    inexact = ("unresolved", "number has no exact place in 18 digits with 6 decimals")
+    assert told == {
+        "1e3": ("observed", None), "0.1234567": inexact, "1234567890123": inexact,
+        "x": ("unresolved", "value does not parse as declared"), None: ("unresolved", "source field is missing"),
+    }
+
+
+def test_evidence_rules_over_listed_cells(spark):
+    """The rules hold for evidence as spreadsheets give it."""
+    from ledgerline.quality import checks, rules
+    from ledgerline.sources import workbooks
+
+    content = workbooks.build_workbook([workbooks.HEADER, ["A", "item", "1", "2"], ["B", "item", "1"]])
+    lines, _ = workbooks.read_workbooks(spark.createDataFrame([("w", bytearray(content))], "path string, content binary"))
+    rows = lines.select("line_no", "artifact_id", "content_hash", "location_kind", "sheet", "row", "cells").withColumns(
+        {"collection": F.lit(None).cast("string"), "record_key": F.lit(None).cast("string")}
+    )
+    assert checks.violations(rows, ["line_no"], rules.EVIDENCE_LISTED).count() == 0
+    broken = rows.withColumn("cells", F.when(F.col("line_no") == 2, F.array(F.lit("A"), F.lit("A"))).otherwise(F.array(F.lit("A"), F.lit(" "))))
+    found = {(r.line_no, r.rule) for r in checks.violations(broken, ["line_no"], rules.EVIDENCE_LISTED).collect()}
+    assert found == {(2, "cells_repeated"), (3, "cells_missing")}
+
+
+def test_order_references_of_every_kind(spark):
+    from ledgerline.operators import purchasing
+
+    bill = spark.createDataFrame(
+        [("t", "p", "s", "v", "b1", "l1", 5), ("t", "p", "s", "v", "b1", "l2", 3), ("t", "q", "s", "v", "b2", "l1", 1)],
+        "tenant_id string, project_id string, site_id string, version string, boq_id string, line_id string, quantity int",
+    )
+    orders = spark.createDataFrame(
+        [("t", "p", "s", "v", b, ln, q) for b, ln, q in [("b1", "l1", 2), ("b1", "l1", 1), ("b2", "l1", 4), ("b9", "l1", 6), ("b1", None, 7), (None, None, 8), (None, "l1", 9)]],
+        "tenant_id string, project_id string, site_id string, version string, boq_id string, boq_line_id string, quantity int",
+    )
+    found = {(r.project_id, r.boq_id, r.line_id): (r.linked, r.required_quantity, r.ordered_quantity, r.po_lines) for r in purchasing.order_references(bill, orders).collect()}
+    assert found == {
+        ("p", "b1", "l1"): ("linked", 5, 3, 2), ("p", "b1", "l2"): ("unordered", 3, None, 0), ("q", "b2", "l1"): ("unordered", 1, None, 0),
+        ("p", "b2", "l1"): ("scope_mismatch", None, 4, 1), ("p", "b9", "l1"): ("dangling", None, 6, 1), ("p", "b1", None): ("dangling", None, 7, 1),
+        ("p", None, None): ("unreferenced", None, 17, 2),
+    }

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.operators.ledger import append_entries, write_entries
 from ledgerline.schemas import SCOPE
-from ledgerline.session import remove
+from ledgerline.session import exists, remove
 
 COMMIT = "commit_id string, source string, batch_id bigint, last_sequence bigint"
 SNAPSHOT = "folder string, up_to bigint, made bigint"
@@ -31,9 +31,11 @@ BUCKETS = 32
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, or nothing while it has no data yet."""
+    if not exists(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException:  # a folder without files
         return None
 
 

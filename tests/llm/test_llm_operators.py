@@ -533,3 +533,16 @@ def test_pipeline_stages(spark, sf_dir):
     assert used.agg(F.max("n")).first()[0] <= 2048
     tokens = {r.doc_id: r.doc_tokens for r in pieces.select("doc_id", "doc_tokens").distinct().collect()}
     assert pieces.agg(F.sum("length")).first()[0] == sum(tokens[r.doc_id] for r in kept.select("doc_id").collect())
+
+
+def test_words_taken_apart_give_the_same_ids():
+    """Letters of many scripts, marks and capitals, with a memory that forgets all the time."""
+    rng = random.Random(1)
+    letters = "aAbBJzZ\u01f0\u030c\u00c5\u0130\u0131\u03a3\u03c3\u03c2\u00df'.,;:!? \u0301\u00e9\u00c91\uff19\u03a9\u0958"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    texts += ["I'll", "Don't.", "X.", "A", ".", "J\u030c.", "Ab,", "", "  ", "a\x1cb"]
+    words = packing.Words(tokenizer_path(), most=3000)
+    want = words.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for start in range(0, len(texts), 100):
+        for ids, encoded in zip(words.ids(texts[start : start + 100]), want[start : start + 100], strict=True):
+            assert list(memoryview(ids).cast("I")) == encoded.ids

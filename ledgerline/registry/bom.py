@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import normalize_identifier
 from ledgerline.functions.text import normalize_question
 from ledgerline.operators import bom, claims, evidence, members, provenance, reconciliation, resolution, state
+from ledgerline.operators.record_ids import with_record_id
 from ledgerline.operators.scope import RequestContext, within
 from ledgerline.plans import bom_run, claim_register
 from ledgerline.registry.base import S, normalized, on_scope, query
@@ -323,6 +324,36 @@ def resolution_decision_ids(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.decision_ids(joined, prov).select(*BY, "mention", "decision_id")
 
 
+DECISIONS_SQL = f"""sup AS (SELECT {S}, {normalized('sku')} AS identifier_key, list(assertion_id ORDER BY line_no, assertion_id) AS ids
+        FROM (SELECT *, {SKU_ASSERTION_SQL} AS assertion_id FROM res) GROUP BY ALL),
+dec AS (SELECT DISTINCT {S}, sku AS mention, canonical_key, resolution, rationale FROM res),
+decided AS (SELECT {prefixed_scope('d')}, mention, canonical_key, {sql_id('resolution-decision', sql_text('mention'),
+  "coalesce('\"' || canonical_key || '\"', 'null')", sql_text('resolution'), id_part('ids'), sql_text('rationale'),
+  sql_text('(' + component_sql(provenance.RESOLVER) + ')'))} AS decision_id
+FROM dec d JOIN sup ON {on_scope('d', 'sup')} AND {normalized('mention')} = identifier_key)"""
+SAID_SQL = " UNION ALL ".join(
+    f"SELECT {S}, sku, record_key, '{predicate}' AS predicate, {assertion_sql(predicate, value)} AS assertion_id FROM res WHERE {value} IS NOT NULL"
+    for predicate, value in SAID.items()
+)
+
+
+@query(
+    "canonicalized_assertion_ids",
+    f"""WITH {resolved('small_boms')}, {DECISIONS_SQL}, said AS ({SAID_SQL})
+SELECT s.record_key, s.predicate, d.canonical_key, {sql_id('canonicalized-assertion', sql_text('s.assertion_id'), sql_text('d.decision_id'),
+  SCOPE_JSON.replace("|| ", "|| s.").replace("|| s.'", "|| '"), "strftime(TIMESTAMP '" + CUTOFF + "', '\"%Y-%m-%dT%H:%M:%S+00:00\"')")} AS canonicalized_assertion_id
+FROM said s JOIN decided d ON {on_scope('s', 'd')} AND s.sku = d.mention WHERE d.canonical_key IS NOT NULL""",
+)
+def canonicalized_assertion_ids(spark: SparkSession, sf: str) -> DataFrame:
+    lines = bind(spark, sf, "small_boms")
+    asserted = bom.with_assertion_ids(bom.bom_assertions(lines))
+    linked = resolution.canonicalized_assertions(asserted, resolution.resolve_identifiers(lines, bind(spark, sf, "candidates")))
+    named = resolution_decision_ids(spark, sf).withColumnRenamed("mention", "subject_key")
+    rows = linked.join(named, [*BY, "subject_key"]).withColumn("effective_at", cutoff())
+    made = with_record_id(rows, "canonicalized-assertion")
+    return made.select("record_key", "predicate", "canonical_key", "canonicalized_assertion_id")
+
+
 @query(
     "last_decisions",
     f"""WITH {CAND} SELECT mention, ordinal, canonical_key FROM (

@@ -88,6 +88,11 @@ def fits(parts: Column) -> Column:
     return (parts["scale"] <= DECIMALS) & (F.length(parts["digits"]) - parts["scale"] <= WHOLE_DIGITS)
 
 
+def has_exact_place(value: Column) -> Column:
+    """`fits` of a number in text; plain ones are told by a single look, others are taken apart."""
+    return F.when(value.rlike(rf"^[+-]?[0-9]{{1,{WHOLE_DIGITS}}}(\.[0-9]{{0,{DECIMALS}}})?$"), True).otherwise(fits(number_parts(value)))
+
+
 def instant_text(value: Column) -> Column:
     """ISO 8601 in UTC; microseconds appear only when they are not zero.
 

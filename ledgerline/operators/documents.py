@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions import Json, fits, instant_text, is_blank, number_parts, scope_text, stable_id
+from ledgerline.functions import Json, has_exact_place, instant_text, is_blank, scope_text, stable_id
 from ledgerline.operators.evidence import record_evidence_id
 from ledgerline.schemas import SCOPE
 
@@ -92,7 +92,7 @@ def normalize(fields: DataFrame, types: DataFrame) -> DataFrame:
     """
     joined = fields.join(types, "field_name", "left")
     raw, kind = F.col("raw_value"), F.col("value_type")
-    exact = fits(number_parts(raw))
+    exact = F.when(kind == "decimal", has_exact_place(raw))
     number = F.when(exact, F.expr("try_cast(raw_value as decimal(18,6))")) * F.coalesce(F.col("factor"), F.lit(1))
     typed = joined.select(
         *[c for c in joined.columns if c not in ("status", "diagnostic", "factor")],
@@ -100,7 +100,7 @@ def normalize(fields: DataFrame, types: DataFrame) -> DataFrame:
         F.when(kind == "date", F.expr("try_cast(raw_value as date)")).alias("date"),
         F.when(kind == "timestamp", F.expr("try_cast(raw_value as timestamp)")).alias("ts"),
         F.when(kind == "text", raw).alias("text_value"),
-        ((kind == "decimal") & ~exact).alias("_inexact"),
+        (~exact).alias("_inexact"),
     )
     empty = F.coalesce(
         F.col("num").cast("string"), F.col("date").cast("string"), F.col("ts").cast("string"), F.col("text_value")

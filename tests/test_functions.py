@@ -106,12 +106,13 @@ def test_numbers_keep_every_digit(spark):
     """Parts of a number against Python's decimals, and which numbers have an exact place."""
     from decimal import Decimal, InvalidOperation
 
-    from ledgerline.functions import fits, number_parts
+    from ledgerline.functions import fits, has_exact_place, number_parts
 
     given = ["1", "-2.50", "0", "0.000", "1e3", "1E-6", "1e-7", "0.1234567", "1234567890123", "123456789012.654321", "1234567890120e-1", "+.5", "5.", "-0.0000010",
              "12e400", "", ".", "e5", "abc", "1,5", " 7 ", "--1", "1e", "NaN", "Infinity", "0e999999", "000123.4500", None]
-    rows = spark.createDataFrame([(g,) for g in given], "raw string").select("raw", number_parts(F.col("raw")).alias("p"), fits(number_parts(F.col("raw"))).alias("fits"))
+    rows = spark.createDataFrame([(g,) for g in given], "raw string").select("raw", number_parts(F.col("raw")).alias("p"), fits(number_parts(F.col("raw"))).alias("fits"), has_exact_place(F.col("raw")).alias("same"))
     for row in rows.collect():
+        assert row.same == row.fits, row
         try:
             value = Decimal(row.raw.strip())
             value = value if value.is_finite() else None

@@ -11,8 +11,14 @@ THRESHOLD bytes, most significant digit first, and only groups that could still
 3. Windows whose anchors are equal and whose surroundings differ are ordered by their full THRESHOLD bytes. Groups of equal
    windows are exactly the repeated ones.
 
-Digits are hashes: records are compared by 40 bits of the anchor and 48 of the rest, always within one anchor. Tasks exchange packed records
-by the anchor's hash; documents move once, by their key, and both passes that read them share that exchange.
+Digits are hashes, not bytes: records are compared by 40 bits of the anchor and 48 of the rest, within the part that further bits of the
+anchor choose. A place is the first window's start and the number of windows, so that verdicts need no second look at a text's hashes.
+
+Crowded anchors, which would fill a task, are dealt out by all their bytes instead: in the second pass by their surroundings, whose lowest ids
+all stay open, and in the third by single windows, of which a task sends each once. A sample of the texts says which anchors are crowded; that
+only decides which task judges a record, never how it is judged.
+
+Verdicts travel packed, many documents to a row, by the documents' buckets; documents move once, by their key.
 """
 
 from __future__ import annotations
@@ -31,11 +37,22 @@ THRESHOLD = 50
 GRAM = 21
 SPREAD = THRESHOLD - GRAM + 1  # grams in a window
 INDEX_BITS = 28
-CHUNK_BYTES = 1 << 21
+# Texts are hashed in portions of about this size; longer ones in slices that overlap by a window.
+CHUNK_BYTES = 1 << 20
 HELD_RECORDS = 1_200_000
+HELD_BYTES = 1 << 25
 # Anchor records that one task of the second pass may hold, and bytes of text behind one record.
 TASK_RECORDS = 1_500_000
 BYTES_PER_RECORD = 15
+# Bytes of text per task that reads documents, and the most buckets that verdicts are packed by.
+TASK_BYTES = 24 << 20
+BUCKETS = 4096
+# An anchor met CROWD times in the sample is crowded. From SAMPLE_BYTES on the sample is a part of the texts, but never less than one in SAMPLE_LEAST.
+# Fewer than MOST_CROWDED anchors can each hold more than one in MOST_CROWDED records.
+CROWD = 50
+SAMPLE_BYTES = 8 << 20
+SAMPLE_LEAST = 15_000
+MOST_CROWDED = 1_000_000
 LAST = (1 << 63) - 1  # stands for a null id
 
 
@@ -49,27 +66,26 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Anchors:
-    """One entry per anchor: its document (place in the list), its number there, first and last window start (in the document), hashes."""
+    """One entry per anchor: its piece (place in the list), first window start there and in the joined bytes, number of windows, hashes."""
 
-    doc: np.ndarray
-    number: np.ndarray
+    piece: np.ndarray
     low: np.ndarray
-    high: np.ndarray
+    begin: np.ndarray
+    width: np.ndarray
     gram: np.ndarray
     context: np.ndarray
-    base: np.ndarray  # start of the document in the joined bytes
     windows: np.ndarray  # hash of the window at every joined byte
 
 
-def anchors(documents: list[bytes], hashed: bool = True) -> Anchors:
-    """Anchors of all windows of the documents; without `hashed` only their places."""
-    lens = np.array([len(d) for d in documents], dtype=np.int64)
-    data = np.frombuffer(b"".join(documents), dtype=np.uint8)
+def anchors(pieces: list[bytes]) -> Anchors:
+    """Anchors of all windows of the pieces."""
+    lens = np.array([len(d) for d in pieces], dtype=np.int64)
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     empty = np.zeros(0, dtype=np.int64)
     ends = np.cumsum(lens)
     if len(data) < THRESHOLD:
         none = np.zeros(0, dtype=np.uint64)
-        return Anchors(empty, empty, empty, empty, none, none, ends - lens, none)
+        return Anchors(empty, empty, empty, empty, none, none, none)
     h = {1: (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)}
 
     def longer(n: int, m: int) -> None:
@@ -88,36 +104,46 @@ def anchors(documents: list[bytes], hashed: bool = True) -> Anchors:
         step = min(have, SPREAD - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    doc = np.repeat(np.arange(len(lens)), lens)[: len(least)]
+    piece = np.repeat(np.arange(len(lens)), lens)[: len(least)]
     start = np.arange(len(least))
-    inside = start + THRESHOLD <= ends[doc]
-    start, doc = start[inside], doc[inside]
+    inside = start + THRESHOLD <= ends[piece]
+    start, piece = start[inside], piece[inside]
     chosen = (least[inside] & low_bits).astype(np.int64)
-    cuts = np.flatnonzero(np.r_[len(start) > 0, (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])])
+    cuts = np.flatnonzero(np.r_[len(start) > 0, (chosen[1:] != chosen[:-1]) | (piece[1:] != piece[:-1])])
     low, high = start[cuts], start[np.r_[cuts[1:], len(start)].astype(np.int64) - 1] if len(cuts) else empty
-    doc, at = doc[cuts], chosen[cuts]
-    first = np.searchsorted(doc, np.arange(len(lens)))
-    number = np.arange(len(doc)) - first[doc]
-    base = ends - lens
-    if not hashed:
-        none = np.zeros(0, dtype=np.uint64)
-        return Anchors(doc, number, low - base[doc], high - base[doc], none, none, base, none)
+    piece, at = piece[cuts], chosen[cuts]
     longer(16, 16)
     longer(32, 16)
     longer(48, 2)
     windows = h[THRESHOLD]
     shape = ((at - low) * 64 + (high - low)).astype(np.uint64)
     context = _mix(_mix(windows[low], windows[high]), shape)
-    return Anchors(doc, number, low - base[doc], high - base[doc], gram[at], context, base, windows)
+    return Anchors(piece, low - (ends - lens)[piece], low, high - low + 1, gram[at], context, windows)
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    start, size = 0, 0
+def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Portions of texts: for each piece its text's index and where it starts there. Every window lies in exactly one piece."""
+    owners: list[int] = []
+    offsets: list[int] = []
+    pieces: list[bytes] = []
+    size = 0
     for k, text in enumerate(texts):
-        size += len(text)
-        if size >= CHUNK_BYTES or k == len(texts) - 1:
-            yield start, texts[start : k + 1]
-            start, size = k + 1, 0
+        for start in range(0, max(1, len(text) - THRESHOLD + 1), CHUNK_BYTES):
+            piece = text[start : start + CHUNK_BYTES + THRESHOLD - 1] if len(text) > CHUNK_BYTES else text
+            owners.append(k)
+            offsets.append(start)
+            pieces.append(piece)
+            size += len(piece)
+            if size >= CHUNK_BYTES:
+                yield np.array(owners), np.array(offsets), pieces
+                owners, offsets, pieces, size = [], [], [], 0
+    if pieces:
+        yield np.array(owners), np.array(offsets), pieces
+
+
+def _places(found: Anchors, offsets: np.ndarray) -> np.ndarray:
+    """Each anchor's first window start in its text and number of windows, in 40 bits."""
+    return ((found.low + offsets[found.piece]) * 32 + found.width - 1).astype(np.uint64)
 
 
 def _narrow(values: np.ndarray, size: int) -> bytes:
@@ -142,10 +168,23 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-# A packed part: number of records and of document runs, then per run id, mark and length, then the columns of the records.
+def _lengths(begin: np.ndarray, total: int) -> np.ndarray:
+    return np.diff(np.r_[begin, total])
+
+
+def _lowest(ids: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each row the lowest id among the rows with equal keys."""
+    order = np.lexsort((ids, *keys))
+    begin = _runs(*[key[order] for key in keys])
+    out = np.empty_like(ids)
+    out[order] = np.repeat(ids[order][begin], _lengths(begin, len(ids)))
+    return out
+
+
+# A packed row: number of records and of document runs, then per run id, mark and length, then the columns of the records.
 def _pack(ids: np.ndarray, marks: np.ndarray, *columns: tuple[np.ndarray, int]) -> bytes:
     begin = _runs(ids, marks)
-    counts = np.diff(np.r_[begin, len(ids)])
+    counts = _lengths(begin, len(ids))
     parts = [np.array([len(ids), len(begin)], dtype="<u4").tobytes(), ids[begin].astype("<i8").tobytes(), marks[begin].astype("<i4").tobytes(), counts.astype("<u4").tobytes()]
     return b"".join(parts + [_narrow(values, size) for values, size in columns])
 
@@ -166,71 +205,94 @@ def _unpack(blob: bytes, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], int]
     return out, at
 
 
-RECORD = (5, 6, 4)
-SCHEMA = "kind int, part int, id long, mark int, data binary"
-FULL, RECORDS, OPEN = 0, 1, 2
+def _unpack_all(blobs: list[bytes], sizes: tuple[int, ...]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*[_unpack(b, sizes)[0] for b in blobs], strict=True)]
+
+
+SCHEMA = "kind int, part int, data binary"
+# Verdicts on whole anchors and on some of their windows, anchors that are still open; records of common and of crowded anchors.
+FULL, SOME, OPEN, RECORDS, CROWDED = range(5)
+SIZES = {FULL: (5,), SOME: (5, 4), OPEN: (5,), RECORDS: (5, 6, 5), CROWDED: (5, 6, 5)}
+WINDOWS = (5, 5, 1, 1)  # key, place, first window and number of windows, before the windows' hashes
 
 
 class _Rows:
     """Rows of SCHEMA that become batches of bounded size."""
 
     def __init__(self) -> None:
-        self.columns: list[list] = [[], [], [], [], []]
+        self.columns: list[list] = [[], [], []]
         self.size = 0
 
-    def add(self, kind: int, part: int, id_: int, mark: int, data: bytes) -> None:
-        for column, value in zip(self.columns, (kind, part, id_, mark, data), strict=True):
+    def add(self, kind: int, part: int, data: bytes) -> None:
+        for column, value in zip(self.columns, (kind, part, data), strict=True):
             column.append(value)
         self.size += len(data) + 40
 
-    def numbers(self, kind: int, ids: np.ndarray, marks: np.ndarray, numbers: np.ndarray, parts: int) -> None:
-        """One row per document with its anchor numbers."""
-        order = np.lexsort((numbers, marks, ids))
-        ids, marks, numbers = ids[order], marks[order], numbers[order].astype("<u4")
-        begin = _runs(ids, marks)
-        for start, stop in zip(begin.tolist(), np.r_[begin[1:], len(ids)].tolist(), strict=False):
-            self.add(kind, int(ids[start]) % parts, int(ids[start]), int(marks[start]), numbers[start:stop].tobytes())
+    def verdicts(self, kind: int, buckets: int, ids: np.ndarray, marks: np.ndarray, *columns: np.ndarray) -> None:
+        """One row per bucket of documents."""
+        if not len(ids):
+            return
+        bucket = (_mix(ids.view(np.uint64), marks.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((columns[0], marks, ids, bucket))
+        for some in np.split(order, _runs(bucket[order])[1:]):
+            packed = [(c[some], size) for c, size in zip(columns, SIZES[kind], strict=True)]
+            self.add(kind, int(bucket[some[0]]), _pack(ids[some], marks[some], *packed))
 
     def batch(self) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int32(), pa.int32(), pa.binary()]
         out = pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(self.columns, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")]
         )
-        self.columns, self.size = [[], [], [], [], []], 0
+        self.columns, self.size = [[], [], []], 0
         return out
 
 
-def _first_pass(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, pieces in _pieces(batch.column(0).to_pylist()):
+            grams, counts = np.unique(anchors(pieces).gram, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], ["gram", "n"])
+
+
+def crowded_anchors(rows: DataFrame, size: int) -> np.ndarray:
+    """Anchors that the sampled texts hold CROWD times, in order."""
+    share = min(1.0, max(SAMPLE_BYTES / max(size, 1), 1 / SAMPLE_LEAST))
+    sample = rows.where(F.pmod(F.xxhash64("id", "mark", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counted = arrow_batches(sample.select("text"), _count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= CROWD).orderBy(F.desc("n"), "gram").limit(MOST_CROWDED).select("gram").toArrow()
+    return np.sort(found.column("gram").to_numpy().view(np.uint64))
+
+
+def _first_pass(parts: int, buckets: int, crowded: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
         rows = _Rows()
 
         def settle() -> Iterator[pa.RecordBatch]:
-            ids, marks, numbers, grams, contexts = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((ids, contexts, grams))
-            begin = _runs(grams[order], contexts[order])
-            lowest = np.repeat(ids[order][begin], np.diff(np.r_[begin, len(order)]))
-            later = np.zeros(len(ids), dtype=bool)
-            later[order] = ids[order] > lowest
-            rows.numbers(FULL, ids[later], marks[later], numbers[later], parts)
-            on = np.flatnonzero(~later)
-            part = (grams[on] % np.uint64(parts)).astype(np.int64)
-            on = on[np.lexsort((numbers[on], marks[on], ids[on], part))]
-            part = (grams[on] % np.uint64(parts)).astype(np.int64)
-            for p, some in zip(np.unique(part).tolist(), np.split(on, _runs(part)[1:]), strict=True):
-                columns = [(grams[some] // np.uint64(parts), 5), (contexts[some], 6), (numbers[some].astype(np.uint64), 4)]
-                rows.add(RECORDS, p, 0, 0, _pack(ids[some], marks[some], *columns))
+            ids, marks, places, grams, contexts = (np.concatenate(c) for c in zip(*held, strict=True))
+            later = ids > _lowest(ids, contexts, grams)
+            rows.verdicts(FULL, buckets, ids[later], marks[later], places[later])
+            ids, marks, places, grams, contexts = (c[~later] for c in (ids, marks, places, grams, contexts))
+            dealt = np.isin(grams, crowded)
+            keys = np.where(dealt, _mix(grams, contexts), grams)
+            part = (keys % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((places, marks, ids, dealt, part))
+            for some in np.split(order, _runs(part[order], dealt[order])[1:]):
+                if len(some):
+                    columns = [(keys[some] // np.uint64(parts), 5), (contexts[some], 6), (places[some], 5)]
+                    rows.add(CROWDED if dealt[some[0]] else RECORDS, int(part[some[0]]), _pack(ids[some], marks[some], *columns))
                 if rows.size > 1 << 23:
                     yield rows.batch()
             yield rows.batch()
 
         for batch in batches:
             all_ids, all_marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for start, texts in _chunks(batch.column(2).to_pylist()):
-                found = anchors(texts)
-                held.append((all_ids[start + found.doc], all_marks[start + found.doc], found.number, found.gram, found.context))
-                count += len(found.doc)
+            for owners, offsets, pieces in _pieces(batch.column(2).to_pylist()):
+                found = anchors(pieces)
+                at = owners[found.piece]
+                held.append((all_ids[at], all_marks[at], _places(found, offsets), found.gram, found.context))
+                count += len(at)
                 if count >= HELD_RECORDS:
                     yield from settle()
                     held, count = [], 0
@@ -241,43 +303,43 @@ def _first_pass(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def _by_part(batches: Iterator[pa.RecordBatch], rows: _Rows) -> Iterator[tuple[int, list[bytes]]]:
-    """Packed records of one part after the other (the input is sorted by part); other rows pass."""
+    """Kind and packed records of one part after the other (the input is sorted by part and kind); verdicts pass."""
     last, held = None, []
     for batch in batches:
-        kinds, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        ids, marks, data = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        for kind, part, id_, mark, blob in zip(kinds, parts, ids, marks, data, strict=True):
-            if kind != RECORDS:
-                rows.add(kind, part, id_, mark, blob)
+        for kind, part, blob in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            if kind in (FULL, SOME, OPEN):
+                rows.add(kind, part, blob)
                 continue
-            if part != last and held:
-                yield last, held
+            if (part, kind) != last and held:
+                yield last[1], held
                 held = []
-            last = part
+            last = (part, kind)
             held.append(blob)
         yield -1, []
     if held:
-        yield last, held
+        yield last[1], held
 
 
-def _second_pass(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _second_pass(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
-        for _, blobs in _by_part(batches, rows):
+        for kind, blobs in _by_part(batches, rows):
             if blobs:
-                ids, marks, grams, contexts, numbers = (np.concatenate(c) for c in zip(*[_unpack(b, RECORD)[0] for b in blobs], strict=True))
-                order = np.lexsort((ids, contexts, grams))
-                ids, marks, grams, contexts, numbers = ids[order], marks[order], grams[order], contexts[order], numbers[order]
-                group = _runs(grams)
-                sizes = np.diff(np.r_[group, len(ids)])
-                several = np.repeat(np.minimum.reduceat(ids, group) != np.maximum.reduceat(ids, group), sizes)
-                inner = _runs(grams, contexts)
-                lowest = np.repeat(ids[inner], np.diff(np.r_[inner, len(ids)]))
-                kinds_of = np.add.reduceat(np.isin(np.arange(len(ids)), inner, assume_unique=True).astype(np.int64), group)
-                later = several & (ids > lowest)
-                unsure = several & (ids == lowest) & np.repeat(kinds_of > 1, sizes)
-                rows.numbers(FULL, ids[later], marks[later], numbers[later], parts)
-                rows.numbers(OPEN, ids[unsure], marks[unsure], numbers[unsure], parts)
+                ids, marks, keys, contexts, places = _unpack_all(blobs, SIZES[kind])
+                order = np.lexsort((ids, contexts, keys))
+                ids, marks, keys, contexts, places = (c[order] for c in (ids, marks, keys, contexts, places))
+                inner = _runs(keys, contexts)
+                lowest = np.repeat(ids[inner], _lengths(inner, len(ids)))
+                later, unsure = ids > lowest, ids == lowest
+                if kind == RECORDS:
+                    group = _runs(keys)
+                    sizes = _lengths(group, len(ids))
+                    several = np.repeat(np.minimum.reduceat(ids, group) != np.maximum.reduceat(ids, group), sizes)
+                    opens = np.zeros(len(ids), dtype=np.int64)
+                    opens[inner] = 1
+                    unsure &= several & np.repeat(np.add.reduceat(opens, group) > 1, sizes)
+                rows.verdicts(FULL, buckets, ids[later], marks[later], places[later])
+                rows.verdicts(OPEN, buckets, ids[unsure], marks[unsure], places[unsure])
             if rows.size > 1 << 22:
                 yield rows.batch()
         yield rows.batch()
@@ -285,8 +347,43 @@ def _second_pass(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _window_pass(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packs the full windows of the anchors that are still open: columns id, mark, text, numbers (list of binary)."""
+GATHERED = "kind int, id long, mark int, data binary"
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts taken apart again: one row per document and kind, or a few where a bucket exceeds HELD_BYTES."""
+    held: dict[int, list[bytes]] = {FULL: [], SOME: [], OPEN: []}
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        for kind, blobs in held.items():
+            if not blobs:
+                continue
+            ids, marks, *columns = _unpack_all(blobs, SIZES[kind])
+            order = np.lexsort((columns[0], marks, ids))
+            begin = _runs(ids[order], marks[order])
+            packed = [(_narrow(c[order], size), size) for c, size in zip(columns, SIZES[kind], strict=True)]
+            data = [
+                b"".join(values[size * a : size * b] for values, size in packed)
+                for a, b in zip(begin.tolist(), np.r_[begin[1:], len(order)].tolist(), strict=True)
+            ]
+            first = order[begin]
+            arrays = [pa.array([kind] * len(data), pa.int32()), pa.array(ids[first]), pa.array(marks[first]), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["kind", "id", "mark", "data"])
+            blobs.clear()
+
+    size = 0
+    for batch in batches:
+        for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            held[kind].append(blob)
+            size += len(blob)
+            if size >= HELD_BYTES:
+                yield from settle()
+                size = 0
+    yield from settle()
+
+
+def _window_pass(parts: int, buckets: int, crowded: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs the full windows of the anchors that are still open: columns id, mark, text, open places (list of binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -294,31 +391,49 @@ def _window_pass(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         rows = _Rows()
 
         def settle() -> Iterator[pa.RecordBatch]:
-            ids, marks, numbers, grams, widths = (np.concatenate(c) for c in list(zip(*held, strict=True))[:5])
-            hashes = np.concatenate([h[5] for h in held])
+            ids, marks, places, grams, widths, hashes = (np.concatenate(c) for c in zip(*held, strict=True))
             begin = np.cumsum(widths) - widths
-            part = (grams % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((numbers, marks, ids, part))
+            firsts = np.zeros(len(ids), dtype=np.int64)
+            dealt = np.flatnonzero(np.isin(grams, crowded))
+            if len(dealt):
+                owner = np.repeat(dealt, widths[dealt])
+                bit = np.arange(len(owner)) - np.repeat(np.cumsum(widths[dealt]) - widths[dealt], widths[dealt])
+                single = _mix(grams[owner], hashes[begin[owner] + bit])
+                later = ids[owner] > _lowest(ids[owner], single)
+                on = owner[later]
+                rows.verdicts(SOME, buckets, ids[on], marks[on], places[on], np.uint64(1) << bit[later].astype(np.uint64))
+                owner, bit, single = owner[~later], bit[~later], single[~later]
+                whole = np.ones(len(ids), dtype=bool)
+                whole[dealt] = False
+                ids, marks, places = (np.r_[c[whole], c[owner]] for c in (ids, marks, places))
+                begin, firsts = np.r_[begin[whole], begin[owner] + bit], np.r_[firsts[whole], bit]
+                widths, keys = np.r_[widths[whole], np.ones(len(owner), dtype=np.int64)], np.r_[grams[whole], single]
+            else:
+                keys = grams
+            part = (keys % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((places, marks, ids, part))
             for some in np.split(order, _runs(part[order])[1:]):
-                columns = [(grams[some] // np.uint64(parts), 5), (numbers[some].astype(np.uint64), 4), (widths[some].astype(np.uint64), 1)]
-                blob = _pack(ids[some], marks[some], *columns)
-                inside = np.repeat(begin[some] - (np.cumsum(widths[some]) - widths[some]), widths[some]) + np.arange(widths[some].sum())
-                rows.add(RECORDS, int(part[some[0]]), 0, 0, blob + _narrow(hashes[inside], 6))
+                if len(some):
+                    values = (keys[some] // np.uint64(parts), places[some], firsts[some].astype(np.uint64), widths[some].astype(np.uint64))
+                    blob = _pack(ids[some], marks[some], *zip(values, WINDOWS, strict=True))
+                    inside = np.repeat(begin[some] - (np.cumsum(widths[some]) - widths[some]), widths[some]) + np.arange(widths[some].sum())
+                    rows.add(RECORDS, int(part[some[0]]), blob + _narrow(hashes[inside], 6))
                 if rows.size > 1 << 23:
                     yield rows.batch()
             yield rows.batch()
 
         for batch in batches:
             all_ids, all_marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            wanted = [np.frombuffer(b"".join(parts_), dtype="<u4") for parts_ in batch.column(3).to_pylist()]
-            for start, texts in _chunks(batch.column(2).to_pylist()):
-                found = anchors(texts)
-                first = np.searchsorted(found.doc, np.arange(len(texts)))
-                on = np.concatenate([first[k] + np.unique(wanted[start + k]).astype(np.int64) for k in range(len(texts))])
-                low, widths = found.low[on] + found.base[found.doc[on]], found.high[on] - found.low[on] + 1
-                inside = np.repeat(low - (np.cumsum(widths) - widths), widths) + np.arange(widths.sum())
-                at = start + found.doc[on]
-                held.append((all_ids[at], all_marks[at], found.number[on], found.gram[on], widths, found.windows[inside]))
+            wanted = [np.unique(_widen(np.frombuffer(b"".join(some), dtype=np.uint8), 5)) for some in batch.column(3).to_pylist()]
+            for owners, offsets, pieces in _pieces(batch.column(2).to_pylist()):
+                found = anchors(pieces)
+                places = _places(found, offsets)
+                edges = np.searchsorted(found.piece, np.arange(len(pieces) + 1))
+                on = np.concatenate([a + np.flatnonzero(np.isin(places[a:b], wanted[k])) for k, a, b in zip(owners, edges[:-1], edges[1:], strict=True)])
+                widths = found.width[on]
+                inside = np.repeat(found.begin[on] - (np.cumsum(widths) - widths), widths) + np.arange(widths.sum())
+                at = owners[found.piece[on]]
+                held.append((all_ids[at], all_marks[at], places[on], found.gram[on], widths, found.windows[inside]))
                 count += int(widths.sum())
                 if count >= 4 * HELD_RECORDS:
                     yield from settle()
@@ -329,61 +444,51 @@ def _window_pass(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Orders open windows by all their bytes; gives each document its anchors' numbers and, bit by bit, which of their windows are repeated."""
-    rows = _Rows()
-    for _, blobs in _by_part(batches, rows):
-        if blobs:
-            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for blob in blobs:
-                head, at = _unpack(blob, (5, 4, 1))
-                hashes = _widen(np.frombuffer(blob, dtype=np.uint8, offset=at), 6)
-                for column, values in zip(columns, [*head, hashes], strict=True):
-                    column.append(values)
-            ids, marks, grams, numbers, widths, hashes = (np.concatenate(c) for c in columns)
-            widths = widths.astype(np.int64)
-            owner = np.repeat(np.arange(len(ids)), widths)
-            bit = np.arange(len(owner)) - np.repeat(np.cumsum(widths) - widths, widths)
-            order = np.lexsort((ids[owner], hashes, grams[owner]))
-            begin = _runs(grams[owner[order]], hashes[order])
-            lowest = np.repeat(ids[owner[order]][begin], np.diff(np.r_[begin, len(order)]))
-            on = order[ids[owner[order]] > lowest]
-            masks = np.zeros(len(ids), dtype=np.uint64)
-            np.bitwise_or.at(masks, owner[on], np.uint64(1) << bit[on].astype(np.uint64))
-            hit = np.flatnonzero(masks)
-            hit = hit[np.lexsort((numbers[hit], marks[hit], ids[hit]))]
-            runs = _runs(ids[hit], marks[hit])
-            for start, stop in zip(runs.tolist(), np.r_[runs[1:], len(hit)].tolist(), strict=False):
-                some = hit[start:stop]
-                rows.add(OPEN, 0, int(ids[some[0]]), int(marks[some[0]]), numbers[some].astype("<u8").tobytes() + masks[some].astype("<u8").tobytes())
-        if rows.size > 1 << 22:
-            yield rows.batch()
-    yield rows.batch()
-
-
-def repeated_spans(found: Anchors, doc: int, full: list[bytes], some: list[bytes], size: int) -> np.ndarray:
-    """Booleans per byte of a document: covered by a repeated window."""
-    first, last = np.searchsorted(found.doc, [doc, doc + 1])
-    low, high = found.low[first:last], found.high[first:last]
-    starts = np.zeros(size + 1, dtype=np.int64)
-    numbers = np.frombuffer(b"".join(full), dtype="<u4").astype(np.int64)
-    numbers = np.unique(numbers)
-    np.add.at(starts, low[numbers], 1)
-    np.add.at(starts, high[numbers] + THRESHOLD, -1)
+def _third_pass(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Orders open windows by all their bytes; a verdict says, bit by bit, which windows of an anchor are repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows()
+        for _, blobs in _by_part(batches, rows):
+            if blobs:
+                columns: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+                for blob in blobs:
+                    head, at = _unpack(blob, WINDOWS)
+                    hashes = _widen(np.frombuffer(blob, dtype=np.uint8, offset=at), 6)
+                    for column, values in zip(columns, [*head, hashes], strict=True):
+                        column.append(values)
+                ids, marks, keys, places, firsts, widths, hashes = (np.concatenate(c) for c in columns)
+                widths = widths.astype(np.int64)
+                owner = np.repeat(np.arange(len(ids)), widths)
+                bit = np.arange(len(owner)) - np.repeat(np.cumsum(widths) - widths - firsts.astype(np.int64), widths)
+                on = np.flatnonzero(ids[owner] > _lowest(ids[owner], hashes, keys[owner]))
+                masks = np.zeros(len(ids), dtype=np.uint64)
+                np.bitwise_or.at(masks, owner[on], np.uint64(1) << bit[on].astype(np.uint64))
+                hit = np.flatnonzero(masks)
+                rows.verdicts(SOME, buckets, ids[hit], marks[hit], places[hit], masks[hit])
+            if rows.size > 1 << 22:
+                yield rows.batch()
+        yield rows.batch()
+
+    return run
+
+
+def repeated_bytes(size: int, full: list[bytes], some: list[bytes]) -> np.ndarray:
+    """Booleans per byte of a text of `size` bytes: covered by a repeated window."""
+    starts = np.zeros(size + 1, dtype=np.int32)
+    places = np.unique(_widen(np.frombuffer(b"".join(full), dtype=np.uint8), 5)).astype(np.int64)
+    np.add.at(starts, places >> 5, 1)
+    np.add.at(starts, (places >> 5) + (places & 31) + THRESHOLD, -1)
     for blob in some:
-        values = np.frombuffer(blob, dtype="<u8")
-        half = len(values) // 2
-        for number, mask in zip(values[:half].astype(np.int64).tolist(), values[half:].tolist(), strict=True):
-            at = int(low[number])
-            while mask:  # runs of set bits
-                skip = (mask & -mask).bit_length() - 1
-                mask >>= skip
-                run = ((mask + 1) & ~mask).bit_length() - 1
-                starts[at + skip] += 1
-                starts[at + skip + run - 1 + THRESHOLD] -= 1
-                mask >>= run
-                at += skip + run
-    return np.cumsum(starts[:size]) > 0
+        data, n = np.frombuffer(blob, dtype=np.uint8), len(blob) // 9
+        low, masks = _widen(data[: 5 * n], 5).astype(np.int64) >> 5, _widen(data[5 * n :], 4)
+        for begin in range(0, n, 1 << 16):
+            bits = (masks[begin : begin + (1 << 16), None] >> np.arange(SPREAD, dtype=np.uint64)) & np.uint64(1)
+            entry, bit = np.nonzero(bits)
+            at = low[begin + entry] + bit
+            np.add.at(starts, at, 1)
+            np.add.at(starts, at + THRESHOLD, -1)
+    return np.cumsum(starts[:size], dtype=np.int32) > 0
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary"
@@ -391,35 +496,40 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<s
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns id, mark, text, doc_id, full, some."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), span, pa.binary()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
     for batch in batches:
-        data = [batch.column(k).to_pylist() for k in range(2, 6)]
-        for start, texts in _chunks(data[0]):
-            found = anchors(texts, hashed=False)
-            out: list[list] = [[], [], [], [], [], []]
-            for k, text in enumerate(texts):
-                full, some = data[2][start + k] or [], data[3][start + k] or []
-                spans: list[dict] = []
-                kept, removed = text, 0
-                if full or some:
-                    gone = repeated_spans(found, k, full, some, len(text))
-                    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                    spans = [{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
-                    removed = int(gone.sum())
-                    kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-                for column, value in zip(out, (data[1][start + k], len(text), removed, len(spans), spans, kept), strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), kind, pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
-            )
+        out: list[list] = [[], [], [], [], [], []]
+        held = 0
+        for text, doc_id, full, some in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True):
+            spans: list[dict] = []
+            kept, removed = text, 0
+            if full or some:
+                gone = repeated_bytes(len(text), full or [], some or [])
+                edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+                spans = [{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
+                removed = int(gone.sum())
+                kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+            for column, value in zip(out, (doc_id, len(text), removed, len(spans), spans, kept), strict=True):
+                column.append(value)
+            held += len(kept)
+            if held >= HELD_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+                out, held = [[], [], [], [], [], []], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+
+
+def _dealt(packed: DataFrame, parts: int) -> DataFrame:
+    return packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row: doc_id, n_bytes, n_removed, n_spans, the removed spans (byte offsets), and the remaining bytes.
 
     Null texts count as empty; texts below THRESHOLD bytes stay whole. Rows that share an id never remove each other's bytes, repeated rows have
-    equal results. A null id counts as the largest one. Other columns are not read; an empty table gives no rows. Documents may be of any length below 2^INDEX_BITS bytes.
+    equal results. A null id counts as the largest one. Other columns are not read; an empty table gives no rows. Texts may have any length that a
+    column value can have; long ones are hashed in slices.
     """
     stash = Stash(docs.sparkSession, "suffixes")
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -429,21 +539,25 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     size = docs.agg(F.sum(F.octet_length(content))).first()[0] or 0
     parts = max(4, -(-size // (BYTES_PER_RECORD * TASK_RECORDS)))
-    records = arrow_batches(rows.select("id", "mark", "text"), _first_pass(parts), SCHEMA)
-    settled = stash.put(
-        arrow_batches(records.repartition(parts, "part").sortWithinPartitions("part"), _second_pass(parts), SCHEMA)
-    )
-    spread = max(4, size // (24 << 20))
+    spread = max(4, size // TASK_BYTES)
+    buckets = min(spread, BUCKETS)
+    crowded = crowded_anchors(rows, size)
+
+    def by_document(verdicts: DataFrame) -> DataFrame:
+        return arrow_batches(verdicts.repartitionById(buckets, F.col("part")), _gather, GATHERED)
+
+    records = arrow_batches(rows.select("id", "mark", "text"), _first_pass(parts, buckets, crowded), SCHEMA)
+    settled = stash.put(arrow_batches(_dealt(records, parts), _second_pass(buckets), SCHEMA))
     placed = rows.repartition(spread, "id", "mark")
-    unsure = settled.where(F.col("kind") == OPEN).groupBy("id", "mark").agg(F.collect_list("data").alias("numbers"))
-    opened = placed.join(unsure, ["id", "mark"]).select("id", "mark", "text", "numbers", "doc_id")
-    windows = arrow_batches(opened, _window_pass(parts), SCHEMA)
-    masks = arrow_batches(windows.repartition(parts, "part").sortWithinPartitions("part"), _third_pass, SCHEMA)
+    unsure = by_document(settled.where(F.col("kind") == OPEN)).groupBy("id", "mark").agg(F.collect_list("data").alias("places"))
+    opened = placed.join(unsure, ["id", "mark"]).select("id", "mark", "text", "places")
+    windows = arrow_batches(opened, _window_pass(parts, buckets, crowded), SCHEMA)
+    masks = arrow_batches(_dealt(windows, parts), _third_pass(buckets), SCHEMA)
+    whole = F.col("kind") == FULL
     verdicts = (
-        settled.where(F.col("kind") == FULL).select("id", "mark", "data", F.lit(True).alias("whole"))
-        .union(masks.select("id", "mark", "data", F.lit(False)))
+        by_document(settled.where(whole).union(masks))
         .groupBy("id", "mark")
-        .agg(F.collect_list(F.when(F.col("whole"), F.col("data"))).alias("full"), F.collect_list(F.when(~F.col("whole"), F.col("data"))).alias("some"))
+        .agg(F.collect_list(F.when(whole, F.col("data"))).alias("full"), F.collect_list(F.when(~whole, F.col("data"))).alias("some"))
     )
     judged = placed.join(verdicts, ["id", "mark"], "left").select("id", "mark", "text", "doc_id", "full", "some")
     return arrow_batches(judged, _cut, RESULT)

@@ -128,7 +128,7 @@ def test_crowded_buckets_lose_no_link(spark, pairwise):
 # --- 9 suffixes -------------------------------------------------------------------------------------------------
 
 
-def test_remove_repeats(docs, texts, none):
+def without_repeats(texts):
     ordered = sorted(texts, key=lambda r: (r[0] is None, r[0] or 0))
     seen, want = {}, []
     for i, t in ordered:
@@ -140,12 +140,51 @@ def test_remove_repeats(docs, texts, none):
                 gone[p : p + 50] = True
         spans = int((np.diff(np.r_[False, gone, False].astype(int)) == 1).sum())
         want.append((i or -1, len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
-    rows = suffixes.remove_repeats(docs).collect()
-    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows) == sorted(want)
+    return sorted(want)
+
+
+def removed(df):
+    return sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df).collect())
+
+
+def test_remove_repeats(docs, texts, none):
+    want = without_repeats(texts)
+    assert removed(docs) == want
     assert sum(w[2] for w in want) > 1000
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_remove_repeats_of_crowded_anchors(spark):
+    rng = random.Random(5)
+    phrases = [words(rng, 12)[:22], words(rng, 16)[:60]]
+    rows = [(i, words(rng, 8) + phrases[i % 2] + words(rng, 8) + phrases[rng.randrange(2)][:rng.randint(20, 60)]) for i in range(600)]
+    rows += [(i, rows[i - 600][1] + " " + rows[rng.randrange(600)][1]) for i in range(600, 640)]
+    df = table(spark, rows)
+    keyed = df.selectExpr("doc_id id", "cast(0 as int) mark", "cast(text as binary) text")
+    assert len(suffixes.crowded_anchors(keyed, 1)) > 0
+    assert removed(df) == without_repeats(rows)
+
+
+def test_remove_repeats_of_long_texts(spark):
+    rng = random.Random(6)
+    base = rng.randbytes(suffixes.CHUNK_BYTES).hex()
+    cut = suffixes.CHUNK_BYTES
+    rows = [(1, base), (2, "z" * 70 + base[cut - 300 : cut + 300]), (3, "y" * (cut - 100) + base[500:900]), (4, base[7:] + "w")]
+    assert removed(table(spark, rows)) == without_repeats(rows)
+
+
+def test_pieces_hold_every_window_once():
+    texts = [b"", b"a" * 49, bytes(range(256)) * (3 * suffixes.CHUNK_BYTES // 256), b"b" * (suffixes.CHUNK_BYTES + 30)]
+    starts = {k: [] for k in range(len(texts))}
+    for owners, offsets, pieces in suffixes._pieces(texts):
+        assert sum(map(len, pieces)) < 2 * suffixes.CHUNK_BYTES + suffixes.THRESHOLD
+        for k, offset, piece in zip(owners.tolist(), offsets.tolist(), pieces, strict=True):
+            assert texts[k][offset : offset + len(piece)] == piece
+            starts[k].append(range(offset, offset + len(piece) - 49))
+    for k, text in enumerate(texts):
+        assert [p for run in starts[k] for p in run] == list(range(len(text) - 49))
+
+
 # --- 10 packing -------------------------------------------------------------------------------------------------
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions import Json, has_exact_place, instant_text, is_blank, scope_text, stable_id
+from ledgerline.functions import Json, decimal_text, has_exact_place, instant_text, is_blank, scope_text, stable_id
+from ledgerline.operators.bom import assertion_id
 from ledgerline.operators.evidence import record_evidence_id
+from ledgerline.operators.members import id_lists
+from ledgerline.operators.record_ids import with_record_id
 from ledgerline.schemas import SCOPE
 
 
@@ -121,6 +125,52 @@ def observation_assertions(observations: DataFrame) -> DataFrame:
     return observations.where("status <> 'unresolved'")
 
 
+def assert_observations(
+    observations: DataFrame,
+    subject: Column,
+    evidence_id: Column,
+    event_id: Column | None = None,
+    source_system: str = "document",
+) -> DataFrame:
+    """Assertions made from typed observations: subject, predicate, typed value and its text, evidence, `assertion_id`.
+
+    Identifiers follow the rule of workbook lines, so an observation and a line that say the same from the same evidence are the
+    same assertion. Unresolved observations assert nothing. Times enter in UTC with their offset, as other instants do.
+    """
+    value = F.coalesce(decimal_text(F.col("num")), F.col("date").cast("string"), instant_text(F.col("ts")), F.col("text_value"))
+    made = {
+        "subject_key": subject,
+        "predicate": F.col("field_name"),
+        "value_text": value,
+        "evidence_id": evidence_id,
+        "source_system": F.lit(source_system),
+        "transformation_event_id": F.lit(None).cast("string") if event_id is None else event_id,
+    }
+    return observation_assertions(observations).withColumns(made).withColumn("assertion_id", assertion_id())
+
+
+def naming_assertions(assertions: DataFrame, entities: Mapping[str, str]) -> DataFrame:
+    """The assertions whose value names an entity, with `text` and `entity_type`; entities gives the type for each such predicate."""
+    kinds = [F.when(F.col("predicate") == predicate, F.lit(kind)) for predicate, kind in entities.items()]
+    kind = reduce(lambda a, b: F.coalesce(a, b), kinds, F.lit(None).cast("string"))
+    named = assertions.withColumn("text", F.col("value_text")).withColumn("entity_type", kind)
+    return named.where(F.col("entity_type").isNotNull() & ~is_blank(F.col("text")))
+
+
+def identified_mentions(naming: DataFrame, order: Sequence[str], by: Sequence[str] = SCOPE) -> DataFrame:
+    """Mentions of naming assertions with `mention_id` over their assertions in the given order."""
+    keys = [*by, "text", "entity_type"]
+    lists = id_lists(naming, keys, order, "assertion_id").select(*keys, F.col("ids_json").alias("assertions_json"))
+    mentions = entity_mentions(naming, text="text", by=by)
+    return with_record_id(mentions.join(lists, keys), "entity-mention", "mention_id").drop("assertions_json")
+
+
+def mention_links(naming: DataFrame, mentions: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
+    """Which mention each naming assertion belongs to: one row per assertion."""
+    keys = [*by, "text", "entity_type"]
+    return naming.select(*keys, "assertion_id").join(mentions.select(*keys, "mention_id"), keys)
+
+
 def entity_mentions(
     assertions: DataFrame, text: str = "subject_key", entity_type: str = "entity_type", by: Sequence[str] = SCOPE
 ) -> DataFrame:

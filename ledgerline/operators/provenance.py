@@ -18,9 +18,11 @@ LOCAL_RUN = {
     "dependency_lock_digest": None,
 }
 
-# Components of the two decision steps, and of workbook structuring.
+# Components of the decision steps, of states and facts, and of workbook structuring.
 RESOLVER = ("normalized-exact-resolver", "deterministic", "1")
 RECONCILER = ("deterministic-reconciliation", "deterministic", "1")
+STATE_BUILDER = ("operational-state-builder", "deterministic", "1")
+DERIVER = ("outstanding-deriver", "deterministic", "1")
 STRUCTURER = ("xlsx-bom-structurer", "deterministic", "1")
 WORKBOOK_SCHEMA = "bom-xlsx-v1"
 

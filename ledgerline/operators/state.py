@@ -94,8 +94,8 @@ def outstanding_quantity() -> Column:
 STATE_ATTRIBUTES = ("required_quantity", *OBSERVED_QUANTITIES)
 
 
-def state_attributes(pairs: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
-    """One row per state attribute; a missing value is unresolved."""
+def state_attributes(pairs: DataFrame, by: Sequence[str] = SCOPE, unit: str | None = None) -> DataFrame:
+    """One row per state attribute, all in the same unit; a missing value is unresolved."""
     attributes = F.array(
         *[
             F.struct(
@@ -106,9 +106,9 @@ def state_attributes(pairs: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
             for position, name in enumerate(STATE_ATTRIBUTES)
         ]
     )
-    return pairs.select(*by, "canonical_key", "as_of", "freshness", F.inline(attributes)).withColumn(
-        "status", F.when(F.col("value").isNull(), "unresolved").otherwise("observed")
-    )
+    rows = pairs.select(*by, "canonical_key", "as_of", "freshness", F.inline(attributes))
+    status = F.when(F.col("value").isNull(), "unresolved").otherwise("observed")
+    return rows.withColumn("status", status).withColumn("unit", F.lit(unit).cast("string"))
 
 
 def operational_state(attributes: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
@@ -117,7 +117,7 @@ def operational_state(attributes: DataFrame, by: Sequence[str] = SCOPE) -> DataF
     Attribute names are unique within a subject, so the array is as long as the attribute
     vocabulary, not as the data.
     """
-    entry = F.struct("position", "name", "value", "status")
+    entry = F.struct("position", "name", "value", "status", "unit")
     return (
         attributes.groupBy(*by, "canonical_key", "as_of", "freshness")
         .agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import decimal_text
 from ledgerline.operators import documents, ledger, metrics, provenance, retrieval
-from ledgerline.operators.evidence import CHAIN_STEPS, evidence_id
+from ledgerline.operators.evidence import CHAIN_STEPS, evidence_id, record_evidence_id
 from ledgerline.operators.members import id_lists
 from ledgerline.operators.reconciliation import reconcile_lines
 from ledgerline.operators.record_ids import with_record_id
@@ -235,6 +235,19 @@ SELECT doc_id, reference_id, content_hash, byte_length, {sql_id('artifact', sql_
  'CAST(byte_length AS VARCHAR)', "'\"2024-01-02T00:00:00+00:00\"'", sql_text('(' + component_sql(('capture', 'deterministic', '1')) + ')'))} AS artifact_id FROM r""",
 )
 def capture_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    return captured(spark, sf)[0].select("doc_id", "reference_id", "content_hash", "byte_length", "artifact_id")
+
+
+@query(
+    "rejected_captures",
+    f"""WITH r AS (SELECT *, {REFERENCE_SQL.replace("2024-01-01T", "2024-03-01T")} AS reference_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 50 = 7)
+SELECT doc_id, reference_id, content_hash, TIMESTAMP '2024-03-01' AS observed_at, 'captured before it was observed' AS rejection FROM r""",
+)
+def rejected_captures(spark: SparkSession, sf: str) -> DataFrame:
+    return captured(spark, sf)[1].select("doc_id", "reference_id", "content_hash", "observed_at", "rejection")
+
+
+def captured(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents").withColumn(
         "source_uri", F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
     )
@@ -260,8 +273,7 @@ def capture_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     prov = provenance.component_provenance(
         provenance.run_id(provenance.local_run()), ("capture", "deterministic", "1")
     )
-    artifacts, _rejected = documents.capture(references, contents, prov)
-    return artifacts.select("doc_id", "reference_id", "content_hash", "byte_length", "artifact_id")
+    return documents.capture(references, contents, prov)
 
 
 ELEMENTS = """el AS (SELECT 'doc-' || doc_id AS artifact_id, unnest(range(len(string_split(text, chr(10))))) AS ordinal,
@@ -404,6 +416,48 @@ def observation_ids(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+OBSERVED_SCOPE = "'" + chr(34) + "StateScope(tenant_id=''t'', project_id=''p'', site_id=''s'', version=''r1'')" + chr(34) + "'"
+OBSERVED_ASSERTIONS = f"""{NORMALIZED}, said AS (SELECT *, CASE WHEN num IS NOT NULL THEN {sql_decimal('num')} WHEN date IS NOT NULL THEN CAST(date AS VARCHAR)
+ELSE text_value END AS value_text, {sql_id('evidence', *[sql_text(c) for c in ("'lineitem'", "'hash-lineitem'", "'record'", "'lineitem'", "record_key || '/' || field_name")])} AS evidence_id
+FROM obs WHERE status <> 'unresolved'),
+assertions AS (SELECT record_key, field_name AS predicate, value_text, {sql_id('assertion', *[sql_text(c) for c in ("record_key", "field_name", "value_text", "evidence_id", "'document'")], "'null'")} AS assertion_id FROM said)"""
+OBSERVED_MENTIONS = f"""{OBSERVED_ASSERTIONS}, naming AS (SELECT *, value_text AS text, 'return-flag' AS entity_type FROM assertions WHERE predicate = 'flag'),
+lists AS (SELECT text, entity_type, list(assertion_id ORDER BY record_key, assertion_id) AS ids FROM naming GROUP BY text, entity_type),
+mentions AS (SELECT text, entity_type, len(ids) AS assertion_count, {sql_id('entity-mention', sql_text('text'), sql_text('entity_type'), id_part('ids'),
+OBSERVED_SCOPE, "'" + chr(34) + "2024-01-20T00:00:00+00:00" + chr(34) + "'")} AS mention_id FROM lists)"""
+
+
+def asserted(spark: SparkSession, sf: str) -> DataFrame:
+    scope = {name: F.lit(v) for name, v in zip(BY, ("t", "p", "s", "r1"), strict=True)}
+    seen = observations(spark, sf).withColumns({**scope, "observed_at": cutoff()})
+    field_key = F.concat_ws("/", "record_key", "field_name")
+    backing = record_evidence_id(F.lit("lineitem"), F.lit("hash-lineitem"), F.lit("lineitem"), field_key)
+    return documents.assert_observations(seen, F.col("record_key"), backing)
+
+
+def named_mentions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    naming = documents.naming_assertions(asserted(spark, sf), {"flag": "return-flag"})
+    return naming, documents.identified_mentions(naming, ["record_key"])
+
+
+@query("observation_assertions", f"WITH {OBSERVED_ASSERTIONS} SELECT record_key, predicate, value_text, assertion_id FROM assertions")
+def observation_assertions(spark: SparkSession, sf: str) -> DataFrame:
+    return asserted(spark, sf).select("record_key", "predicate", "value_text", "assertion_id")
+
+
+@query("observation_mentions", f"WITH {OBSERVED_MENTIONS} SELECT text, entity_type, assertion_count, mention_id FROM mentions")
+def observation_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return named_mentions(spark, sf)[1].select("text", "entity_type", "assertion_count", "mention_id")
+
+
+@query(
+    "observation_mention_links",
+    f"WITH {OBSERVED_MENTIONS} SELECT assertion_id, mention_id FROM naming JOIN mentions USING (text, entity_type)",
+)
+def observation_mention_links(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.mention_links(*named_mentions(spark, sf)).select("assertion_id", "mention_id")
+
+
 # ---- sources and exports --------------------------------------------------------------------
 
 WORKBOOK_ROWS = 2000

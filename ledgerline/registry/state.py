@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize_identifier
-from ledgerline.operators import anomalies, claims, evidence, members, metrics, provenance, purchasing, resolution, state
+from ledgerline.operators import anomalies, claims, evidence, governed, members, metrics, provenance, purchasing, resolution, state
 from ledgerline.operators.anomalies import Policy, StatePolicies
 from ledgerline.plans import bom_run, stage_trace, worklists
 from ledgerline.registry.base import S, normalized, on_scope, query
@@ -127,7 +127,7 @@ def derived_facts(spark: SparkSession, sf: str) -> DataFrame:
 # evidence of requirements (the lines behind them) and observations (the event)
 EXPECTED_EVIDENCE = """req AS (SELECT 'tenant-1' AS tenant_id, 'project-'||(l_suppkey % 5) AS project_id, 'site-1' AS site_id, 'r1' AS version,
   'P-'||lpad(CAST(l_partkey AS VARCHAR),7,'0') AS canonical_key, CAST(l_orderkey AS BIGINT) * 100 + l_linenumber AS position,
-  {id} AS evidence_id FROM lineitem WHERE l_partkey % 13 <> 0)""".replace(
+  {id} AS evidence_id FROM lineitem)""".replace(
     "{id}",
     sql_id(
         "evidence",
@@ -159,8 +159,7 @@ def evidence_of_pairs(spark: SparkSession, sf: str, matched: DataFrame) -> DataF
     key = F.concat(F.lit("P-"), F.lpad(F.col("l_partkey").cast("string"), 7, "0"))
     project = F.concat(F.lit("project-"), (F.substring_index("project_id", "-", -1).cast("bigint") % 5).cast("string"))
     required = (
-        lines.where("l_partkey % 13 <> 0")
-        .withColumn("project_id", project)
+        lines.withColumn("project_id", project)
         .withColumn("canonical_key", key)
         .select(
             *BY,
@@ -639,6 +638,120 @@ def prediction_inputs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---- states, facts and bundles with identifiers ---------------------------------------------
+
+UNIT = "each"
+SUBJECT_SQL = "tenant_id || '/' || project_id || '/' || site_id || '/' || version || ':' || canonical_key"
+
+
+def instant_sql(value: str) -> str:
+    return f"strftime({value}, '\"%Y-%m-%dT%H:%M:%S+00:00\"')"
+
+
+def attribute_sql(name: str) -> str:
+    shown = f"coalesce({sql_text(sql_decimal(name))}, 'null')"
+    return f"""'["{name}",' || {shown} || ',"' || CASE WHEN {name} IS NULL THEN 'unresolved' ELSE 'observed' END || '"]'"""
+
+
+def made_by(component: tuple[str, str, str]) -> Column:
+    return provenance.component_provenance(provenance.run_id(provenance.local_run()), component)
+
+
+STATES_SQL = f"""{STATE_EVIDENCE},
+held AS (SELECT {S}, canonical_key, list(evidence_id ORDER BY side, evidence_id) AS ids FROM ev GROUP BY {S}, canonical_key),
+stated AS (SELECT *, {SUBJECT_SQL} AS subject_key FROM pairs JOIN held USING ({S}, canonical_key)),
+states AS (SELECT *, {sql_id('operational-state', sql_text('subject_key'), SCOPE_JSON, instant_sql('as_of'), sql_text('freshness'),
+    "'[' || " + " || ',' || ".join(attribute_sql(name) for name in state.STATE_ATTRIBUTES) + " || ']'",
+    id_part('ids'), sql_text('(' + component_sql(provenance.STATE_BUILDER) + ')'), "'null'")} AS state_id FROM stated),
+facts AS (SELECT *, {sql_id('derived-fact', sql_text('subject_key'), "'\"outstanding_quantity\"'", sql_text(sql_decimal('outstanding_quantity')),
+    SCOPE_JSON, instant_sql('as_of'), id_part('ids'), "'[\"' || state_id || '\"]'",
+    sql_text('(' + component_sql(provenance.DERIVER) + ')'), f"'\"{UNIT}\"'")} AS fact_id FROM states)"""
+
+
+def attributes_of(matched: DataFrame) -> DataFrame:
+    return state.state_attributes(matched, unit=UNIT)
+
+
+def identified(spark: SparkSession, sf: str) -> DataFrame:
+    matched = pairs(spark, sf)
+    backing = evidence_of_pairs(spark, sf, matched)
+    return governed.identified_states(attributes_of(matched), backing, made_by(provenance.STATE_BUILDER))
+
+
+@query(
+    "state_attribute_evidence",
+    f"""WITH {STATE_EVIDENCE}, n AS (SELECT {S}, canonical_key, count(*) FILTER (side = 0) AS r, count(*) FILTER (side = 1) AS o FROM ev GROUP BY ALL)
+"""
+    + " UNION ALL ".join(
+        f"""SELECT {S}, canonical_key, '{name}' AS name, CAST({name} AS DECIMAL(38,6)) AS value, '{UNIT}' AS unit,
+CASE WHEN {name} IS NULL THEN 'unresolved' ELSE 'observed' END AS status,
+{"r" if name == "required_quantity" else "CASE WHEN o > 0 THEN o ELSE r END"} AS evidence_count FROM pairs JOIN n USING ({S}, canonical_key)"""
+        for name in state.STATE_ATTRIBUTES
+    ),
+)
+def state_attribute_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    matched = pairs(spark, sf)
+    return governed.attribute_evidence(attributes_of(matched), evidence_of_pairs(spark, sf, matched))
+
+
+@query(
+    "operational_state_ids",
+    f"WITH {STATES_SQL} SELECT subject_key, freshness, as_of, len(ids) AS evidence_count, state_id FROM states",
+)
+def operational_state_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return identified(spark, sf).select("subject_key", "freshness", "as_of", "evidence_count", "state_id")
+
+
+@query(
+    "derived_fact_ids",
+    f"""WITH {STATES_SQL} SELECT subject_key, outstanding_quantity AS value, '{UNIT}' AS unit, as_of, state_id, len(ids) AS evidence_count, fact_id FROM facts""",
+)
+def derived_fact_ids(spark: SparkSession, sf: str) -> DataFrame:
+    facts = governed.outstanding_facts(identified(spark, sf), made_by(provenance.DERIVER), UNIT)
+    return facts.select("subject_key", "value", "unit", "as_of", "state_id", "evidence_count", "fact_id")
+
+
+@query(
+    "decision_input_ids",
+    f"""WITH {STATES_SQL}, an AS ({ALL_RULES}),
+sorted AS (SELECT {S}, canonical_key, list(evidence_id ORDER BY evidence_id) AS ids FROM ev GROUP BY {S}, canonical_key),
+raised AS (SELECT {S}, {sql_id('anomaly', sql_text('subject_key'), SCOPE_JSON, sql_text('kind'), sql_text(sql_decimal('expected')),
+    "coalesce(" + sql_text(sql_decimal('observed')) + ", '\"None\"')", id_part('ids'), sql_text('policy_id'),
+    sql_text('(' + component_sql(('state-detector', 'deterministic', '1')) + ')'))} AS anomaly_id FROM an JOIN sorted USING ({S}, canonical_key)),
+f AS (SELECT {S}, list(fact_id ORDER BY fact_id) AS fids FROM facts GROUP BY {S}),
+a AS (SELECT {S}, list(anomaly_id ORDER BY anomaly_id) AS aids FROM raised GROUP BY {S})
+SELECT {S}, {AT} AS as_of, len(fids) AS facts_count, coalesce(len(aids), 0) AS anomalies_count, 0::BIGINT AS predictions_count,
+{sql_id('decision-input', SCOPE_JSON, instant_sql(AT), id_part('fids'), f"coalesce({id_part('aids')}, '[]')", "'[]'")} AS input_id
+FROM f LEFT JOIN a USING ({S})""",
+)
+def decision_input_ids(spark: SparkSession, sf: str) -> DataFrame:
+    matched = pairs(spark, sf)
+    backing = evidence_of_pairs(spark, sf, matched)
+    facts = governed.outstanding_facts(identified(spark, sf), made_by(provenance.DERIVER), UNIT)
+    raised = anomalies.state_anomalies(matched, POLICIES, cutoff())
+    named = anomalies.anomaly_ids(raised, backing, made_by(("state-detector", "deterministic", "1")))
+    items = facts.select(*BY, F.lit("facts").alias("list"), F.col("fact_id").alias("item_id"), "as_of").unionByName(
+        named.select(*BY, F.lit("anomalies").alias("list"), F.col("anomaly_id").alias("item_id"), F.col("detected_at").alias("as_of"))
+    )
+    return governed.identified_bundles(items, "decision-input", cutoff())
+
+
+@query(
+    "prediction_input_ids",
+    f"""WITH {STATES_SQL},
+e AS (SELECT {S}, list(DISTINCT evidence_id ORDER BY evidence_id) AS eids FROM ev GROUP BY {S}),
+s AS (SELECT {S}, list(state_id ORDER BY state_id) AS sids FROM states GROUP BY {S})
+SELECT {S}, {AT} AS as_of, len(eids) AS evidence_count, len(sids) AS states_count,
+{sql_id('prediction-input', SCOPE_JSON, instant_sql(AT), id_part('eids'), id_part('sids'))} AS input_id FROM e JOIN s USING ({S})""",
+)
+def prediction_input_ids(spark: SparkSession, sf: str) -> DataFrame:
+    backing = evidence_of_pairs(spark, sf, pairs(spark, sf)).withColumn("as_of", cutoff())
+    items = backing.select(*BY, F.lit("evidence").alias("list"), F.col("evidence_id").alias("item_id"), "as_of").unionByName(
+        identified(spark, sf).select(*BY, F.lit("states").alias("list"), F.col("state_id").alias("item_id"), "as_of")
+    )
+    return governed.identified_bundles(items, "prediction-input", cutoff())
+
+
 STAGES_SQL = "(VALUES " + ", ".join(f"({i}, '{s}', '{e}')" for i, (s, e) in enumerate(stage_trace.STAGES)) + ") t(stage_index, stage, empty_result)"
 
 

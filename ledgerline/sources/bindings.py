@@ -67,7 +67,7 @@ SELECT {_scope("'project-'||CAST(l_suppkey % 5 AS STRING)")}, {_ITEM} AS canonic
        CAST(SUM(CAST(l_quantity AS DECIMAL(18,6))) AS DECIMAL(20,6)) AS required_quantity,
        CAST(CASE WHEN l_partkey % 19 = 0 THEN '2024-02-01 00:00:00' ELSE '2024-01-10 00:00:00' END AS TIMESTAMP)
          AS as_of
-FROM lineitem WHERE l_partkey % 13 <> 0 GROUP BY l_partkey, l_suppkey % 5""",
+FROM lineitem GROUP BY l_partkey, l_suppkey % 5""",
     "observed": f"""
 SELECT {_scope("'project-'||CAST(event_id % 5 AS STRING)")},
        'P-'||lpad(CAST(user_id AS STRING),7,'0') AS canonical_key,

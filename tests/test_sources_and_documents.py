@@ -240,3 +240,32 @@ def test_order_references_of_every_kind(spark):
         ("p", "b2", "l1"): ("scope_mismatch", None, 4, 1), ("p", "b9", "l1"): ("dangling", None, 6, 1), ("p", "b1", None): ("dangling", None, 7, 1),
         ("p", None, None): ("unreferenced", None, 17, 2),
     }
+
+
+def test_observations_assert_by_the_rule_of_lines(spark):
+    observed = spark.createDataFrame(
+        [
+            (*SCOPE_VALUES.values(), "row-1", "has_quantity", "2.500", "observed", "decimal"),
+            (*SCOPE_VALUES.values(), "row-1", "vendor", "Acme", "observed", "text"),
+            (*SCOPE_VALUES.values(), "row-2", "vendor", "Acme", "observed", "text"),
+            (*SCOPE_VALUES.values(), "row-3", "vendor", " ", "observed", "text"),
+            (*SCOPE_VALUES.values(), "row-4", "vendor", None, "unresolved", "text"),
+        ],
+        "tenant_id string, project_id string, site_id string, version string, record string, field_name string, raw string, status string, value_type string",
+    ).selectExpr(
+        "*", "case when value_type = 'decimal' then cast(raw as decimal(38,12)) end num", "cast(null as date) date", "cast(null as timestamp) ts",
+        "case when value_type = 'text' then raw end text_value", "timestamp'2026-01-01' observed_at",
+    )
+    made = documents.assert_observations(observed, F.col("record"), F.concat(F.lit("ev-"), "record"))
+    ids = {(r.record, r.predicate): r.assertion_id for r in made.collect()}
+    assert ids["row-1", "has_quantity"] == expected_id("assertion", "row-1", "has_quantity", "2.5", "ev-row-1", "document", None)
+    assert len(ids) == 4
+    naming = documents.naming_assertions(made, {"vendor": "organization"})
+    mentions = documents.identified_mentions(naming, ["record"])
+    one = mentions.first()
+    listed = [ids["row-1", "vendor"], ids["row-2", "vendor"]]
+    scope = "StateScope(tenant_id='tenant', project_id='project', site_id='site', version='bom-v1')"
+    assert (mentions.count(), one.text, one.assertion_count) == (1, "Acme", 2)
+    assert one.mention_id == expected_id("entity-mention", "Acme", "organization", listed, scope, "2026-01-01T00:00:00+00:00")
+    assert sorted(r.assertion_id for r in documents.mention_links(naming, mentions).collect()) == sorted(listed)
+    assert documents.naming_assertions(made, {}).count() == 0

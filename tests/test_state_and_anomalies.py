@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from fixtures import SCOPE_VALUES, day, expected_id, operational
 from ledgerline.errors import ContractError
-from ledgerline.operators import anomalies, state
+from ledgerline.functions import instant_text
+from ledgerline.operators import anomalies, governed, state
 from ledgerline.operators.anomalies import Policy, StatePolicies
 
 SCOPE_DDL = "tenant_id string, project_id string, site_id string, version string, "
@@ -152,3 +153,49 @@ def test_operational_state_marks_missing_values(spark):
     assert rolled.unresolved_count == 5 and rolled.attributes[0].value == 4
     facts = state.derived_facts(pair(spark, [])).first()
     assert (facts.value, facts.status) == (4, "inferred")
+
+
+EVIDENCE_DDL = SCOPE_DDL + "canonical_key string, evidence_id string, side int"
+PRINTED = "StateScope(tenant_id='tenant', project_id='{}', site_id='site', version='bom-v1')"
+
+
+def evidenced(spark, rows):
+    return spark.createDataFrame([(*SCOPE_VALUES.values(), *r) for r in rows], EVIDENCE_DDL)
+
+
+def test_state_fact_and_bundle_ids_name_the_level_below(spark):
+    pairs = pair(spark, [])
+    row = pairs.first()
+    key, when = row.canonical_key, pairs.select(instant_text(F.col("as_of")).alias("t")).first().t
+    backing = evidenced(spark, [(key, "ev-2", 0), (key, "ev-1", 0)])
+    made = governed.identified_states(state.state_attributes(pairs, unit="each"), backing, F.lit("prov")).cache()
+    one = made.first()
+    scope = PRINTED.format(row.project_id)
+    values = [[a.name, None if a.value is None else f"{a.value.normalize():f}", a.status] for a in one.attributes]
+    assert {a.unit for a in one.attributes} == {"each"} and one.evidence_count == 2
+    assert one.state_id == expected_id(
+        "operational-state", one.subject_key, scope, when, "unknown", values, ["ev-1", "ev-2"], "prov", None
+    )
+    facts = governed.outstanding_facts(made, F.lit("why"), "each")
+    fact = facts.first()
+    assert fact.value == 4 and fact.fact_id == expected_id(
+        "derived-fact", one.subject_key, "outstanding_quantity", "4", scope, when, ["ev-1", "ev-2"], [one.state_id], "why", "each"
+    )
+    items = facts.select(*state.SCOPE, F.lit("facts").alias("list"), F.col("fact_id").alias("item_id"), "as_of")
+    bundle = governed.identified_bundles(items.union(items), "decision-input", F.lit("2030-01-01").cast("timestamp")).first()
+    assert (bundle.facts_count, bundle.anomalies_count, bundle.predictions_count) == (1, 0, 0)
+    assert bundle.input_id == expected_id("decision-input", scope, "2030-01-01T00:00:00+00:00", [fact.fact_id], [], [])
+    assert governed.identified_bundles(items, "decision-input", F.lit("2000-01-01").cast("timestamp")).count() == 0
+    assert governed.uncontained(facts, made, ["state_id"]).count() == 0
+    assert governed.uncontained(facts, made.where("false"), ["state_id"]).count() == 1
+
+
+def test_attributes_rest_on_the_side_that_gives_them(spark):
+    pairs = pair(spark, [])
+    key = pairs.first().canonical_key
+    attributes = state.state_attributes(pairs)
+    alone = governed.attribute_evidence(attributes, evidenced(spark, [(key, "a", 0), (key, "b", 0)]))
+    assert {(r.name, r.evidence_count) for r in alone.collect()} == {(n, 2) for n in state.STATE_ATTRIBUTES}
+    both = governed.attribute_evidence(attributes, evidenced(spark, [(key, "a", 0), (key, "b", 0), (key, "c", 1)]))
+    assert {(r.name, r.evidence_count) for r in both.collect()} == {(n, 2 if n == "required_quantity" else 1) for n in state.STATE_ATTRIBUTES}
+    assert governed.uncontained(attributes, evidenced(spark, []), [*SCOPE_VALUES, "canonical_key"]).count() == len(state.STATE_ATTRIBUTES)

@@ -380,7 +380,8 @@ def test_dedup_lines(spark, none):
     rng = random.Random(8)
     base = [words(rng, rng.choice([6, 15, 60])) for _ in range(60)]
     edited = [" ".join(w if k != 5 else "edit" for k, w in enumerate(line.split())) for line in base]
-    rows = [(i, "\n".join(rng.choice(base + edited) for _ in range(rng.randint(1, 6))) + "\n- x\n") for i in range(80)]
+    rows = [(i, "\n".join(rng.choice(base + edited) for _ in range(rng.randint(1, 6))) + "\n- x\n--\n") for i in range(80)]
+    rows += [(90, "Read more\n\n* * *"), (91, "read more \n\n* * *\nRead mores\n\u041e \u043d\u0430\u0441"), (92, "\u043e \u043d\u0430\u0441\n7")]
     rows += [(100, None), (101, ""), (None, base[0]), (3, rows[3][1]), (102, "\n".join(["same line for all of them"] * 40)), (103, words(rng, 3000))]
     frame = spark.createDataFrame([(i, t, "en", "s", 1, 1, 2.0) for i, t in rows], DOCS)
     found = lines.dedup_lines(frame).collect()
@@ -388,11 +389,11 @@ def test_dedup_lines(spark, none):
     for i, t in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0)):
         for n, line in enumerate(t.split("\n")):
             key = line.strip().lower()
-            if len(key) >= lines.LEAST_CHARS:
+            if any(c.isalnum() for c in key):
                 first.setdefault(key, (i is None, i or 0, n))
     keys = list(first)
     sets = [shingles(k) for k in keys]
-    links = [(a, b) for a in range(len(keys)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    links = [(a, b) for a in range(len(keys)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b] or "x") >= 0.8 and min(len(keys[a]), len(keys[b])) >= lines.LEAST_CHARS]
     low = reach(links, range(len(keys)))
     stays = {}
     for k, key in enumerate(keys):
@@ -400,12 +401,24 @@ def test_dedup_lines(spark, none):
     kept = set(stays.values())
     want = []
     for i, t in rows:
-        some = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x.strip()) < lines.LEAST_CHARS or (i is None, i or 0, n) in kept)
+        some = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not any(c.isalnum() for c in x) or (i is None, i or 0, n) in kept)
         want.append((i or -1, some))
     assert links and sorted((r.doc_id or -1, r.text or "~") for r in found) == sorted((i, t or "~") for i, t in want)
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_line_columns_of_any_name(spark):
+    """Columns named like those that the operator works with, and like those that it adds."""
+    names = ["row", "doc", "lines", "places", "staying", "n", "line", "norm", "place", "lid", "__doc", "__places", "__pairs", "__lines", "a.b"]
+    text = "a line of some length that comes twice"
+    rows = [(i, text, *[f"{name}{i}" for name in names]) for i in (1, 2)]
+    schema = ", ".join(["doc_id long", "text string", *[f"`{name}` string" for name in names]])
+    found = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(rows, schema)).collect()}
+    assert [found[i]["text"] for i in (1, 2)] == [text, ""]
+    assert [(found[i]["__lines"], found[i]["__kept"]) for i in (1, 2)] == [(1, 1), (1, 0)]
+    assert all(found[i][name] == f"{name}{i}" for i in (1, 2) for name in names if name != "__lines")
+
+
 def test_lines_in_large_buckets(spark):
     rng = random.Random(9)
     base = words(rng, 50)

@@ -51,7 +51,7 @@ def bom_assertions(lines: DataFrame, event_id: Column | None = None) -> DataFram
     )
     event = F.lit(None).cast("string") if event_id is None else event_id
     return lines.select(
-        *lines.columns,
+        *[c for c in lines.columns if c != "transformation_event_id"],
         F.col("sku").alias("subject_key"),
         F.lit("document").alias("source_system"),
         event.alias("transformation_event_id"),

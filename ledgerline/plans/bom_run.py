@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.bom import KEYWORD, bom_assertions
 from ledgerline.operators.claims import claims_from_summary, reconciled_keys, run_status, scope_summary
 from ledgerline.operators.evidence import evidence_id, pipeline_statuses, with_chain
+from ledgerline.operators import provenance
 from ledgerline.operators.members import id_lists
 from ledgerline.operators.reconciliation import only_single_source, reconcile_lines, reconcile_single_source
 from ledgerline.operators.resolution import resolve_identifiers, resolve_rows
@@ -70,6 +71,18 @@ def run_bom(
     )
 
 
+def with_provenance(run: BomRun, run_row: dict[str, Column] | None = None) -> BomRun:
+    """The run with the `provenance_id` of the component that made each decision, reconciled line and claim; the local run unless another is given."""
+    context = provenance.run_id(provenance.local_run() if run_row is None else run_row)
+    resolver, reconciler = (provenance.component_provenance(context, c) for c in (provenance.RESOLVER, provenance.RECONCILER))
+    return replace(
+        run,
+        decisions=run.decisions.withColumn("provenance_id", resolver),
+        reconciled_lines=run.reconciled_lines.withColumn("provenance_id", reconciler),
+        claims=run.claims.withColumn("provenance_id", reconciler),
+    )
+
+
 def run_chain(lines: DataFrame, summary: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
     """Evidence chain of each scope's run, over all its lines."""
     located = lines.select(*by, "line_no", evidence_id(lines.columns).alias("evidence_id"))
@@ -79,4 +92,4 @@ def run_chain(lines: DataFrame, summary: DataFrame, by: Sequence[str] = SCOPE) -
     return with_chain(rows, F.lit(RUN_CLAIM), statuses)
 
 
-__all__ = ["BomRun", "RUN_CLAIM", "run_bom", "run_chain"]
+__all__ = ["BomRun", "RUN_CLAIM", "run_bom", "run_chain", "with_provenance"]

@@ -195,8 +195,13 @@ def read_workbooks(files: DataFrame, sheet: str = "BOM") -> tuple[DataFrame, Dat
 
 
 def structuring_events(files: DataFrame, sheet: str = "BOM", schema_version: str = provenance.WORKBOOK_SCHEMA) -> DataFrame:
-    """One transformation event per workbook: what was read, under which schema, and what came out."""
-    hashed = files.select("path", F.sha2("content", 256).alias("content_hash"))
+    """One transformation event per file: what was read, under which schema, and what came out."""
+    hashed = files.select(F.col("path").alias("artifact_id"), F.sha2("content", 256).alias("content_hash"))
+    return events_of(hashed, sheet, schema_version)
+
+
+def events_of(artifacts: DataFrame, sheet: str = "BOM", schema_version: str = provenance.WORKBOOK_SCHEMA) -> DataFrame:
+    """The structuring event of each artifact, given as (artifact_id, content_hash)."""
     snapshot = F.concat(F.lit("artifact:"), F.col("content_hash"))
     context = provenance.local_run(provenance.with_snapshots(F.array().cast("array<string>"), F.array(snapshot)))
     decided = provenance.component_provenance(
@@ -204,10 +209,11 @@ def structuring_events(files: DataFrame, sheet: str = "BOM", schema_version: str
     )
     output = F.concat(F.lit("structured-bom:"), F.col("content_hash"), F.lit(f":{sheet}"))
     schema = F.lit(f"schema:{schema_version}")
-    return hashed.select(
-        F.col("path").alias("artifact_id"),
+    return artifacts.select(
+        "artifact_id",
         "content_hash",
         snapshot.alias("snapshot_id"),
+        schema.alias("schema_id"),
         output.alias("output_id"),
         provenance.transformation_event_id(
             "document-structuring", decided, [("used_input", snapshot), ("used_schema", schema)], [output]
@@ -215,6 +221,12 @@ def structuring_events(files: DataFrame, sheet: str = "BOM", schema_version: str
     )
 
 
+def with_events(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """Lines with the `transformation_event_id` of their artifact; null where no event made it."""
+    ids = events.select("artifact_id", "content_hash", "transformation_event_id")
+    return lines.join(ids, ["artifact_id", "content_hash"], "left")
+
+
 def build_workbook(rows: list[list[str]], sheet: str = "BOM") -> bytes:
     """A minimal workbook with inline strings and declared coordinates; for tests and samples."""
     from xml.sax.saxutils import escape

@@ -50,7 +50,11 @@ def reconciled_keys(
     strict: bool = False,
 ) -> DataFrame:
     """Reconciled row per key from raw lines; the null key holds what did not resolve."""
-    resolved = resolve_rows(sku_totals(lines, by, keyword), candidates)
+    return keys_of_totals(resolve_rows(sku_totals(lines, by, keyword), candidates), precedence, by, strict)
+
+
+def keys_of_totals(resolved: DataFrame, precedence: Sequence[str], by: Sequence[str] = SCOPE, strict: bool = False) -> DataFrame:
+    """`reconciled_keys` from resolved `sku_totals`."""
     flagged = F.sum("keyword_lines").alias("keyword_lines")
     totals = merge_totals(resolved, [*by, "canonical_key", "artifact_id"], [flagged])
     return reconcile_totals(

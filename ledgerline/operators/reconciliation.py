@@ -164,7 +164,11 @@ def reconcile_single_source(lines: DataFrame, by: Sequence[str] = SCOPE, strict:
 
     Scopes with several sources fail the job, or drop out when not strict.
     """
-    totals = source_totals(lines, by)
+    return single_source_totals(source_totals(lines, by), by, strict)
+
+
+def single_source_totals(totals: DataFrame, by: Sequence[str] = SCOPE, strict: bool = True) -> DataFrame:
+    """`reconcile_single_source` from totals per key and source."""
     marked = only_single_source(totals, totals, by, strict)
     one = marked.withColumn("_only", F.lit("only"))
     rows = reconcile_totals(one, ["only"], by, source="_only")

@@ -63,6 +63,13 @@ def resolve_identifiers(
     here; their table is `resolution_evidence`.
     """
     mentions = lines.groupBy(*by, F.col("sku").alias("mention")).agg(F.count(F.lit(1)).alias("line_count"))
+    return resolve_mentions(mentions, candidates, by, candidate_scope)
+
+
+def resolve_mentions(
+    mentions: DataFrame, candidates: DataFrame, by: Sequence[str] = SCOPE, candidate_scope: Sequence[str] = ()
+) -> DataFrame:
+    """`resolve_identifiers` from mentions that are combined already: by, mention, line_count."""
     keyed = mentions.withColumn("identifier_key", normalize_identifier(F.col("mention")))
     support = keyed.groupBy(*by, "identifier_key").agg(F.sum("line_count").alias("evidence_count"))
     joined = keyed.join(support, [*by, "identifier_key"])

@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.bom import KEYWORD, bom_assertions
-from ledgerline.operators.claims import claims_from_summary, reconciled_keys, run_status, scope_summary
+from ledgerline.operators.claims import claims_from_summary, keys_of_totals, run_status, scope_summary, sku_totals
 from ledgerline.operators.evidence import evidence_id, pipeline_statuses, with_chain
 from ledgerline.operators import provenance
 from ledgerline.operators.members import id_lists
-from ledgerline.operators.reconciliation import only_single_source, reconcile_lines, reconcile_single_source
-from ledgerline.operators.resolution import resolve_identifiers, resolve_rows
+from ledgerline.operators.reconciliation import merge_totals, only_single_source, reconcile_totals, single_source_totals
+from ledgerline.operators.resolution import resolve_mentions, resolve_rows
 from ledgerline.operators.scope import RequestContext, within
 from ledgerline.schemas import SCOPE
+from ledgerline.session import materialize
 
 # Fixed value: the claim a run's own evidence chain stands for.
 RUN_CLAIM = "BOM operational state"
@@ -42,29 +43,36 @@ def run_bom(
     keyword: str = KEYWORD,
     context: RequestContext | None = None,
     strict: bool = False,
+    share: bool = False,
 ) -> BomRun:
     """Assertions, decisions, operational and reconciled lines, run summary and claims.
 
     Without a precedence the resolved lines of every scope must come from a single source; otherwise reconciled lines, summary and
     claims fail alike.
+
+    Decisions, reconciled lines, summary and claims start from one table, lines combined per source and raw identifier. A run of which
+    several outputs are used should share it: then it is written once, and the lines are read once for all of them.
     """
     if context is not None:
         lines = within(lines, context)
-    resolved = resolve_rows(lines, candidates)
-    operational = resolved.where("resolution = 'resolved'")
+    combined = sku_totals(lines, by, keyword)
+    if share:
+        combined = materialize(combined, "run")
+    resolved = resolve_rows(combined, candidates)
+    totals = merge_totals(resolved.where("resolution = 'resolved'"), [*by, "canonical_key", "artifact_id"])
     if precedence is None:
-        reconciled = reconcile_single_source(operational, by, strict=True)
-        single = lines.withColumn("artifact_id", F.lit("only"))
-        summary = scope_summary(reconciled_keys(single, candidates, ["only"], by, keyword), by)
-        mentions = resolve_rows(lines.select(*by, "artifact_id", "sku").distinct(), candidates)
-        summary = only_single_source(summary, mentions.where("resolution = 'resolved'"), by)
+        reconciled = single_source_totals(totals, by, strict=True)
+        keys = keys_of_totals(resolved.withColumn("artifact_id", F.lit("only")), ["only"], by)
+        summary = only_single_source(scope_summary(keys, by), totals, by)
     else:
-        reconciled = reconcile_lines(operational, precedence, by, strict=strict)
-        summary = scope_summary(reconciled_keys(lines, candidates, precedence, by, keyword, strict), by)
+        rows = reconcile_totals(totals, precedence, by, strict=strict)
+        reconciled = rows.where(F.col("governing_source_artifact").isNotNull())
+        summary = scope_summary(keys_of_totals(resolved, precedence, by, strict), by)
+    mentions = combined.groupBy(*by, F.col("sku").alias("mention")).agg(F.sum("line_count").alias("line_count"))
     return BomRun(
         assertions=bom_assertions(lines),
-        decisions=resolve_identifiers(lines, candidates, by),
-        operational_lines=operational,
+        decisions=resolve_mentions(mentions, candidates, by),
+        operational_lines=resolve_rows(lines, candidates).where("resolution = 'resolved'"),
         reconciled_lines=reconciled,
         summary=summary.withColumn("run_status", run_status()),
         claims=claims_from_summary(summary, by),

@@ -11,13 +11,17 @@ from ledgerline.operators.claims import sku_totals
 from ledgerline.operators.reconciliation import merge_totals, reconcile_totals
 from ledgerline.operators.resolution import resolve_rows
 from ledgerline.schemas import MONEY, SCOPE, TOTAL_PRICE, TOTAL_QUANTITY
+from ledgerline.session import materialize
 
 
 def sku_worklist(
     lines: DataFrame, candidates: DataFrame, precedence: Sequence[str], by: Sequence[str] = SCOPE
 ) -> DataFrame:
-    """Canonical items with required quantity and number of spellings, then mentions left for review."""
-    resolved = resolve_rows(sku_totals(lines, by), candidates)
+    """Canonical items with required quantity and number of spellings, then mentions left for review.
+
+    Lines are read once; what all parts start from is written to the shared folder.
+    """
+    resolved = resolve_rows(materialize(sku_totals(lines, by), "worklist"), candidates)
     settled = resolved.where("resolution = 'resolved'")
     spellings = (
         settled.select(*by, "canonical_key", "sku")

@@ -10,9 +10,9 @@ from ledgerline.operators.bom import BOM_KEY as BY
 from ledgerline.operators.claims import BOM_COST, DISTINCT_SKUS, KEYWORD_QUANTITY
 from ledgerline.plans import bom_run
 from ledgerline.registry.base import S, query
-from ledgerline.registry.bom import EVIDENCE_SQL, SAID, component_sql, reconciled, resolved, run, sql_id, sql_text
+from ledgerline.registry.bom import EVIDENCE_SQL, SAID, component_sql, reconciled, resolved, sql_id, sql_text
 from ledgerline.sources import workbooks
-from ledgerline.sources.bindings import KEYWORD, bind, table
+from ledgerline.sources.bindings import KEYWORD, PRECEDENCE, bind, table
 
 SCHEMA = provenance.WORKBOOK_SCHEMA
 
@@ -77,7 +77,8 @@ UNION ALL SELECT 'claim', {S}, unnest(['{DISTINCT_SKUS}', '{BOM_COST}', '{KEYWOR
 FROM (SELECT DISTINCT {S} FROM res)""",
 )
 def run_provenance(spark: SparkSession, sf: str) -> DataFrame:
-    done = bom_run.with_provenance(run(spark, sf))
+    lines, known = bind(spark, sf, "small_boms"), bind(spark, sf, "candidates")
+    done = bom_run.with_provenance(bom_run.run_bom(lines, known, PRECEDENCE, keyword=KEYWORD, share=True))
     parts = [("decision", done.decisions, "mention"), ("state", done.reconciled_lines, "canonical_key"), ("claim", done.claims, "kind")]
     first, *rest = [
         rows.select(F.lit(record).alias("record"), *BY, F.col(item).alias("item"), "provenance_id") for record, rows, item in parts

@@ -769,7 +769,7 @@ FROM sc CROSS JOIN {STAGES_SQL} LEFT JOIN counts c ON {on_scope('sc', 'c')} AND
 )
 def trace(spark: SparkSession, sf: str) -> DataFrame:
     lines = bind(spark, sf, "small_boms")
-    done = bom_run.run_bom(lines, bind(spark, sf, "candidates"), PRECEDENCE, keyword=KEYWORD)
+    done = bom_run.run_bom(lines, bind(spark, sf, "candidates"), PRECEDENCE, keyword=KEYWORD, share=True)
     return stage_trace.stage_trace(
         lines,
         {

@@ -380,6 +380,25 @@ def test_question_routes(spark):
     assert rows[-1].route_status == "unsupported"
 
 
+@pytest.mark.parametrize("precedence", [["a", "b"], None])
+def test_a_shared_run_gives_the_same_and_reads_its_lines_once(spark, tmp_path, precedence):
+    rng = random.Random(3)
+    sources = "ab" if precedence else "a"
+    rows = [(f"{rng.choice(['GPU-A', 'gpu a', 'CPU-A', 'zzz'])}", rng.choice(["GPU x", "y"]), rng.randint(1, 9), rng.choice([None, 5, 7]), rng.choice(sources)) for _ in range(80)]
+    path = str(tmp_path / "lines")
+    bom(spark, rows).write.parquet(path)
+    lines = spark.read.parquet(path)
+    plain, shared = (run_bom(lines, candidates(spark, "GPU-A", "CPU-A"), precedence, share=share) for share in (False, True))
+    for name in ("decisions", "reconciled_lines", "summary", "claims"):
+        one, two = getattr(plain, name), getattr(shared, name)
+        assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+        assert not [f for f in two.inputFiles() if path in f]
+        if precedence:
+            assert one._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2
+    reference = reconcile_lines(shared.operational_lines, precedence) if precedence else reconcile_single_source(shared.operational_lines)
+    assert sorted(map(str, reference.select(*shared.reconciled_lines.columns).collect())) == sorted(map(str, shared.reconciled_lines.collect()))
+
+
 def test_evidence_lookup(spark):
     from ledgerline.operators.evidence import lookup_evidence
 

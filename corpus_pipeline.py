@@ -55,7 +55,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# A trained model, MinHash and a tokenizer are not SQL; tests/llm compares every stage with a plain version.
+# A trained model, MinHash and a tokenizer are not SQL; tests/llm compares the operators
+# with plain versions, and checks columns, counts, groups and windows of the stages.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,6 @@
 """All queries by name, and the SQL that checks them."""
 
-from ledgerline.registry import bom, ledger, lineage, quality, state
+from ledgerline.registry import bom, ledger, lineage, quality, stages, state
 from ledgerline.registry.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bom", "ledger", "lineage", "quality", "state"]
+__all__ = ["ORACLES", "QUERIES", "bom", "ledger", "lineage", "quality", "stages", "state"]

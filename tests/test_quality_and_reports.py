@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fixtures import SCOPE_VALUES, bom, candidates, day
+from ledgerline.errors import ContractError
 from ledgerline.operators import metrics
 from ledgerline.plans import stage_trace, worklists
 from ledgerline.quality import rules
@@ -127,6 +128,20 @@ def test_stage_trace_names_empty_results(spark):
     assert all(r.row_count == 0 for r in rows[1:])
 
 
+def test_observed_run_counts_what_it_writes(spark):
+    run = stage_trace.ObservedRun()
+    assert run.stage("INGEST", spark.range(1000).repartition(7)).count() == 1000
+    run.stage("ASSERT", spark.range(5))
+    run.stage("ASSERT", spark.range(6))
+    run.stage("RESOLVE", spark.range(10).where("id > 20"))
+    run.stage("DETECT", spark.createDataFrame([], "a long"))
+    rows = {r.stage: (r.row_count, r.result) for r in run.trace(spark).collect()}
+    assert len(rows) == 12 and rows["INGEST"] == (1000, "executed") and rows["ASSERT"] == (11, "executed")
+    assert rows["RESOLVE"] == (0, "no_resolution_decisions") and rows["DETECT"] == (0, "no_anomalies") and rows["ACT"] == (0, "no_action_attempted")
+    with pytest.raises(ContractError):
+        run.stage("GUESS", spark.range(1))
+
+
 def test_metrics(spark):
     scope = SCOPE_VALUES["tenant_id"]
     decisions = spark.createDataFrame(

@@ -427,6 +427,36 @@ def test_lines_in_large_buckets(spark):
     assert sorted(r.doc_id for r in found if r.text) == [0, 100, 101, 102, 103, 104]
 
 
+def test_dissimilar_lines_of_a_large_bucket_leave_no_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(3, 8))) for _ in range(400)]
+    origin = rng.choices(words, k=40)
+    norms = [" ".join(rng.choice(words) if rng.random() < 0.12 else w for w in origin) for _ in range(80)]
+    texts = spark.createDataFrame(list(enumerate(norms)), "lid long, norm string")
+    signed = lines.signatures(texts)
+    monkeypatch.setattr(lines, "CHUNK", 30)
+    members = signed.selectExpr("sid", "0 AS band", "7L AS bucket", f"{len(norms)}L AS size")
+    none = spark.createDataFrame([], "node long, root long")
+    found = {(r["a"], r["b"]) for r in lines.crossing_pairs(members, signed, none, texts).collect()}
+    sets = [{t[i : i + lines.SHINGLE] for i in range(len(t) - lines.SHINGLE + 1)} for t in norms]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(norms)) for a in range(b)}
+    rows = {r["sid"]: r[1:] for r in signed.select("sid", *[f"m{i}" for i in range(lines.BANDS * lines.ROWS)]).collect()}
+    likely = {(a, b) for a, b in alike if sum(x == y for x, y in zip(rows[a], rows[b], strict=True)) >= lines.LIKELY}
+    assert {pair for pair in likely if alike[pair] >= lines.SIMILARITY} <= found <= likely
+    assert len(likely) > 1000 and all(alike[pair] > 0.65 for pair in found) and len(found) < len(likely) / 3
+
+
+def test_lines_of_some_words_are_signed_both_ways(spark):
+    kinds = {10: {True}, 12: {True, False}, 18: {True, False}, 19: {False}, 60: {False}}
+    rows = [(n, " ".join(f"word{k}" for k in range(n))) for n in kinds] + [(1, "ab " * 200), (2, "d" * 30 + " word" + " abc de fgh ij k lm" + "é" * 300)]
+    rows.append((3, " ".join(f"longerword{k}ofall" for k in range(30))))
+    signed = lines.signatures(spark.createDataFrame(rows, "lid long, norm string")).select("sid").collect()
+    found: dict[int, set] = {}
+    for (sid,) in signed:
+        found.setdefault(~sid if sid < 0 else sid, set()).add(sid < 0)
+    assert found == kinds | {1: {True}, 2: {True}, 3: {True, False}}
+
+
 def test_long_lines_of_any_script_are_signed_whole(spark):
     """Near copies in Cyrillic that differ in their only Latin words, and pairs of which one has hardly any a, e or n."""
     rng = random.Random(10)

@@ -1,6 +1,6 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
-Every task tokenizes its own rows, gathers blocks of about `BLOCK_WINDOWS` windows of tokens, and balances each block over its
+Every task tokenizes its own rows, each different word of a stretch of texts once, gathers blocks of about `BLOCK_WINDOWS` windows of tokens, and balances each block over its
 windows: partial partitions are merged two at a time, the largest windows of one onto the smallest of the
 other, always taking the two with the largest imbalance. If a window of the result exceeds the
 capacity, the block is balanced again over one window more. Blocks are independent, so nothing is shuffled, a task holds
@@ -15,7 +15,9 @@ from array import array
 from bisect import insort
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,15 @@ BLOCK_WINDOWS = 512
 LADDER_EVERY = 6
 LADDER_LEAST = 8
 LATIN = "\u024f"
-# What a worker remembers of words and of their cores, each twice at most.
-CACHE_BYTES = 40 << 20
+# Latin letters that stay letters when they are composed or made small, with marks around that the tokenizer takes off anyway.
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+PLAIN = rf"^(?P<lead>[\"(\[{{]*)(?P<letters>[{LETTERS}]+)(?P<tail>[!-/:-@\[-`{{-~]*)$"
+LAST = "</w>"  # ends the last token of a word
+JOINED = 256  # plain words that the tokenizer gets at a time
+# What a worker remembers of other words and of their cores, each twice at most.
+CACHE_BYTES = 12 << 20
+# Bytes of text whose words are told apart at a time.
+CHUNK_BYTES = 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -95,20 +104,38 @@ def core(word: str) -> list[str]:
     return [letters, word[-1]] if len(letters) < len(word) else [letters]
 
 
+def parts(word: str) -> list[str]:
+    """Cores of what white space of any script leaves."""
+    # Python splits at these four characters, the vocabulary doesn't
+    return [word] if any(c in word for c in "\x1c\x1d\x1e\x1f") else [part for piece in word.split() for part in core(piece)]
+
+
+def either(first: pa.Array, ones: pa.Array, others: pa.Array) -> pa.Array:
+    """The next of `ones` where `first` holds, the next of `others` elsewhere."""
+    mask = np.asarray(first)
+    return pa.concat_arrays([ones, others]).take(pa.array(np.where(mask, np.cumsum(mask) - 1, len(ones) + np.cumsum(~mask) - 1)))
+
+
 class Words:
-    """Ids of a text, word by word: the vocabulary never joins across white space, so a word met lately is not tokenized again.
+    """Ids of texts, word by word: the vocabulary never joins across white space, so the different words of many texts are tokenized once.
 
-    What a Python worker remembers for its tasks is bounded in bytes, and words that are not met again make room.
+    The letters of plain words go to the tokenizer in long rows, to the model alone if they are ASCII, since normalization changes nothing in them
+    then. Any other word goes by itself; what a Python worker remembers of these is bounded in bytes, and words that are not met again make room.
     """
 
     shared: dict[str, Words] = {}
 
     def __init__(self, path: str, most: int = CACHE_BYTES) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cores = Recent(self._encode, most)
-        self.recent = Recent(lambda words: self.cores.joined([core(word) for word in words]), most)
+        self.recent = Recent(lambda words: self.cores.joined([parts(word) for word in words]), most)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(LAST)]] = True
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -121,10 +148,64 @@ class Words:
             for encoded in self.tokenizer.encode_batch_fast(words[start : start + 20_000], add_special_tokens=False):
                 yield array("I", encoded.ids).tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _encode_rows(self, tokenizer: object, words: list[str]) -> pa.Array:
+        """Ids of words of letters, told apart by the tokens that end a word."""
+        flat, ends, before = [], [], 0
+        for start in range(0, len(words), 16 * JOINED):
+            rows = [words[at : at + JOINED] for at in range(start, min(start + 16 * JOINED, len(words)), JOINED)]
+            for row, encoded in zip(rows, tokenizer.encode_batch_fast([" ".join(row) for row in rows], add_special_tokens=False), strict=True):
+                ids = np.array(encoded.ids, "<u4")
+                at = np.flatnonzero(self.closes[ids]) + 1
+                if len(at) != len(row) or at[-1] != len(ids):  # another kind of vocabulary
+                    return pa.array(self._encode(words), pa.large_binary())
+                flat.append(ids)
+                ends.append(at + before)
+                before += len(ids)
+        if not words:
+            return pa.array([], pa.large_binary())
+        offsets = 4 * np.concatenate([[0], *ends]).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(flat))])
+
+    def _letters(self, words: pa.Array) -> pa.Array:
+        small = pc.string_is_ascii(words)
+        one, other = (words.filter(mask).to_pylist() for mask in (small, pc.invert(small)))
+        return either(small, self._encode_rows(self.plain, one), self._encode_rows(self.tokenizer, other))
+
+    def _others(self, words: pa.Array) -> pa.Array:
+        return pa.array(self.recent.joined([[word] for word in words.to_pylist()]), pa.large_binary())
+
+    def _values(self, words: pa.Array) -> pa.Array:
+        """Ids of each word."""
+        found = pc.extract_regex(words, PLAIN)
+        simple = pc.is_valid(found)
+        plain = found.filter(simple)
+        ways = {"lead": self._others, "letters": self._letters, "tail": self._others}
+        values = []
+        for name, encode in ways.items():
+            told = pc.ascii_lower(pc.struct_field(plain, name)).dictionary_encode()
+            values.append(encode(told.dictionary).take(told.indices))
+        joined = pc.binary_join_element_wise(*values, pa.scalar(b"", pa.large_binary()))
+        return either(simple, joined, self._others(words.filter(pc.invert(simple))))
+
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Unsigned little-endian 32-bit ids of each text."""
-        # Python splits at these four characters, the vocabulary doesn't
-        return self.recent.joined([[text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split() for text in texts])
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+        words = split.values.dictionary_encode()
+        joined = self._values(words.dictionary).take(words.indices)
+        _, offsets, data = joined.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(joined) + 1)[np.asarray(split.offsets)].tolist()
+        view = memoryview(data or b"")
+        return [bytes(view[start:end]) for start, end in zip(bounds, bounds[1:])]
+
+
+def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Start and texts of stretches of about `most` bytes; null counts as empty."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64))
+    start = 0
+    while start < len(texts):
+        end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most)) + 1
+        yield start, texts.slice(start, end - start).cast(pa.large_string()).fill_null("")
+        start = min(end, len(texts))
 
 
 def _packer(path: str, capacity: int, block_windows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -139,10 +220,9 @@ def _packer(path: str, capacity: int, block_windows: int) -> Callable[[Iterator[
         held = 0
         seen = 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for start in range(0, len(keys), 64):
-                encoded = words.ids([t or "" for t in texts.slice(start, 64).to_pylist()])
-                for key, ids in zip(keys[start : start + 64], encoded, strict=True):
+            keys = batch.column(0).to_pylist()
+            for start, some in chunks(batch.column(1)):
+                for key, ids in zip(keys[start : start + len(some)], words.ids(some), strict=True):
                     ids += END
                     total = len(ids) // 4
                     at = 0

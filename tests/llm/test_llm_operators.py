@@ -628,3 +628,33 @@ def test_words_taken_apart_give_the_same_ids():
     for start in range(0, len(texts), 100):
         for ids, encoded in zip(words.ids(texts[start : start + 100]), want[start : start + 100], strict=True):
             assert list(memoryview(ids).cast("I")) == encoded.ids
+
+
+def test_plain_words_reach_the_tokenizer_in_rows():
+    """Different words of Latin letters with marks around give the ids of the whole text, in far fewer calls than words."""
+    rng = random.Random(3)
+
+    class Counted:
+        calls = 0
+
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            Counted.calls += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    made = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    plain = [made("abcdeABC") + rng.choice(["", ".", "!!", "&&&", "')", "..."]) for _ in range(3000)]
+    plain += [rng.choice(["", '"', "(", '(["']) + made("aeéÉßñǰŉµªÅ") + rng.choice(["", ",", "'"]) for _ in range(3000)]
+    odd = ["<|endoftext|>", "<|ENDOFTEXT|>", "(endoftext|>", "'tis", "it's", "'s", "x'S.", "--", "a-b", "3rd", "İx", "é", '"́a', "a b", "a\x1cb", "a\x0bb", "×a", ""]
+    texts = [" ".join(rng.sample(plain, 300)) for _ in range(40)] + [" ".join(rng.sample(odd, 9)) + "\n" for _ in range(40)] + [" \n\t", ""]
+    words = packing.Words(tokenizer_path())
+    want = words.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for name in ("tokenizer", "plain"):
+        if hasattr(words, name):
+            setattr(words, name, Counted(getattr(words, name)))
+    for ids, encoded in zip(words.ids(texts), want, strict=True):
+        assert list(memoryview(ids).cast("I")) == encoded.ids
+    assert Counted.calls < 300
+    assert words.ids([]) == []

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -658,3 +659,17 @@ def test_plain_words_reach_the_tokenizer_in_rows():
         assert list(memoryview(ids).cast("I")) == encoded.ids
     assert Counted.calls < 300
     assert words.ids([]) == []
+
+
+def test_packing_holds_little_in_a_worker():
+    """Plain words are not remembered, and texts are taken apart in stretches of bounded size."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=8)) + "." for _ in range(500)) for _ in range(20)]
+    words = packing.Words(tokenizer_path())
+    assert len(words.ids(texts)) == len(texts)
+    assert words.recent.held + words.cores.held < 100_000
+    column = pa.array([*texts, None, "x" * 20_000, "", "y"])
+    stretches = list(packing.chunks(column, 10_000))
+    assert [start for start, _ in stretches] == [sum(len(s) for _, s in stretches[:k]) for k in range(len(stretches))]
+    assert [text for _, some in stretches for text in some.to_pylist()] == [text or "" for text in column.to_pylist()]
+    assert all(sum(map(len, some.to_pylist()[:-1])) < 10_000 for _, some in stretches)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from compare import connect, differences
-from ledgerline.llm import chat, embeddings, lines, mixing, packing, quality, simhash, suffixes, topk, toxicity
+from ledgerline.llm import chat, common, embeddings, lines, mixing, packing, quality, simhash, suffixes, topk, toxicity
 from ledgerline.llm.common import components
 from ledgerline.llm.queries import ORACLES, QUERIES, tokenizer_path
 
@@ -673,3 +673,19 @@ def test_packing_holds_little_in_a_worker():
     assert [start for start, _ in stretches] == [sum(len(s) for _, s in stretches[:k]) for k in range(len(stretches))]
     assert [text for _, some in stretches for text in some.to_pylist()] == [text or "" for text in column.to_pylist()]
     assert all(sum(map(len, some.to_pylist()[:-1])) < 10_000 for _, some in stretches)
+
+
+def test_a_round_of_components_shuffles_its_tables_once(spark, monkeypatch):
+    plans = []
+    put = common.Stash.put
+
+    def recorded(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return put(self, df)
+
+    monkeypatch.setattr(common.Stash, "put", recorded)
+    edges = spark.createDataFrame([(a, a + 1) for a in range(40)], "a long, b long")
+    assert {r["root"] for r in common.components(edges).collect()} == {0}
+    assert len(plans) > 3
+    for plan in plans[2:]:  # the rounds: each table meets the others once, and no table is the union of three
+        assert "Union" not in plan and plan.count("Join ") <= 4, plan

@@ -689,3 +689,28 @@ def test_a_round_of_components_shuffles_its_tables_once(spark, monkeypatch):
     assert len(plans) > 3
     for plan in plans[2:]:  # the rounds: each table meets the others once, and no table is the union of three
         assert "Union" not in plan and plan.count("Join ") <= 4, plan
+
+
+def test_lines_that_meet_none_move_their_signature_once(spark, monkeypatch):
+    stashed = []
+    put = lines.Stash.put
+
+    def recorded(self, df):
+        back = put(self, df)
+        if "m0" in back.columns and "root" not in back.columns:
+            stashed.append(back.count())
+        return back
+
+    monkeypatch.setattr(lines.Stash, "put", recorded)
+    rng = random.Random(3)
+    alone = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(24)) for _ in range(30)]
+    rows = [(k, text) for k, text in enumerate([*alone, alone[0] + " end"])]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["__kept"] for r in found} == {k: int(k < 30) for k in range(31)}
+    assert stashed == [31, 2]
+
+
+def test_shingles_are_those_of_characters(spark):
+    texts = ["abcdefg", "abcd", "", "aaaaaaaaaa", "żółć gęślą jaźń", "x😀yz😀😀ab😀", "日本語のテキスト日本語のテキスト"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.size(lines.shingle_hashes(F.col("t"))).alias("n"))
+    assert {r["t"]: r["n"] for r in frame.collect()} == {t: len({t[i : i + 5] for i in range(len(t) - 4)}) for t in texts}

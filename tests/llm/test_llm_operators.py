@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -710,6 +712,46 @@ def test_lines_that_meet_none_move_their_signature_once(spark, monkeypatch):
     assert stashed == [31, 2]
 
 
+def test_distinct_lines_are_signed_once_where_they_lie(spark, monkeypatch):
+    signed = []
+    sign = lines.signatures
+
+    def recorded(rows):
+        out = sign(rows)
+        signed.append((rows.count(), out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(lines, "signatures", recorded)
+    rng = random.Random(4)
+    texts = [words(rng, 20) for _ in range(12)]
+    rows = [(k, "\n".join(texts)) for k in range(20)]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {r["doc_id"]: r["__kept"] for r in found} == {k: 12 * (k == 0) for k in range(20)}
+    ((count, plan),) = signed
+    assert count == 12 and "Exchange" not in plan, plan
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_written_tables_leave_no_shuffle_files(spark, dealt):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+", blocks.getAllFiles().mkString(" ")))
+
+    stash, before, setting = common.Stash(spark, "left"), shuffled(), spark.conf.get(common.CLEANUP, None)
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    back = stash.put_dealt(frame, "k") if dealt else stash.put(frame)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(common.CLEANUP, None) == setting
+    assert back.columns == ["k", "count"] and back.agg(F.sum("count")).first()[0] == 1000
+    stash.drop(back)
+
+
 def test_shingles_are_those_of_characters(spark):
     texts = ["abcdefg", "abcd", "", "aaaaaaaaaa", "żółć gęślą jaźń", "x😀yz😀😀ab😀", "日本語のテキスト日本語のテキスト"]
     frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.size(lines.shingle_hashes(F.col("t"))).alias("n"))

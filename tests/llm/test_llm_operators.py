@@ -460,6 +460,13 @@ def test_lines_of_some_words_are_signed_both_ways(spark):
     assert found == kinds | {1: {True}, 2: {True}, 3: {True, False}}
 
 
+def test_similar_short_lines_go(spark):
+    """Lines of 5 to 15 characters, among them pairs around the former bound of 16 and one of few different shingles."""
+    texts = ["read more", "read mores", "share this page", "share this pages", "abcdefghijklmnop", "abcdefghijklmno", "ha ha ha ha", "ha ha ha ha ha ha", "page 10", "page 101", "abcd", "abcde"]
+    found = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.text for r in found if r.text) == sorted(["read more", "share this page", "abcdefghijklmnop", "ha ha ha ha", "page 10", "page 101", "abcd", "abcde"])
+
+
 def test_long_lines_of_any_script_are_signed_whole(spark):
     """Near copies in Cyrillic that differ in their only Latin words, and pairs of which one has hardly any a, e or n."""
     rng = random.Random(10)

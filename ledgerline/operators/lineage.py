@@ -16,7 +16,7 @@ from ledgerline.operators.bom import KEYWORD, has_keyword
 from ledgerline.operators.claims import BOM_COST, DISTINCT_SKUS, KEYWORD_QUANTITY
 from ledgerline.operators.resolution import resolve_rows
 from ledgerline.schemas import SCOPE
-from ledgerline.session import materialize
+from ledgerline.session import discard, materialize
 
 
 def node(kind: str, *parts: str) -> Column:
@@ -68,10 +68,10 @@ def origins(links: DataFrame) -> DataFrame:
     """(node, origin): every origin that a node was made from, over any number of steps. An origin is a target that was made from nothing.
 
     All nodes step at once, and in each round a step becomes twice as long: a target that is no origin yet gives way to what it leads
-    to itself, so paths of n edges take log2(n) rounds. Each round is one join over distinct pairs and is written once. Repeated edges,
+    to itself, so paths of n edges take log2(n) rounds. Each round is one join over distinct pairs, is written once and replaces the one before. Repeated edges,
     self-loops and edges with a null end add nothing; a longer cycle fails the job, since it has no origin. No edges give no rows.
     """
-    known = links.select("node", "target").where("node <> target").distinct()
+    known = materialize(links.select("node", "target").where("node <> target").distinct(), "lineage")
     made = known.select(F.col("node").alias("target"), F.lit(True).alias("_made")).distinct()
     walks = materialize(
         known.join(made, "target", "left").select("node", "target", F.coalesce("_made", F.lit(False)).alias("further")), "lineage"
@@ -81,12 +81,15 @@ def origins(links: DataFrame) -> DataFrame:
         open_walks = walks.where("further")
         if open_walks.isEmpty():
             return walks.select("node", F.col("target").alias("origin"))
-        nodes = made.count() if nodes is None else nodes
+        if nodes is None:
+            nodes = made.count()
+            discard(known)
         if length > nodes:
             raise ContractError("records cannot be made from each other")
         on = walks.select(F.col("node").alias("_middle"), F.col("target").alias("_next"), F.col("further").alias("_further"))
         longer = open_walks.join(on, F.col("target") == F.col("_middle")).select(
             "node", F.col("_next").alias("target"), F.col("_further").alias("further")
         )
-        walks = materialize(walks.where("NOT further").unionByName(longer).distinct(), "lineage")
+        before, walks = walks, materialize(walks.where("NOT further").unionByName(longer).distinct(), "lineage")
+        discard(before)
         length *= 2

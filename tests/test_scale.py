@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from ledgerline import session
-from ledgerline.operators import members
+from ledgerline.operators import lineage, members
 
 # Shuffles in the plan that is left when a query returns; all earlier steps are written by then, and their shuffle files gone.
 SHUFFLES = {
@@ -56,3 +56,11 @@ def test_lists_of_crowded_buckets_are_those_of_others(spark, monkeypatch, fanout
     spread = members.id_lists(frame, ["key"], ["n"])
     assert sorted(map(str, spread.collect())) == sorted(map(str, whole.collect()))
     assert {r.id_count for r in spread.collect()} == {1, 40, 90, 7, 100}
+
+
+def test_each_round_of_a_walk_replaces_the_one_before(spark):
+    folder = session.shared_folder(spark)
+    before = set(os.listdir(folder))
+    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(20)], "node string, target string")
+    assert lineage.origins(links).count() == 20
+    assert len([x for x in set(os.listdir(folder)) - before if x.startswith("lineage-")]) == 1

@@ -42,12 +42,12 @@ def observed_stages(spark: SparkSession, sf: str) -> DataFrame:
     elements = run.stage("STRUCTURE", ledger.elements(spark, sf))
     mapping = spark.sql(f"SELECT * FROM {ledger.MAPPING} t(kind, field_name, mapping_schema)")
     run.stage("MAP", documents.map_fields(elements, mapping))
-    run.stage("NORMALIZE", ledger.observations(spark, sf))
-    run.stage("ASSERT", ledger.asserted(spark, sf))
+    observed = run.stage("NORMALIZE", ledger.observations(spark, sf))
+    run.stage("ASSERT", ledger.asserted(spark, sf, observed))
     bill = bom_run.run_bom(bind(spark, sf, "bom_lines"), bind(spark, sf, "candidates"), PRECEDENCE, keyword=KEYWORD, share=True)
     run.stage("RESOLVE", bill.decisions)
     run.stage("RECONCILE", bill.reconciled_lines)
-    facts = governed.outstanding_facts(state.identified(spark, sf), state.made_by(provenance.DERIVER), state.UNIT)
+    facts = governed.outstanding_facts(state.identified(spark, sf, *state.shared_pairs(spark, sf)), state.made_by(provenance.DERIVER), state.UNIT)
     run.stage("DERIVE", facts)
     run.stage("DETECT", state.found(spark, sf))
     return run.trace(spark)

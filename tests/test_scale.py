@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from ledgerline import session
 from ledgerline.operators import lineage, members
+from ledgerline.registry import ledger
 
 # Shuffles in the plan that is left when a query returns; all earlier steps are written by then, and their shuffle files gone.
 SHUFFLES = {
@@ -64,3 +65,10 @@ def test_each_round_of_a_walk_replaces_the_one_before(spark):
     links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(20)], "node string, target string")
     assert lineage.origins(links).count() == 20
     assert len([x for x in set(os.listdir(folder)) - before if x.startswith("lineage-")]) == 1
+
+
+def test_observations_of_a_run_are_made_once(spark, sf_dir, monkeypatch):
+    made, make = [], ledger.observations
+    monkeypatch.setattr(ledger, "observations", lambda *a: made.append(a) or make(*a))
+    rows = {r.stage: r.row_count for r in contract.queries()["observed_stages"](spark, sf_dir).collect()}
+    assert len(made) == 1 and rows["ASSERT"] > 0

@@ -11,6 +11,7 @@ from ledgerline.operators.claims import BOM_COST, DISTINCT_SKUS, KEYWORD_QUANTIT
 from ledgerline.plans import bom_run
 from ledgerline.registry.base import S, query
 from ledgerline.registry.bom import EVIDENCE_SQL, SAID, component_sql, reconciled, resolved, sql_id, sql_text
+from ledgerline.session import materialize
 from ledgerline.sources import workbooks
 from ledgerline.sources.bindings import KEYWORD, PRECEDENCE, bind, table
 
@@ -62,8 +63,9 @@ def bill_events(lines: DataFrame) -> DataFrame:
 )
 def event_assertion_ids(spark: SparkSession, sf: str) -> DataFrame:
     lines = bind(spark, sf, "bom_lines")
-    named = workbooks.with_events(lines, bill_events(lines))
-    made = bom.bom_assertions(named, F.col("transformation_event_id"))
+    # few rows once they are written, which the optimizer then knows
+    named = workbooks.with_events(lines, materialize(bill_events(lines), "events"))
+    made = bom.bom_assertions(named, F.col("transformation_event_id"), located=True)
     return bom.with_assertion_ids(made).select("record_key", "predicate", "assertion_id")
 
 

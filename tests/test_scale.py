@@ -5,18 +5,20 @@ from __future__ import annotations
 import os
 import re
 import time
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from ledgerline import session
-from ledgerline.operators import lineage, members
+from ledgerline.operators import bom, lineage, members
 from ledgerline.registry import ledger
 
 # Shuffles in the plan that is left when a query returns; all earlier steps are written by then, and their shuffle files gone.
 SHUFFLES = {
     "claim_ids": 6,
+    "event_assertion_ids": 1,
 }
 
 
@@ -72,3 +74,14 @@ def test_observations_of_a_run_are_made_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(ledger, "observations", lambda *a: made.append(a) or make(*a))
     rows = {r.stage: r.row_count for r in contract.queries()["observed_stages"](spark, sf_dir).collect()}
     assert len(made) == 1 and rows["ASSERT"] > 0
+
+
+def test_evidence_of_a_line_is_hashed_once(spark):
+    rows = [("a.xlsx", "h", "lineitem", "1-2", "A-1", "a gpu", Decimal(2), Decimal(3)), ("a.xlsx", "h", "lineitem", None, "B", None, Decimal(1), None)]
+    names = "artifact_id string, content_hash string, collection string, record_key string, sku string, description string, quantity decimal(18,6), unit_price decimal(18,6)"
+    lines = spark.createDataFrame(rows, names)
+    once = bom.with_assertion_ids(bom.bom_assertions(lines, located=True))
+    assert once.columns == bom.with_assertion_ids(bom.bom_assertions(lines)).columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, bom.with_assertion_ids(bom.bom_assertions(lines)).collect()))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "evidence:" in plan[plan.index("Generate ") :] and "evidence:" not in plan[: plan.index("Generate ")]

@@ -19,6 +19,7 @@ from ledgerline.registry import ledger
 SHUFFLES = {
     "claim_ids": 6,
     "event_assertion_ids": 1,
+    "review_evidence": 4,
 }
 
 

@@ -20,6 +20,7 @@ SHUFFLES = {
     "claim_ids": 6,
     "event_assertion_ids": 1,
     "review_evidence": 4,
+    "review_context": 6,
 }
 
 

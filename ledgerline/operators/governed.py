@@ -17,6 +17,7 @@ from ledgerline.operators.members import id_lists
 from ledgerline.operators.record_ids import with_record_id
 from ledgerline.operators.state import OBSERVED_QUANTITIES, operational_state, state_ids
 from ledgerline.schemas import SCOPE
+from ledgerline.session import materialize
 
 # The lists of each input bundle, in order.
 BUNDLES = {
@@ -89,6 +90,7 @@ def identified_bundles(items: DataFrame, namespace: str, cutoff: Column, by: Seq
     """
     names = BUNDLES[namespace]
     given = items.where((F.col("as_of") <= cutoff) & F.col("list").isin(*names)).select(*by, "list", "item_id").distinct()
+    given = materialize(given, "bundles")
     lists = id_lists(given, [*by, "list"], ["item_id"], "item_id")
     wide = lists.groupBy(*by).agg(
         *[F.max(F.when(F.col("list") == name, F.col("ids_json"))).alias(f"{name}_json") for name in names],

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from ledgerline import session
-from ledgerline.operators import bom, lineage, members
+from ledgerline.operators import bom, governed, lineage, members
 from ledgerline.registry import ledger
 
 # Shuffles in the plan that is left when a query returns; all earlier steps are written by then, and their shuffle files gone.
@@ -87,3 +87,13 @@ def test_evidence_of_a_line_is_hashed_once(spark):
     assert sorted(map(str, once.collect())) == sorted(map(str, bom.with_assertion_ids(bom.bom_assertions(lines)).collect()))
     plan = once._jdf.queryExecution().optimizedPlan().toString()
     assert "evidence:" in plan[plan.index("Generate ") :] and "evidence:" not in plan[: plan.index("Generate ")]
+
+
+def test_members_of_a_bundle_are_made_once(spark, monkeypatch):
+    written, write = [], session.materialize
+    monkeypatch.setattr(governed, "materialize", lambda rows, label: written.append(write(rows, label)) or written[-1])
+    rows = [("t", "p", "s", "1", "evidence", f"e{i % 4}") for i in range(9)] + [("t", "p", "s", "1", "states", "x")]
+    items = spark.createDataFrame(rows, "tenant_id string, project_id string, site_id string, version string, list string, item_id string")
+    at = F.lit("2024-01-01").cast("timestamp")
+    (row,) = governed.identified_bundles(items.withColumn("as_of", at), "prediction-input", at).collect()
+    assert (row.evidence_count, row.states_count) == (4, 1) and [t.count() for t in written] == [5]

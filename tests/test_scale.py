@@ -21,6 +21,7 @@ SHUFFLES = {
     "event_assertion_ids": 1,
     "review_evidence": 4,
     "review_context": 6,
+    "canonicalized_assertion_ids": 4,
 }
 
 

@@ -22,6 +22,7 @@ SHUFFLES = {
     "review_evidence": 4,
     "review_context": 6,
     "canonicalized_assertion_ids": 4,
+    "resolution_decision_ids": 4,
 }
 
 

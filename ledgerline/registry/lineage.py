@@ -82,8 +82,10 @@ def run_provenance(spark: SparkSession, sf: str) -> DataFrame:
     lines, known = bind(spark, sf, "small_boms"), bind(spark, sf, "candidates")
     done = bom_run.with_provenance(bom_run.run_bom(lines, known, PRECEDENCE, keyword=KEYWORD, share=True))
     parts = [("decision", done.decisions, "mention"), ("state", done.reconciled_lines, "canonical_key"), ("claim", done.claims, "kind")]
+    # one part after the other, so that the shuffle files of one lie on disk at a time
     first, *rest = [
-        rows.select(F.lit(record).alias("record"), *BY, F.col(item).alias("item"), "provenance_id") for record, rows, item in parts
+        materialize(rows.select(F.lit(record).alias("record"), *BY, F.col(item).alias("item"), "provenance_id"), "provenance")
+        for record, rows, item in parts
     ]
     for rows in rest:
         first = first.unionByName(rows)

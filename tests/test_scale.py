@@ -23,6 +23,7 @@ SHUFFLES = {
     "review_context": 6,
     "canonicalized_assertion_ids": 4,
     "resolution_decision_ids": 4,
+    "run_provenance": 1,
 }
 
 

@@ -24,6 +24,7 @@ SHUFFLES = {
     "canonicalized_assertion_ids": 4,
     "resolution_decision_ids": 4,
     "run_provenance": 1,
+    "stage_trace": 3,
 }
 
 

@@ -25,6 +25,7 @@ SHUFFLES = {
     "resolution_decision_ids": 4,
     "run_provenance": 1,
     "stage_trace": 3,
+    "decision_input_ids": 3,
 }
 
 

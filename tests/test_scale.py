@@ -26,6 +26,7 @@ SHUFFLES = {
     "run_provenance": 1,
     "stage_trace": 3,
     "decision_input_ids": 3,
+    "evidence_chain": 3,
 }
 
 

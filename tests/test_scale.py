@@ -27,6 +27,7 @@ SHUFFLES = {
     "stage_trace": 3,
     "decision_input_ids": 3,
     "evidence_chain": 3,
+    "sku_worklist": 6,
 }
 
 

@@ -28,6 +28,7 @@ SHUFFLES = {
     "decision_input_ids": 3,
     "evidence_chain": 3,
     "sku_worklist": 6,
+    "export_chain_json": 3,
 }
 
 

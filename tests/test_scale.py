@@ -29,6 +29,7 @@ SHUFFLES = {
     "evidence_chain": 3,
     "sku_worklist": 6,
     "export_chain_json": 3,
+    "scenario_cost": 8,
 }
 
 
